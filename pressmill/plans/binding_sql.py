@@ -122,6 +122,18 @@ FROM conversations""",
     "fx_candidates": """
 SELECT page_id AS pos, url, html, CASE WHEN page_id % 3 = 0 THEN 'news' WHEN page_id % 3 = 1 THEN 'inbrief' ELSE 'other' END AS bucket,
        'site' || (page_id % 4) AS source_key, page_id % 7 < 3 AS stored
+FROM pages""",
+    "fx_pages": """
+SELECT page_id, url, 'site' || (page_id % 4) AS source_key,
+  replace(replace(html, '<head>', '<head>' || CASE page_id % 5
+    WHEN 0 THEN '<meta property="og:type" content="article"><meta content="2024-01-05T08:00:00Z" property="article:published_time">'
+    WHEN 1 THEN '<meta name="pubdate" content=" 2024-01-06 ">'
+    WHEN 2 THEN '<script type="application/ld+json">[{"@type":["Thing","NewsArticle"]}]</script>'
+    WHEN 3 THEN '<!-- <meta property="og:type" content="article"> -->' ELSE '<meta name="dc.date" content="2024-01-08">' END),
+   '</nav>', '<a href="/news/2024/1/' || (page_id % 9 + 1) || '/story-' || page_id || '?utm_source=x&amp;p=1#c">Story</a>'
+    || '<a href="/news/2024/1/' || (page_id % 9 + 1) || '/story-' || page_id || '/?p=1">Again</a>'
+    || '<a class="d" href="/docs/2024/tender/file' || (page_id % 3) || '.pdf">Tender file</a><a href="/docs/2024/tender/file' || (page_id % 3) || '.pdf">Copy</a>'
+    || '<a href="mailto:a@b.c">m</a><a href="/category/x/">c</a><a href="https://other.example.org/press/9">o</a><time datetime="2024-01-09">t</time></nav>') AS html
 FROM pages""",
     "fx_topics": """
 SELECT * FROM (VALUES

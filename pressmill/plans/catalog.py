@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["metrics"]
+MODULES = ["metrics", "links"]
 
 
 def load() -> None:

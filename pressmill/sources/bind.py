@@ -229,6 +229,30 @@ class Tables:
             "concat('site', page_id % 4) AS source_key", "page_id % 7 < 3 AS stored",
         )
 
+    @cached_property
+    def pages(self) -> DataFrame:
+        """Landed pages with some head markup and links of known shape added."""
+        head = (
+            "CASE page_id % 5"
+            " WHEN 0 THEN '<meta property=\"og:type\" content=\"article\"><meta content=\"2024-01-05T08:00:00Z\" property=\"article:published_time\">'"
+            " WHEN 1 THEN '<meta name=\"pubdate\" content=\" 2024-01-06 \">'"
+            " WHEN 2 THEN '<script type=\"application/ld+json\">[{\"@type\":[\"Thing\",\"NewsArticle\"]}]</script>'"
+            " WHEN 3 THEN '<!-- <meta property=\"og:type\" content=\"article\"> -->'"
+            " ELSE '<meta name=\"dc.date\" content=\"2024-01-08\">' END"
+        )
+        story = "'<a href=\"/news/2024/1/', page_id % 9 + 1, '/story-', page_id"
+        file = "/docs/2024/tender/file', page_id % 3, '.pdf\">"
+        links = (
+            f"concat({story}, '?utm_source=x&amp;p=1#c\">Story</a>', {story}, '/?p=1\">Again</a>',"
+            f"'<a class=\"d\" href=\"{file}Tender file</a>', '<a href=\"{file}Copy</a>',"
+            "'<a href=\"mailto:a@b.c\">m</a><a href=\"/category/x/\">c</a>"
+            "<a href=\"https://other.example.org/press/9\">o</a><time datetime=\"2024-01-09\">t</time></nav>')"
+        )
+        return self.raw("pages").selectExpr(
+            "page_id", "url", "concat('site', page_id % 4) AS source_key",
+            f"replace(replace(html, '<head>', concat('<head>', {head})), '</nav>', {links}) AS html",
+        )
+
     @cached_property
     def topics(self) -> DataFrame:
         none: list[str] = []
