@@ -14,6 +14,7 @@ from pressmill.functions import html as h, urls
 from pressmill.functions.text import blank, collapse, contains_any, contains_any_of, starts_with_any_of
 from pressmill.functions.urls import let
 from pressmill.operators.ordered import first_per_key, top_k, with_index
+from pressmill.session import settle
 
 # Path words of article pages, used when a source has no allow list.
 LINK_KEYWORDS = ["news", "press", "release", "statement", "announcements", "media", "update", "blog", "article", "post"]
@@ -233,6 +234,7 @@ def probe_candidates(links: DataFrame, rules: DataFrame, n: int) -> DataFrame:
 def source_budget(items: DataFrame, caps: DataFrame, total: int) -> DataFrame:
     """First ``max_items`` links of a source, first of each link over all sources, then ``max_inserts`` per source,
     then the run's budget in source order. ``items``: source_key, pos, link; ``caps``: source_key, source_order, max_items, max_inserts (0 = none)."""
+    items = settle(items)  # read several times below, and usually the product of page parsing
     capped = (
         with_index(items.join(caps, "source_key"), ["source_key"], "pos", "i")
         .where((F.col("max_items") == 0) | (F.col("i") <= F.col("max_items"))).drop("i")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["metrics", "links"]
+MODULES = ["metrics", "links", "pages"]
 
 
 def load() -> None:

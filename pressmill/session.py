@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that may be changed on a running session.
 RUNTIME_CONF = {
@@ -32,12 +34,23 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
     """The shared checkpoint folder of the cluster; ``fallback`` only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context_dir = spark.sparkContext.getCheckpointDir()
-    if context_dir:
-        return context_dir
-    if fallback:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    context = spark.sparkContext
+    active = context.getCheckpointDir()
+    if active:
+        return active
+    wanted = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if wanted:
+        context.setCheckpointDir(wanted)
+    return wanted
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an expensive intermediate once to the shared checkpoint folder and go on from there.
+
+    Used where an operator reads its input more than once (prefix sums, several aggregates), so that
+    page parsing is not repeated. A lost executor costs nothing: the rows are read back from the folder.
+    """
+    spark = df.sparkSession
+    if checkpoint_dir(spark) is None:
+        checkpoint_dir(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") if spark.sparkContext.master.startswith("local") else None)
+    return df.checkpoint() if checkpoint_dir(spark) else df
