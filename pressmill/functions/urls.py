@@ -168,22 +168,35 @@ def _without_dots(url_path: Column) -> Column:
     return F.when(F.contains(url_path, F.lit("/.")), F.concat(folded, tail)).otherwise(url_path)
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of a link found on the page ``base``."""
-    root = F.concat(F.regexp_extract(base, SYNTAX, 1), F.lit("://"), F.regexp_extract(base, SYNTAX, 2))
+def base_parts(base: Column) -> Column:
+    """What resolving needs of a page address, to be computed once per page."""
     base_path = F.regexp_extract(base, SYNTAX, 3)
-    folder = F.coalesce(F.nullif(F.regexp_extract(base_path, r"^(.*/)[^/]*$", 1), F.lit("")), F.lit("/"))
+    netloc = F.regexp_extract(base, SYNTAX, 2)
+    scheme = F.regexp_extract(base, SYNTAX, 1)
+    return F.struct(
+        scheme.alias("scheme"), netloc.alias("netloc"), F.concat(scheme, F.lit("://"), netloc).alias("root"), base_path.alias("path"),
+        F.coalesce(F.nullif(F.regexp_extract(base_path, r"^(.*/)[^/]*$", 1), F.lit("")), F.lit("/")).alias("folder"),
+        F.substring_index(base, "#", 1).alias("page"),
+    )
+
+
+def resolve_in(base: Column, href: Column) -> Column:
+    """Absolute form of a link, given the page's ``base_parts``."""
     link_path, link_rest = F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 2)
     return (
         F.when(F.rlike(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, SYNTAX, 1), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, _without_dots(link_path), link_rest))
-        .when(F.startswith(href, F.lit("?")), F.concat(root, base_path, href))
-        .when(F.startswith(href, F.lit("#")) | (href == ""), F.concat(F.substring_index(base, "#", 1), href))
-        .otherwise(F.concat(root, _without_dots(F.concat(folder, link_path)), link_rest))
+        .when(F.startswith(href, F.lit("//")), F.concat(base["scheme"], F.lit(":"), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(base["root"], _without_dots(link_path), link_rest))
+        .when(F.startswith(href, F.lit("?")), F.concat(base["root"], base["path"], href))
+        .when(F.startswith(href, F.lit("#")) | (href == ""), F.concat(base["page"], href))
+        .otherwise(F.concat(base["root"], _without_dots(F.concat(base["folder"], link_path)), link_rest))
     )
 
 
+def resolve(base: Column, href: Column) -> Column:
+    return let(base_parts(base), lambda b: resolve_in(b, href))
+
+
 def looks_like_index(url: Column, deny: Sequence[str] = DENY_PARTS) -> Column:
     lower = F.lower(url)
     short = F.rtrim(lower, F.lit("/"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pressmill.functions import html as h, urls
 from pressmill.functions.text import blank, collapse, contains_any, contains_any_of, starts_with_any_of
 from pressmill.functions.urls import let
+from pressmill.operators.fence import fence
 from pressmill.operators.ordered import first_per_key, top_k, with_index
 from pressmill.session import settle
 
@@ -64,15 +65,15 @@ def usable_hrefs(html: Column) -> Column:
 
 def _rooted(base: Column, href: Column) -> Column:
     """Listing-page rule: a link without scheme and host becomes a path of the page's host."""
-    root = F.concat(F.regexp_extract(base, urls.SYNTAX, 1), F.lit("://"), F.regexp_extract(base, urls.SYNTAX, 2))
     return F.when(F.rlike(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]")), href).otherwise(
-        F.concat(root, F.when(F.startswith(href, F.lit("/")), "").otherwise("/"), href)
+        F.concat(base["root"], F.when(F.startswith(href, F.lit("/")), "").otherwise("/"), href)
     )
 
 
 def extract_links(pages: DataFrame, keep: Sequence[str] = ("page_id", "source_key")) -> DataFrame:
-    rows = pages.select(*keep, F.col("url").alias("base"), F.posexplode(usable_hrefs(F.col("html"))).alias("pos", "href"))
-    return rows.withColumn("link", _rooted(F.col("base"), F.col("href")))
+    based = fence(pages.select(*keep, "url", "html"), b=urls.base_parts(F.col("url")))
+    rows = based.select(*keep, "b", F.posexplode(usable_hrefs(F.col("html"))).alias("pos", "href"))
+    return fence(rows, link=_rooted(F.col("b"), F.col("href"))).drop("b")
 
 
 def _is_article_path(p: Column) -> Column:
@@ -85,62 +86,65 @@ def _is_article_path(p: Column) -> Column:
 
 def discover_article_links(pages: DataFrame, max_links: int = 30) -> DataFrame:
     """Article-shaped links per page, in order, with the anchor count."""
-    base = F.col("url")
-    base_host = F.regexp_extract(base, urls.SYNTAX, 2)
-    hrefs = F.filter(h.hrefs(F.col("html")), lambda x: ~F.startswith(x, F.lit("javascript:")))
-    absolute = F.transform(hrefs, lambda x: urls.canonical_page(urls.resolve(base, x)))
+    based = fence(pages.select("page_id", "source_key", "url", "html"), b=urls.base_parts(F.col("url")), found=h.hrefs(F.col("html")))
+    hrefs = F.filter(F.col("found"), lambda x: ~F.startswith(x, F.lit("javascript:")))
+    keyed = fence(based, absolute=F.transform(hrefs, lambda x: urls.canonical_page(urls.resolve_in(F.col("b"), x))))
 
     def fits(u: Column) -> Column:
-        return let(urls.parts(u), lambda p: p["scheme"].isin("http", "https") & (p["netloc"].isin("") | (p["netloc"] == base_host)) & _is_article_path(p["path"]))
+        return let(urls.parts(u), lambda p: p["scheme"].isin("http", "https") & ((p["netloc"] == "") | (p["netloc"] == F.col("b.netloc"))) & _is_article_path(p["path"]))
 
-    links = F.slice(F.array_distinct(F.filter(absolute, fits)), 1, max_links)
-    return pages.select(
-        "page_id", "source_key", "url", F.size(h.hrefs(F.col("html"))).alias("a_count"), links.alias("links"),
-        F.size(F.array_distinct(absolute)).alias("unique_links"),
+    links = F.slice(F.array_distinct(F.filter(F.col("absolute"), fits)), 1, max_links)
+    return keyed.select(
+        "page_id", "source_key", "url", F.size("found").alias("a_count"), links.alias("links"),
+        F.size(F.array_distinct("absolute")).alias("unique_links"),
     )
 
 
 def extract_internal_links(pages: DataFrame, allow: Sequence[str] = (), deny: Sequence[str] = urls.DENY_PARTS, limit: int = 20) -> DataFrame:
-    base = F.col("url")
-    base_host, base_key = F.regexp_extract(base, urls.SYNTAX, 2), F.rtrim(urls.canonical_page(base), F.lit("/"))
+    based = fence(
+        pages.select("page_id", "url", "html"), b=urls.base_parts(F.col("url")),
+        own=F.rtrim(urls.canonical_page(F.col("url")), F.lit("/")),
+    )
     hrefs = F.filter(usable_hrefs(F.col("html")), lambda x: ~F.startswith(x, F.lit("#")))
-    absolute = F.transform(hrefs, lambda x: urls.resolve(base, x))
+    absolute = F.transform(hrefs, lambda x: urls.resolve_in(F.col("b"), x))
 
     def same_host(u: Column) -> Column:
-        return F.lower(F.regexp_extract(u, urls.SYNTAX, 1)).isin("http", "https") & (F.regexp_extract(u, urls.SYNTAX, 2) == base_host)
+        return F.lower(F.regexp_extract(u, urls.SYNTAX, 1)).isin("http", "https") & (F.regexp_extract(u, urls.SYNTAX, 2) == F.col("b.netloc"))
 
     def wanted(u: Column) -> Column:
         right = contains_any(F.lower(u), [a.lower() for a in allow]) if allow else contains_any(F.lower(urls.path(u)), LINK_KEYWORDS)
-        return (F.rtrim(u, F.lit("/")) != base_key) & ~urls.looks_like_index(u, [d.lower() for d in deny]) & right
+        return (F.rtrim(u, F.lit("/")) != F.col("own")) & ~urls.looks_like_index(u, [d.lower() for d in deny]) & right
 
     keys = F.transform(F.filter(absolute, same_host), urls.canonical_page)
-    return pages.select("page_id", "url", F.slice(F.array_distinct(F.filter(keys, wanted)), 1, limit).alias("links"))
+    return based.select("page_id", "url", F.slice(F.array_distinct(F.filter(keys, wanted)), 1, limit).alias("links"))
 
 
 def harvest_urls(pages: DataFrame, max_links: int = 50) -> DataFrame:
     """Absolute URLs of the page's own host anywhere in its raw text, media left out."""
-    own = urls.host(F.col("url"))
+    based = fence(pages.select("page_id", "url", "html"), own=urls.host(F.col("url")))
     found = F.regexp_extract_all(blank(F.col("html")), F.lit(r"(?i)https?://[^\s\"'<>]+"), F.lit(0))
-    kept = F.filter(found, lambda u: (urls.host(u) == own) & ~F.rlike(urls.path(u), F.lit(urls.MEDIA_EXT)))
-    return pages.select("page_id", "url", F.slice(F.array_distinct(F.transform(kept, urls.canonical_page)), 1, max_links).alias("links"))
+    kept = F.filter(found, lambda u: (urls.host(u) == F.col("own")) & ~F.rlike(urls.path(u), F.lit(urls.MEDIA_EXT)))
+    return based.select("page_id", "url", F.slice(F.array_distinct(F.transform(kept, urls.canonical_page)), 1, max_links).alias("links"))
 
 
 def attachments(pages: DataFrame, base: str = "url", html: str = "html") -> DataFrame:
+    based = fence(pages, _b=urls.base_parts(F.col(base)))
     found = F.regexp_extract_all(blank(F.col(html)), F.lit(r"(?i)href=\"([^\"]+\.(?:pdf|docx?|jpg|jpeg|png))\""), F.lit(1))
-    links = F.array_distinct(F.transform(found, lambda x: urls.resolve(F.col(base), x)))
-    return pages.withColumn("attachments", links).withColumn("attachments_count", F.size(links))
+    links = F.array_distinct(F.transform(found, lambda x: urls.resolve_in(F.col("_b"), x)))
+    return fence(based, attachments=links).drop("_b").withColumn("attachments_count", F.size("attachments"))
 
 
 def doc_link_prefixes(pages: DataFrame, top: int = 5) -> DataFrame:
     """Most frequent path prefixes (first three folders) of document links."""
     anchors = F.regexp_extract_all(h.visible(F.col("html")), F.lit(r"(?is)<a\s[^>]*>.*?</a\s*>"), F.lit(0))
-    rows = pages.select(F.col("url").alias("base"), F.explode(anchors).alias("a")).select(
-        "base", F.regexp_extract("a", r"(?is)\shref\s*=\s*[\"']([^\"']*)[\"']", 1).alias("href"),
-        collapse(h.unescape(h.strip_tags(F.col("a")))).alias("text"),
+    based = fence(pages.select("url", "html"), b=urls.base_parts(F.col("url")))
+    rows = based.select("b", F.explode(anchors).alias("a")).select(
+        "b", "a", F.regexp_extract("a", r"(?is)\shref\s*=\s*[\"']([^\"']*)[\"']", 1).alias("href"),
     ).where(contains_any(F.lower(F.col("href")), [".pdf", ".doc"]))
-    prefix = F.array_join(F.slice(F.split(urls.path(_rooted(F.col("base"), F.col("href"))), "/"), 1, 4), "/")
+    prefix = F.array_join(F.slice(F.split(urls.path(_rooted(F.col("b"), F.col("href"))), "/"), 1, 4), "/")
+    text = collapse(h.unescape(h.strip_tags(F.col("a"))))
     return (
-        rows.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("sample_text"))
+        rows.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min(text).alias("sample_text"))
         .orderBy(F.desc("n"), "prefix").limit(top)
     )
 
@@ -158,7 +162,7 @@ def allow_deny(test, allow: Column, deny: Column) -> Column:
 
 
 def filter_link_prefix(links: DataFrame, link: str = "link") -> DataFrame:
-    keyed = links.withColumn(link, urls.canonical_feed(F.col(link), F.col("drop_params"))).where(F.col(link) != "")
+    keyed = fence(links, **{link: urls.canonical_feed(F.col(link), F.col("drop_params"))}).where(F.col(link) != "")
     return keyed.where(allow_deny(lambda r: starts_with_any_of(F.col(link), r), F.col("allow_prefixes"), F.col("deny_prefixes")))
 
 
@@ -184,7 +188,7 @@ def filter_must_contain(rows: DataFrame, text: Column, tokens: Column) -> DataFr
 
 def filter_by_source_rules(candidates: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Prefix, token and language-section rules of each source, over the URL path."""
-    joined = candidates.join(rules, "source_key", "left").withColumn("_path", urls.path(F.col(url)))
+    joined = fence(candidates.join(rules, "source_key", "left"), _path=urls.path(F.col(url)))
     p = F.col("_path")
     included = starts_with_any_of(p, F.col("include_prefixes")) | (
         F.coalesce(F.col("include_non_en"), F.lit(False)) & ~F.startswith(p, F.lit("/en/")))

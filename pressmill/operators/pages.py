@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressmill.functions import html as h, rules, summaries as sm, urls
 from pressmill.functions.text import any_of, blank, contains_any, strip
+
 from pressmill.functions.times import as_time, span
+from pressmill.operators.fence import fence
 
 
 # ---- page assessment -------------------------------------------------------------------------
@@ -41,15 +43,12 @@ def content_quality(teaser: Column, blocked: Column, text: Column) -> dict[str,
 def read_pages(pages: DataFrame) -> DataFrame:
     """Title, text, time, language and article evidence of every page; no shuffle."""
     html = F.col("html")
-    return pages.select(
-        "page_id", "source_key", "url", h.title(html).alias("title"), h.main_text(html).alias("content"),
+    parsed = fence(pages, title=h.title(html), content=h.main_text(html), anchors=h.anchor_count(html))
+    return parsed.select(
+        "page_id", "source_key", "url", "title", "content",
         h.published_at(html).alias("published"), urls.language_from_url(F.col("url")).alias("language"),
-        h.has_article_meta(html).alias("article_meta"), rules.blocked_text(html).alias("blocked_html"),
-        h.anchor_count(html).alias("anchors"),
-        (F.contains(F.lower(html), F.lit("<article"))).alias("article_tag"), html.alias("html"),
-    ).withColumn(
-        "link_density",
-        F.when(F.length("content") == 0, F.lit(1.0)).otherwise(F.col("anchors") / F.greatest(F.length("content"), F.lit(1))),
+        h.has_article_meta(html).alias("article_meta"), rules.blocked_text(html).alias("blocked_html"), "html",
+        F.when(F.length("content") == 0, F.lit(1.0)).otherwise(F.col("anchors") / F.greatest(F.length("content"), F.lit(1))).alias("link_density"),
     )
 
 

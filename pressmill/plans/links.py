@@ -8,6 +8,7 @@ from pressmill.functions import urls as u
 from pressmill.operators import links as lk
 from pressmill.plans import sqlbits as q
 from pressmill.plans.registry import query
+from pressmill.sources.config import rule_table
 
 
 def _joined(col: str = "links"):
@@ -144,7 +145,7 @@ _RULE_SCHEMA = (
 
 
 def rules(t):
-    return t.spark.createDataFrame(_RULES, _RULE_SCHEMA)
+    return rule_table(t.spark, _RULES, _RULE_SCHEMA)
 
 
 def _ruled(t):
@@ -238,8 +239,8 @@ def source_rules(t):
         ("site2", ["/en/"], False, ["/en/1"], none, none, ["example"]),
         ("site3", none, False, none, none, none, none),
     ]
-    return t.spark.createDataFrame(
-        rows, "source_key string, include_prefixes array<string>, include_non_en boolean, exclude_prefixes array<string>,"
+    return rule_table(
+        t.spark, rows, "source_key string, include_prefixes array<string>, include_non_en boolean, exclude_prefixes array<string>,"
         "link_allow array<string>, link_deny array<string>, include array<string>")
 
 

@@ -38,7 +38,7 @@ def _(t):
 
 
 @query("html_item_block", """WITH d AS (SELECT page_id, '<div class="item-page" itemscope>' || html || CASE page_id % 3 WHEN 0 THEN '<ul class="pagenav">x' WHEN 1 THEN '<div class="ja-moduletable y">z<div class="bt-social-share">q' ELSE '' END AS html FROM pages)
-    SELECT page_id, md5(CASE page_id % 3 WHEN 0 THEN substr(html, 34, length(html) - 33 - 22) WHEN 1 THEN regexp_extract(substr(html, 34), '(?s)^(.*)<div class="bt-social-share">q$', 1) ELSE substr(html, 34) END) AS block FROM d""")
+    SELECT page_id, md5(CASE page_id % 3 WHEN 0 THEN substr(html, 34, length(html) - 33 - 21) WHEN 1 THEN regexp_extract(substr(html, 34), '(?s)^(.*)<div class="bt-social-share">q$', 1) ELSE substr(html, 34) END) AS block FROM d""")
 def _(t):
     tail = F.expr("CASE page_id % 3 WHEN 0 THEN '<ul class=\"pagenav\">x' WHEN 1 THEN '<div class=\"ja-moduletable y\">z<div class=\"bt-social-share\">q' ELSE '' END")
     page = F.concat(F.lit('<div class="item-page" itemscope>'), "html", tail)

@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressmill.sources.config import rule_table
+
 AS_OF = "2024-01-31 00:00:00"
 
 _HEADLINES = (
@@ -262,8 +264,8 @@ class Tables:
             ("security_any", 3, None, ["security", "governance"], ["e"], none, ["attack", "vote"], ["militia", "minister"], ["src1.example.org"], 0),
             ("trade_de", 4, "de", ["regulation"], ["en"], none, none, none, none, 25),
         ]
-        return self.spark.createDataFrame(
-            rows,
+        return rule_table(
+            self.spark, rows,
             "topic_key string, priority int, topic_lang string, tags array<string>, location_terms array<string>,"
             "require_terms array<string>, require_terms_any array<string>, require_terms_any2 array<string>,"
             "preferred_domains array<string>, max_processed int",
