@@ -117,8 +117,7 @@ def canonical_alert(url: Column) -> Column:
         query = F.when(p["query"] == "", "").otherwise(_joined(F.array_sort(_pairs(p["query"], DROP_ALERT))))
         return _rebuild(scheme, netloc, F.rtrim(p["path"], F.lit("/")), query)
 
-    raw = strip(blank(url))
-    return F.when(raw == "", "").otherwise(let(parts(raw), build))
+    return let(strip(blank(url)), lambda u: F.when(u == "", "").otherwise(let(parts(u), build)))
 
 
 def canonical_feed(url: Column, extra_drop: Column | None = None) -> Column:
@@ -131,7 +130,7 @@ def canonical_feed(url: Column, extra_drop: Column | None = None) -> Column:
         whole = _rebuild(scheme, p["netloc"], clean, query)
         return F.when(F.endswith(whole, F.lit("/")) & (clean != "/"), F.regexp_replace(whole, "/$", "")).otherwise(whole)
 
-    return F.when(url.isNull() | (url == ""), url).otherwise(let(parts(strip(url)), build))
+    return F.when(url.isNull() | (url == ""), url).otherwise(let(strip(url), lambda u: let(parts(u), build)))
 
 
 def canonical_page(url: Column) -> Column:

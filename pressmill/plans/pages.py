@@ -100,23 +100,23 @@ def _(t):
 
 
 @query("teaser_fallback", f"""WITH p AS (SELECT page_id, url || '#' || page_id AS url, CASE WHEN page_id % 3 = 0 THEN '  ' ELSE html END AS html FROM pages),
-    x AS (SELECT page_id, page_id % 6 = 0 AS used, html, {TXT} AS content, {TITLE} AS title FROM p)
+    x AS (SELECT page_id, page_id % 3 = 0 AND url LIKE '%/en/%' AS used, html, {TXT} AS content, {TITLE} AS title FROM p)
     SELECT page_id, used AS used_teaser, CASE WHEN used THEN 'teaser ' || page_id ELSE nullif(title, '') END AS title, CASE WHEN used THEN 'sum' ELSE content END AS content FROM x""")
 def _(t):
     raw = t.raw("pages").withColumn("url", F.concat("url", F.lit("#"), "page_id"))
     blank_some = raw.withColumn("html", F.when(F.col("page_id") % 3 == 0, "  ").otherwise(F.col("html")))
-    teasers = raw.where("page_id % 2 = 0").select("url", F.concat(F.lit("teaser "), "page_id").alias("title"), F.lit("sum").alias("summary"))
+    teasers = raw.where("url LIKE '%/en/%'").select("url", F.concat(F.lit("teaser "), "page_id").alias("title"), F.lit("sum").alias("summary"))
     return pg.teaser_fallback(blank_some, teasers).select("page_id", "used_teaser", "title", "content")
 
 
 # ---- stored quality --------------------------------------------------------------------------
 
 INCOMING = """inc AS (SELECT id, source_id, ['full','teaser','title_only','other'][(id % 4 + 1)::INT] AS content_kind, 'partial' AS verification_status,
-    [80,30,0,5][(id % 4 + 1)::INT] AS fetch_quality, 'new text ' || id AS content, 'new title' AS title, '' AS summary FROM fx_articles WHERE id % 3 <> 0)"""
+    [80,30,0,5][(id % 4 + 1)::INT] AS fetch_quality, 'new text ' || id AS content, 'new title' AS title, '' AS summary FROM fx_articles)"""
 
 
 def incoming(t):
-    return t.articles.where("id % 3 <> 0").selectExpr(
+    return t.articles.selectExpr(
         "id", "source_id", "element_at(array('full','teaser','title_only','other'), CAST(id % 4 + 1 AS INT)) AS content_kind", "'partial' AS verification_status",
         "element_at(array(80,30,0,5), CAST(id % 4 + 1 AS INT)) AS fetch_quality", "concat('new text ', id) AS content", "'new title' AS title", "'' AS summary")
 
@@ -124,13 +124,13 @@ def incoming(t):
 _RANK = "CASE lower(coalesce(nullif({0}, ''), 'full')) WHEN 'full' THEN 3 WHEN 'teaser' THEN 2 WHEN 'title_only' THEN 1 ELSE 0 END"
 
 
-@query("quality_merge", f"""WITH {INCOMING}, old AS (SELECT * FROM fx_articles WHERE id % 7 <> 0), j AS (SELECT i.*, o.content_kind AS ok, o.verification_status AS ov, o.fetch_quality AS oq, o.content AS oc, o.title AS ot, o.summary AS os,
+@query("quality_merge", f"""WITH {INCOMING}, old AS (SELECT * FROM fx_articles WHERE NOT is_deleted), j AS (SELECT i.*, o.content_kind AS ok, o.verification_status AS ov, o.fetch_quality AS oq, o.content AS oc, o.title AS ot, o.summary AS os,
       {_RANK.format('i.content_kind')} < 3 AND {_RANK.format('o.content_kind')} > {_RANK.format('i.content_kind')} AND NOT (i.source_id IN ('src1','src2') AND length(coalesce(o.content,'')) < 1800) AS keep FROM inc i LEFT JOIN old o USING (id))
     SELECT id, CASE WHEN keep THEN coalesce(ok, content_kind) ELSE content_kind END AS content_kind, CASE WHEN keep THEN coalesce(ov, verification_status) ELSE verification_status END AS verification_status,
       CASE WHEN keep THEN coalesce(nullif(oq, 0), fetch_quality) ELSE fetch_quality END AS fetch_quality, md5(CASE WHEN keep THEN coalesce(nullif(oc,''), content) ELSE content END) AS content,
       CASE WHEN keep THEN coalesce(ot, title) ELSE title END AS title, CASE WHEN keep THEN coalesce(nullif(os, ''), summary) ELSE summary END AS summary FROM j""")
 def _(t):
-    merged = pg.quality_merge(t.articles.where("id % 7 <> 0"), incoming(t), key="id", short_sources=["src1", "src2"])
+    merged = pg.quality_merge(t.articles.where("NOT is_deleted"), incoming(t), key="id", short_sources=["src1", "src2"])
     return merged.withColumn("content", F.md5("content")).drop("source_id")
 
 
@@ -142,23 +142,23 @@ def _(t):
     return fixed.select("id", *pg.QUALITY)
 
 
-@query("refetch_upgrade", f"""WITH r AS (SELECT doc_id AS id, 'better' AS t, CASE WHEN doc_id % 8 = 0 THEN 'Access Denied ' || text ELSE text END AS c FROM documents WHERE doc_id % 2 = 0),
+@query("refetch_upgrade", f"""WITH r AS (SELECT doc_id AS id, 'better' AS t, CASE WHEN doc_id % 8 = 0 THEN 'Access Denied ' || text ELSE text END AS c FROM documents WHERE lang = 'en'),
     x AS (SELECT a.*, r.t, r.c, CASE WHEN r.c IS NULL THEN 'none' WHEN {q.has_any('lower(r.c)', rules.BLOCK_MARKERS)} THEN 'blocked_html' WHEN length({q.strip('r.c')}) < 600 THEN 'content_too_short' ELSE 'ok' END AS res FROM fx_articles a LEFT JOIN r USING (id))
     SELECT id, title, md5(CASE WHEN res = 'ok' THEN c ELSE content END) AS content, CASE WHEN res = 'ok' THEN 'full' ELSE content_kind END AS content_kind,
       CASE WHEN res = 'ok' THEN CASE WHEN length({q.strip('c')}) >= 2000 THEN 90 ELSE 70 END ELSE fetch_quality END AS fetch_quality, res AS refetch_result FROM x""")
 def _(t):
-    again = t.raw("documents").where("doc_id % 2 = 0").selectExpr(
+    again = t.raw("documents").where("lang = 'en'").selectExpr(
         "doc_id AS id", "'better' AS title", "CASE WHEN doc_id % 8 = 0 THEN concat('Access Denied ', text) ELSE text END AS content")
     done = pg.refetch_upgrade(t.articles, again, key="id")
     return done.select("id", "title", F.md5("content").alias("content"), "content_kind", "fetch_quality", "refetch_result")
 
 
 @query("content_changed", """WITH n AS (SELECT id, CASE WHEN id % 3 = 0 THEN content ELSE content || '!' END AS content FROM fx_articles),
-    x AS (SELECT n.id, sha256(n.content) AS h, coalesce(o.content_hash, sha256(o.content)) AS oh, o.summary_status FROM n LEFT JOIN (SELECT * FROM fx_articles WHERE id % 5 <> 1) o USING (id))
+    x AS (SELECT n.id, sha256(n.content) AS h, coalesce(o.content_hash, sha256(o.content)) AS oh, o.summary_status FROM n LEFT JOIN (SELECT * FROM fx_articles WHERE NOT is_deleted) o USING (id))
     SELECT id, h IS DISTINCT FROM oh AS changed, CASE WHEN h IS DISTINCT FROM oh THEN 'PENDING' ELSE summary_status END AS summary_status, h AS content_hash FROM x""")
 def _(t):
     new = t.articles.select("id", F.when(F.col("id") % 3 == 0, F.col("content")).otherwise(F.concat("content", F.lit("!"))).alias("content"))
-    return pg.content_changed(t.articles.where("id % 5 <> 1"), new, key="id").select("id", "changed", "summary_status", "content_hash")
+    return pg.content_changed(t.articles.where("NOT is_deleted"), new, key="id").select("id", "changed", "summary_status", "content_hash")
 
 
 # ---- text ------------------------------------------------------------------------------------

@@ -43,6 +43,8 @@ def with_views(sql: str) -> str:
     if not needed:
         return body
     head = "WITH " + ", ".join(f"{v} AS ({VIEWS[v].strip()})" for v in needed)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head[5:]}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"{head}, {body[5:]}"
     return f"{head} {body}"
