@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["metrics", "links", "pages", "selection", "scans"]
+MODULES = ["metrics", "links", "pages", "selection", "scans", "tables"]
 
 
 def load() -> None:

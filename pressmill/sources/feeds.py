@@ -141,7 +141,7 @@ def scan_series_csv(lines: DataFrame, series: str = "series") -> DataFrame:
 
 def scan_ohlc_csv(docs: DataFrame, symbol: str = "symbol") -> DataFrame:
     """Close of the last line of each landed daily file; the column is found by its header name, else the fifth."""
-    lines = F.filter(F.transform(F.split("body", r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("body", r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     rows = fence(docs, lines=lines).where(F.size("lines") >= 2)
     at = F.array_position(F.split(F.get(F.col("lines"), 0), ","), "Close")
     last = F.split(F.element_at("lines", -1), ",")
