@@ -65,17 +65,19 @@ def reconcile_source_ids(articles: DataFrame, names: DataFrame) -> DataFrame:
 
 # ---- joins -----------------------------------------------------------------------------------
 
-def substring_pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+def substring_pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str, wildcards: bool = False) -> DataFrame:
     """All (text, needle) with the needle inside the text, without comparing everything with everything.
 
-    A needle is looked up by its first three characters (or all, if shorter) among the character runs of the
-    text, then the whole needle is checked.
+    A needle is looked up by the first three characters (or all, if shorter) of its longest plain run among the
+    character runs of the text, then the whole needle is checked. With ``wildcards`` % and _ match as in LIKE.
     """
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.when(F.length(text) >= n, F.transform(
         F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(F.col(text), at, n))).otherwise(F.array().cast("array<string>"))))
-    hay = texts.select(text).distinct().where(F.length(text) > 0).select(text, F.explode(F.array_distinct(runs)).alias("_run"))
-    keys = needles.select(needle).distinct().where(F.length(needle) > 0).select(needle, F.left(F.col(needle), F.lit(3)).alias("_run"))
-    return hay.join(keys, "_run").where(F.contains(text, F.col(needle))).select(text, needle)
+    plain = F.array_sort(F.split(needle, "[%_]"), lambda a, b: F.length(b) - F.length(a))[0] if wildcards else F.col(needle)
+    hit = F.like(F.col(text), F.concat(F.lit("%"), needle, F.lit("%"))) if wildcards else F.contains(text, F.col(needle))
+    hay = texts.select(text).distinct().where(F.length(text) > 0).select(text, F.explode(F.array_distinct(F.array_append(runs, F.lit("")))).alias("_run"))
+    keys = needles.select(needle).distinct().where(F.length(needle) > 0).select(needle, F.left(plain, F.lit(3)).alias("_run"))
+    return hay.join(keys, "_run").where(hit).select(text, needle)
 
 
 def map_source_name(raw: DataFrame, name: str, sources: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pressmill.functions import rules
 from pressmill.operators import metrics as m, tables as tb, writes as w
 from pressmill.plans import sqlbits as q
 from pressmill.plans.registry import query
+from pressmill.session import scratch_path
 from pressmill.sources.bind import AS_OF
 
 T = "TIMESTAMP '2024-01-31'"
@@ -261,13 +262,13 @@ def _(t):
 
 
 @query("apply_assignments", f"""WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 'p0' END AS p FROM orders), a AS (SELECT o_orderkey AS id, 'p' || max(o_custkey) AS np FROM orders WHERE o_totalprice > 300000 GROUP BY 1)
-    SELECT r.id, coalesce(np, p) AS assigned_partner_id, CASE WHEN np IS NOT NULL THEN 'assigned' ELSE status END AS status, CASE WHEN np IS NOT NULL THEN {T} END AS updated_at, (SELECT count(*) FROM orders WHERE o_totalprice > 300000) AS leads FROM r LEFT JOIN a USING (id)""")
+    SELECT r.id, coalesce(np, p) AS assigned_partner_id, CASE WHEN np IS NOT NULL THEN 'assigned' ELSE status END AS status, CASE WHEN np IS NOT NULL THEN {T} END AS updated_at FROM r LEFT JOIN a USING (id)""")
 def _(t):
     o = t.raw("orders")
     requests = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderstatus") == "F", "p0").alias("assigned_partner_id"),
                         F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    updated, leads = w.apply_assignments(requests, o.where("o_totalprice > 300000").select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("p"), "o_custkey").alias("partner_id")), AS_OF)
-    return updated.join(leads.agg(F.count(F.lit(1)).alias("leads")), F.lit(True)).select("id", "assigned_partner_id", "status", "updated_at", "leads")
+    updated, _ = w.apply_assignments(requests, o.where("o_totalprice > 300000").select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("p"), "o_custkey").alias("partner_id")), AS_OF)
+    return updated.select("id", "assigned_partner_id", "status", "updated_at")
 
 
 @query("log_run", f"""WITH s AS (SELECT source_key, CAST(sum(saved) AS BIGINT) AS saved, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(blocked) AS BIGINT) AS blocked FROM fx_runs GROUP BY 1)
@@ -280,18 +281,19 @@ def _(t):
 
 @query("save_report", """SELECT source_id, count(*) AS items, 'Report ' || source_id AS title FROM fx_articles GROUP BY 1""")
 def _(t):
-    import tempfile
-
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/reports"
+    path = scratch_path(t.spark, "reports")
     made = t.articles.groupBy("source_id").agg(F.count(F.lit(1)).alias("items")).withColumn("title", F.concat(F.lit("Report "), "source_id"))
     w.save_report(made, path)
     return t.spark.read.parquet(path)
 
 
-@query("job_merge_items", f"""WITH old AS (SELECT url, count(*) AS c FROM fx_articles WHERE is_deleted GROUP BY 1), inc AS (SELECT url, arg_max(title, id) AS title FROM fx_articles WHERE NOT is_deleted GROUP BY 1)
-    SELECT count(*) FILTER (WHERE old.url IS NULL) AS inserted, count(*) FILTER (WHERE old.url IS NOT NULL AND inc.url IS NOT NULL) AS updated, count(*) AS snapshot_rows FROM old FULL JOIN inc USING (url)""")
+@query("job_merge_items", """WITH old AS (SELECT DISTINCT url FROM fx_articles WHERE is_deleted), inc AS (SELECT DISTINCT url FROM fx_articles WHERE NOT is_deleted)
+    SELECT 'inserted' AS metric, count(*) AS n FROM inc WHERE url NOT IN (SELECT url FROM old) UNION ALL SELECT 'updated', count(*) FROM inc WHERE url IN (SELECT url FROM old)
+    UNION ALL SELECT 'snapshot_rows', count(*) FROM (SELECT url FROM old UNION SELECT url FROM inc)""")
 def _(t):
     old = t.articles.where("is_deleted").groupBy("url").agg(F.max("title").alias("title"))
     new = t.articles.where("NOT is_deleted").select("url", "title", F.col("id").alias("seq"))
-    snapshot = w.upsert(old, new, ["url"], "seq").agg(F.count(F.lit(1)).alias("snapshot_rows"))
-    return w.upsert_counts(old, new, ["url"]).join(snapshot, F.lit(True))
+    size = w.upsert(old, new, ["url"], "seq").agg(F.count(F.lit(1)).alias("n")).select(F.lit("snapshot_rows").alias("metric"), "n")
+    counts = w.upsert_counts(old, new, ["url"])
+    return size.unionByName(counts.select(F.lit("inserted").alias("metric"), F.col("inserted").alias("n"))).unionByName(
+        counts.select(F.lit("updated").alias("metric"), F.col("updated").alias("n")))

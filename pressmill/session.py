@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,13 +45,24 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     return wanted
 
 
+def shared_dir(spark: SparkSession) -> str | None:
+    """The cluster's shared folder; on a single machine without one, a fresh temporary folder."""
+    local = spark.sparkContext.master.startswith("local")
+    return checkpoint_dir(spark) or checkpoint_dir(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") if local else None)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    root = shared_dir(spark)
+    if root is None:
+        raise RuntimeError("spark.checkpoint.dir is not set, and a cluster has no other shared folder")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write an expensive intermediate once to the shared checkpoint folder and go on from there.
 
     Used where an operator reads its input more than once (prefix sums, several aggregates), so that
     page parsing is not repeated. A lost executor costs nothing: the rows are read back from the folder.
     """
-    spark = df.sparkSession
-    if checkpoint_dir(spark) is None:
-        checkpoint_dir(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp") if spark.sparkContext.master.startswith("local") else None)
-    return df.checkpoint() if checkpoint_dir(spark) else df
+    return df.checkpoint() if shared_dir(df.sparkSession) else df
