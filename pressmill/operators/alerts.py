@@ -14,6 +14,7 @@ from pressmill.operators.ordered import top_k
 from pressmill.operators.search import article_tokens, cover_rank, match_clause
 from pressmill.operators.tables import substring_pairs
 from pressmill.operators.writes import pref_defaults
+from pressmill.session import settle
 
 NONE = "\u0002"
 MATCH_LIMIT = 50
@@ -150,7 +151,8 @@ def alert_matches(requests: DataFrame, articles: DataFrame, sources: DataFrame,
     quick = reqs.where("query = ''").select("alert_id", "scope", "start_ts").join(newest, "scope").where("ts >= start_ts")
 
     found = scoped(query_hits(requests, articles).join(base, "id"), patterns)
-    found = found.join(scopes.where("text").select("scope"), "scope", "left_semi").withColumn("day", F.to_date("ts"))
+    # Read three times below, so the text work is done and stored once.
+    found = settle(found.join(scopes.where("text").select("scope"), "scope", "left_semi").withColumn("day", F.to_date("ts")))
     best = top_k(found, ["scope", "day"], [F.desc("rank"), F.desc("ts"), F.desc("id")], limit, F.col("id"))
     asking = reqs.where("query <> ''").select("alert_id", "scope", "start_ts", F.to_date("start_ts").alias("day"))
     first_day = asking.join(found, ["scope", "day"]).where("ts >= start_ts")
@@ -188,7 +190,7 @@ def enqueue(keyed: DataFrame, deliveries: DataFrame, prefs: DataFrame, as_of) ->
     """New delivery rows. Order matters: what is already queued adds no row and so does not hold back a later alert."""
     fresh = not_recent(keyed, deliveries, prefs, as_of)
     chosen = fresh.join(prefs.select("user_id", "channels_enabled", "priority_categories"), "user_id").where(F.array_contains("channels_enabled", F.col("channel")))
-    new = chosen.join(deliveries.select("alert_id", "article_id", "channel"), ["alert_id", "article_id", "channel"], "left_anti")
+    new = settle(chosen.join(deliveries.select("alert_id", "article_id", "channel"), ["alert_id", "article_id", "channel"], "left_anti"))
     keys = ["user_id", "channel", "dedupe_key"]
     first = new.groupBy(*keys).agg(F.min("alert_id").alias("alert_id"))
     rows = new.join(first, [*keys, "alert_id"], "left_semi")
@@ -203,7 +205,7 @@ def run_cycle(alerts: DataFrame, searches: DataFrame, cursors: DataFrame, articl
               prefs: DataFrame, as_of, limit: int = MATCH_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(new deliveries, matches). Write the deliveries before the cursors."""
     requests = alert_requests(alerts, searches, as_of, cursors)
-    matches = alert_matches(requests, articles, sources, as_of, limit)
+    matches = settle(alert_matches(requests, articles, sources, as_of, limit))
     wanted = effective_prefs(requests, prefs)
     return enqueue(keyed_matches(matches, requests, articles, sources), deliveries, wanted, as_of), matches
 
@@ -339,7 +341,7 @@ def queue_result(queue: DataFrame, outcomes: DataFrame, as_of, max_attempts: int
     waits = F.array(*map(F.lit, [600, 1800, 7200, 43200]))
     wait = F.element_at(waits, F.greatest(F.lit(1), F.least(F.col("attempts"), F.lit(4))).cast("int"))
     asked = F.regexp_extract("_err", r"^blocked_html:retry_after=\s*(\d+)\s*$", 1).try_cast("int")
-    wait = F.when(F.startswith("_err", F.lit("blocked_html:retry_after=")), F.coalesce(F.greatest(asked, F.lit(3600)), F.greatest(wait, F.lit(3600)))).otherwise(wait)
+    wait = F.when(F.startswith("_err", F.lit("blocked_html:retry_after=")), F.greatest(F.coalesce(asked, wait), F.lit(3600))).otherwise(wait)
     dead = F.col("attempts") >= max_attempts
     failed = ~F.col("ok")
     return rows.withColumns({

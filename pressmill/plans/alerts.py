@@ -19,7 +19,7 @@ REQ = f"""req AS (SELECT a.id AS alert_id, a.user_id, a.channel, a.target, s.nam
 _HIT = f"""CASE query WHEN '' THEN 0.0 WHEN 'pipeline' THEN 0.1 * {count('pipeline')} WHEN 'minister' THEN 0.1 * {count('minister')} WHEN 'attack -vote' THEN CASE WHEN list_contains(tk, 'vote') THEN NULL ELSE 0.1 * {count('attack')} END
       WHEN 'central bank' THEN CASE WHEN list_contains(tk, 'central') AND list_contains(tk, 'bank') THEN 0.1 END WHEN 'customs tariff' THEN CASE WHEN list_contains(tk, 'customs') AND list_contains(tk, 'tariff') THEN 0.1 END
       ELSE CASE WHEN contains(' ' || array_to_string(tk, ' ') || ' ', ' tender and procurement ') THEN 0.1 END END"""
-MATCH = f"""{TOK}, texts AS (SELECT DISTINCT query FROM req), scored AS (SELECT query, id, round({_HIT}, 6) AS rank FROM texts, tok),
+MATCH = f"""{TOK}, texts AS (SELECT DISTINCT query FROM req), scored AS (SELECT query, id, round({_HIT}, 6)::DOUBLE AS rank FROM texts, tok),
     hits AS (SELECT * FROM scored WHERE rank IS NOT NULL AND (query = '' OR rank > 0)),
     art AS (SELECT a.id, coalesce(published_at, created_at) AS ts, a.category, a.source, a.source_id, a.source_name, s.name AS dim_name, a.url, a.title FROM fx_articles a LEFT JOIN fx_sources s ON s.id = a.source_id),
     cand AS (SELECT r.alert_id, a.id, a.ts, h.rank, row_number() OVER (PARTITION BY r.alert_id ORDER BY h.rank DESC, a.ts DESC, a.id DESC) AS match_no FROM req r JOIN hits h ON h.query = r.query JOIN art a ON a.id = h.id
@@ -172,7 +172,7 @@ def _(t):
 
 @query("alert_digest", f"""WITH {DUE}, {_WANT}, it AS (SELECT due.*, a.title, a.url, a.summary, s.name AS sn, (due.alert_no - 1) // 2 AS batch_no FROM due JOIN fx_articles a ON a.id = due.article_id LEFT JOIN fx_sources s ON s.id = a.source_id),
     g AS (SELECT alert_id, batch_no, dedupe_key, min(alert_no) AS at, count(*) AS n, arg_min(title, alert_no) AS title, arg_min(url, alert_no) AS url, arg_min(summary, alert_no) AS summary,
-        list_distinct(list(sn) FILTER (WHERE sn IS NOT NULL)) AS names, (SELECT string_agg(sn, ', ' ORDER BY m) FROM (SELECT i2.sn, min(i2.alert_no) AS m FROM it i2 WHERE i2.alert_id = it.alert_id AND i2.batch_no = it.batch_no AND i2.dedupe_key = it.dedupe_key AND sn IS NOT NULL GROUP BY 1)) AS srcs FROM it GROUP BY 1, 2, 3),
+        (SELECT string_agg(sn, ', ' ORDER BY m) FROM (SELECT i2.sn, min(i2.alert_no) AS m FROM it i2 WHERE i2.alert_id = it.alert_id AND i2.batch_no = it.batch_no AND i2.dedupe_key = it.dedupe_key AND sn IS NOT NULL GROUP BY 1)) AS srcs FROM it GROUP BY 1, 2, 3),
     b AS (SELECT *, {q.strip("title || CASE WHEN srcs IS NOT NULL THEN chr(10) || 'Sources: ' || srcs ELSE '' END || CASE WHEN " + q.strip('summary') + " <> '' THEN chr(10) || chr(10) || left(" + q.strip('summary') + ", 600) ELSE '' END || chr(10) || chr(10) || url")} AS block FROM g)
     SELECT alert_id, batch_no, count(*) AS groups, CAST(sum(n) AS BIGINT) AS items, CAST(sum(n) AS BIGINT) || ' new items from your searches' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY at) AS message FROM b GROUP BY 1, 2""")
 def _(t):

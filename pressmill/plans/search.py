@@ -37,12 +37,12 @@ def _(t):
     return stored.groupBy("token").agg(F.count(F.lit(1)).alias("articles"), F.sum("tf").alias("uses"))
 
 
-@query("search_articles", f"""WITH {TOK} SELECT id, ts, round(0.1 * {count('minister')}, 6) AS rank FROM tok WHERE ts >= {T} - INTERVAL 30 DAY AND list_contains(tk, 'minister') ORDER BY rank DESC, ts DESC, id DESC LIMIT 50""")
+@query("search_articles", f"""WITH {TOK} SELECT id, ts, round(0.1 * {count('minister')}, 6)::DOUBLE AS rank FROM tok WHERE ts >= {T} - INTERVAL 30 DAY AND list_contains(tk, 'minister') ORDER BY rank DESC, ts DESC, id DESC LIMIT 50""")
 def _(t):
     return se.search_articles(t.articles, "Minister", AS_OF, days=30, n=50).select("id", "ts", "rank")
 
 
-@query("search_articles_terms", f"""WITH {TOK} SELECT id, ts, round(CASE WHEN list_contains(tk, 'central') AND list_contains(tk, 'bank') THEN 0.1 ELSE 0 END + 0.1 * {count('pipeline')} + CASE WHEN contains(array_to_string(tk, ' '), 'tender and procurement') THEN 0.1 ELSE 0 END, 6) AS rank
+@query("search_articles_terms", f"""WITH {TOK} SELECT id, ts, round(CASE WHEN list_contains(tk, 'central') AND list_contains(tk, 'bank') THEN 0.1 ELSE 0 END + 0.1 * {count('pipeline')} + CASE WHEN contains(array_to_string(tk, ' '), 'tender and procurement') THEN 0.1 ELSE 0 END, 6)::DOUBLE AS rank
     FROM tok WHERE ts >= {T} - INTERVAL 30 DAY AND (source ILIKE '%src1%' OR source_name ILIKE '%src1%') AND ((list_contains(tk, 'central') AND list_contains(tk, 'bank')) OR list_contains(tk, 'pipeline') OR contains(array_to_string(tk, ' '), 'tender and procurement'))
     ORDER BY rank DESC, ts DESC, id DESC LIMIT 100""")
 def _(t):
@@ -61,7 +61,7 @@ def _(t):
 
 
 @query("job_search", f"""WITH {TOK}, terms AS (SELECT DISTINCT query FROM fx_searches WHERE query IN ('pipeline', 'minister')),
-    h AS (SELECT query, id, ts, round(0.1 * len(list_filter(tk, lambda x: x = query)), 6) AS rank FROM terms, tok WHERE list_contains(tk, query)),
+    h AS (SELECT query, id, ts, round(0.1 * len(list_filter(tk, lambda x: x = query)), 6)::DOUBLE AS rank FROM terms, tok WHERE list_contains(tk, query)),
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank DESC, ts DESC, id DESC) AS rn FROM h)
     SELECT query, id, rank, rn FROM r WHERE rn <= 50""")
 def _(t):
