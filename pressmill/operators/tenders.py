@@ -139,20 +139,24 @@ def digest_lines(tenders: DataFrame, as_of, days: int = 7, per_buyer: int = 200)
     buyers = by_buyer(tenders, as_of, days)
     total = buyers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     start, end = F.date_format(before(as_of, days=days), "yyyy-MM-dd"), F.date_format(before(as_of), "yyyy-MM-dd")
-    head = total.select(F.explode(F.array(
-        F.struct(F.lit(1).alias("line_no"), F.lit("# Procurement Digest").alias("line")), F.struct(F.lit(2), F.lit("")),
-        F.struct(F.lit(3), F.concat(F.lit("**Window:** "), start, F.lit(" -> "), end)),
-        F.struct(F.lit(4), F.concat(F.lit("**Total new items:** "), F.col("n").cast("string"))), F.struct(F.lit(5), F.lit("")),
-        F.struct(F.lit(6), F.when(F.col("n") > 0, "## Summary by buyer").otherwise("_No new tenders in this window._")),
-    )).alias("h")).select(F.lit(0).alias("part"), F.lit("").alias("buyer"), "h.line_no", "h.line")
+    def numbered(first: int, *texts: Column | str) -> Column:
+        return F.explode(F.array(*[
+            F.struct(F.lit(first + i).alias("line_no"), F.coalesce(x if isinstance(x, Column) else F.lit(x), F.lit("")).alias("line"))
+            for i, x in enumerate(texts)])).alias("h")
+
+    head = total.select(numbered(
+        1, "# Procurement Digest", "", F.concat(F.lit("**Window:** "), start, F.lit(" -> "), end),
+        F.concat(F.lit("**Total new items:** "), F.col("n").cast("string")), "",
+        F.when(F.col("n") > 0, "## Summary by buyer").otherwise("_No new tenders in this window._"),
+    )).select(F.lit(0).alias("part"), F.lit("").alias("buyer"), "h.line_no", "h.line")
     summary = buyers.select(F.lit(1).alias("part"), F.col("who").alias("buyer"), F.lit(0).alias("line_no"), F.concat(
         F.lit("- **"), one_line(F.col("who")), F.lit("** ("), one_line(F.col("sector")), F.lit("): "), F.col("n").cast("string")).alias("line"))
     gap = rule_table(tenders.sparkSession, [(2, "", 0, "")], "part int, buyer string, line_no int, line string")
-    heads = buyers.select(F.lit(3).alias("part"), F.col("who").alias("buyer"), F.explode(F.array(
-        F.struct(F.lit(-5).alias("line_no"), F.concat(F.lit("## "), one_line(F.col("who"))).alias("line")),
-        F.struct(F.lit(-4), F.concat(F.lit("**Sector:** "), one_line(F.col("sector")), F.lit("  |  **Count:** "), F.col("n").cast("string"))),
-        F.struct(F.lit(-3), F.lit("")), F.struct(F.lit(-2), F.lit("| Title | Published | Deadline | Attachments | Link |")),
-        F.struct(F.lit(-1), F.lit("|---|---:|---:|---:|---|")), F.struct(F.lit(1_000_000), F.lit("")))).alias("h")).select("part", "buyer", "h.line_no", "h.line")
+    heads = buyers.select(F.lit(3).alias("part"), F.col("who").alias("buyer"), numbered(
+        -5, F.concat(F.lit("## "), one_line(F.col("who"))),
+        F.concat(F.lit("**Sector:** "), one_line(F.col("sector")), F.lit("  |  **Count:** "), F.col("n").cast("string")),
+        "", "| Title | Published | Deadline | Attachments | Link |", "|---|---:|---:|---:|---|")).select("part", "buyer", "h.line_no", "h.line")
+    tails = buyers.select(F.lit(3).alias("part"), F.col("who").alias("buyer"), F.lit(1_000_000).alias("line_no"), F.lit("").alias("line"))
     shown = top_k(rows, ["who"], [F.desc("created_at"), F.desc("raw_article_id")], per_buyer, F.col("raw_article_id"), "line_no")
     title = F.coalesce(F.nullif(F.left(one_line(F.col("title")), F.lit(160)), F.lit("")), F.lit("(no title)"))
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
@@ -160,7 +164,7 @@ def digest_lines(tenders: DataFrame, as_of, days: int = 7, per_buyer: int = 200)
         F.lit("| "), title, F.lit(" | "), day("publish_date"), F.lit(" | "), day("deadline_date"), F.lit(" | "),
         F.coalesce("attachments_count", F.lit(0)).cast("string"), F.lit(" | "), blank(F.col("url")), F.lit(" |")).alias("line"))
     out = head
-    for part in (summary, gap, heads, body):
+    for part in (summary, gap, heads, body, tails):
         out = out.unionByName(part)
     return out.orderBy("part", "buyer", "line_no")
 

@@ -171,10 +171,10 @@ def _(t):
 
 
 @query("alert_digest", f"""WITH {DUE}, {_WANT}, it AS (SELECT due.*, a.title, a.url, a.summary, s.name AS sn, (due.alert_no - 1) // 2 AS batch_no FROM due JOIN fx_articles a ON a.id = due.article_id LEFT JOIN fx_sources s ON s.id = a.source_id),
-    g AS (SELECT alert_id, batch_no, dedupe_key, min(alert_no) AS at, count(*) AS n, arg_min(title, alert_no) AS title, arg_min(url, alert_no) AS url, arg_min(summary, alert_no) AS summary,
+    g AS (SELECT alert_id, batch_no, dedupe_key, min(alert_no) AS pos0, count(*) AS n, arg_min(title, alert_no) AS title, arg_min(url, alert_no) AS url, arg_min(summary, alert_no) AS summary,
         (SELECT string_agg(sn, ', ' ORDER BY m) FROM (SELECT i2.sn, min(i2.alert_no) AS m FROM it i2 WHERE i2.alert_id = it.alert_id AND i2.batch_no = it.batch_no AND i2.dedupe_key = it.dedupe_key AND sn IS NOT NULL GROUP BY 1)) AS srcs FROM it GROUP BY 1, 2, 3),
     b AS (SELECT *, {q.strip("title || CASE WHEN srcs IS NOT NULL THEN chr(10) || 'Sources: ' || srcs ELSE '' END || CASE WHEN " + q.strip('summary') + " <> '' THEN chr(10) || chr(10) || left(" + q.strip('summary') + ", 600) ELSE '' END || chr(10) || chr(10) || url")} AS block FROM g)
-    SELECT alert_id, batch_no, count(*) AS groups, CAST(sum(n) AS BIGINT) AS items, CAST(sum(n) AS BIGINT) || ' new items from your searches' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY at) AS message FROM b GROUP BY 1, 2""")
+    SELECT alert_id, batch_no, count(*) AS groups, CAST(sum(n) AS BIGINT) AS items, CAST(sum(n) AS BIGINT) || ' new items from your searches' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos0) AS message FROM b GROUP BY 1, 2""")
 def _(t):
     due = al.alert_due(t.deliveries, t.alerts, t.prefs, AS_OF, n=4)
     return al.alert_digest(al.due_articles(due, t.articles, t.sources), batch=2)

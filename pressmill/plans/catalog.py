@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["metrics", "links", "pages", "selection", "scans", "tables", "search", "alerts", "markets"]
+MODULES = ["metrics", "links", "pages", "selection", "scans", "tables", "search", "alerts", "markets", "streams"]
 
 
 def load() -> None:
