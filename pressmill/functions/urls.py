@@ -228,3 +228,12 @@ def reject_reason(url: Column, host_suffix: str, static_prefixes: Sequence[str])
         .when(F.rlike(lower, F.lit(MEDIA_EXT)), "extension")
         .when(starts(static_prefixes), "static_section")
     )
+
+
+def is_statement_page(url: Column, static_prefixes: Sequence[str]) -> Column:
+    """Article test of that institution's sitemap: an encoded slug, or one long slug outside the English section."""
+    folder = F.concat(F.rtrim(F.coalesce(F.nullif(path(url), F.lit("")), F.lit("/")), F.lit("/")), F.lit("/"))
+    banned = any_of(F.startswith(folder, F.lit(p)) for p in static_prefixes)
+    banned = banned | contains_any(F.lower(folder), ["/wp-content/", "/wp-json/", "/wp-admin/", "/feed/"])
+    slug = (F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))) == 2) & (F.length(folder) >= 20) & ~F.startswith(folder, F.lit("/en/"))
+    return ~banned & ~F.rlike(folder, F.lit(MEDIA_EXT)) & (F.startswith(folder, F.lit("/%")) | slug)

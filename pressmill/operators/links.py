@@ -213,8 +213,10 @@ def filter_sitemap_candidates(entries: DataFrame, rules: DataFrame, max_links: i
 
 
 def url_reject_report(candidates: DataFrame, host_suffix: str, static_prefixes: Sequence[str], url: str = "url") -> DataFrame:
-    reason = F.coalesce(urls.reject_reason(F.col(url), host_suffix, static_prefixes), F.lit("accepted"))
-    return candidates.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """How many sitemap URLs are taken, and why the others are not."""
+    reason = F.coalesce(urls.reject_reason(F.col(url), host_suffix, static_prefixes), F.lit("other"))
+    verdict = F.when(urls.is_statement_page(F.col(url), static_prefixes), "accepted").otherwise(reason)
+    return candidates.groupBy(verdict.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def apply_link_rules(links: DataFrame, rules: DataFrame) -> DataFrame:
@@ -252,3 +254,14 @@ def source_budget(items: DataFrame, caps: DataFrame, total: int) -> DataFrame:
         "source_key", "pos", "link", "slot")
 
 
+def discover_candidates(pages: DataFrame, rules: DataFrame, max_links: int = 30) -> DataFrame:
+    """Links of all pages that pass their source's rules: one row per source and URL, in order of discovery."""
+    found = discover_article_links(pages, max_links).select("source_key", "page_id", F.posexplode("links").alias("at", "url"))
+    kept = filter_by_source_rules(found, rules)
+    return kept.groupBy("source_key", "url").agg(F.min(F.struct("page_id", "at")).alias("first")).select(
+        "source_key", "url", (F.col("first.page_id") * 1000 + F.col("first.at")).alias("pos"))
+
+
+def mark_stored(candidates: DataFrame, articles: DataFrame) -> DataFrame:
+    known = stored_keys(articles).withColumnRenamed("page_key", "url").withColumn("stored", F.lit(True))
+    return candidates.join(known, "url", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))

@@ -104,8 +104,8 @@ def gate_stats(judged: DataFrame, inserted: DataFrame) -> DataFrame:
     return rows.unionByName(inserted.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("inserted").alias("metric"), "value"))
 
 
-def lpma_page(pages: DataFrame) -> DataFrame:
-    """Detail page of the gated source: item block text, heading and printed date."""
+def detail_page(pages: DataFrame) -> DataFrame:
+    """Detail page of a gated source: item block text, heading and printed date."""
     block = h.item_block(F.col("html"))
     rows = fence(pages, item=F.coalesce(F.nullif(block, F.lit("")), F.col("html")))
     head = F.regexp_extract("html", r"(?is)<h2 class=\"contentheading\">\s*<a[^>]*>(.*?)</a>", 1)

@@ -260,11 +260,35 @@ def _(t):
     return lk.filter_sitemap_candidates(t.candidates.select("source_key", "pos", "url"), source_rules(t), 50)
 
 
-@query("url_reject_report", f"""SELECT CASE WHEN NOT ends_with({q.piece('url', 2)}, 'example.org') THEN 'other_host' WHEN {q.piece('url', 4)} <> '' THEN 'query'
-      WHEN regexp_matches(lower({q.piece('url', 3)}), '^/(tag|category|author|page|feed)/') THEN 'taxonomy' WHEN regexp_matches({q.piece('url', 3)}, '{q.MEDIA}') THEN 'extension'
-      WHEN regexp_matches(lower({q.piece('url', 3)}), '^/(fr|de)/') THEN 'static_section' ELSE 'accepted' END AS reason, count(*) AS n FROM fx_pages GROUP BY 1""")
+_FOLDER = f"rtrim(coalesce(nullif({q.piece('u', 3)}, ''), '/'), '/') || '/'"
+
+
+@query("url_reject_report", f"""WITH x AS (SELECT CASE WHEN page_id % 6 = 0 THEN regexp_replace(url, '^([a-z]+://[^/]+).*$', '\\1/a-long-statement-') || page_id ELSE url END AS u FROM fx_pages), f AS (SELECT u, {_FOLDER} AS fo, lower(coalesce(nullif({q.piece('u', 3)}, ''), '/')) AS p FROM x)
+    SELECT CASE WHEN NOT regexp_matches(fo, '^/(fr|de)/') AND (starts_with(fo, '/%') OR (len(string_split(fo, '/')) = 3 AND length(fo) >= 20 AND NOT starts_with(fo, '/en/'))) THEN 'accepted'
+      WHEN NOT ends_with({q.piece('u', 2)}, 'example.org') THEN 'other_host' WHEN {q.piece('u', 4)} <> '' THEN 'query' WHEN regexp_matches(p, '^/(tag|category|author|page|feed)/') THEN 'taxonomy' WHEN regexp_matches(p, '{q.MEDIA}') THEN 'extension'
+      WHEN regexp_matches(p, '^/(fr|de)/') THEN 'static_section' ELSE 'other' END AS reason, count(*) AS n FROM f GROUP BY 1""")
 def _(t):
-    return lk.url_reject_report(t.pages, "example.org", ["/fr/", "/de/"])
+    slug = F.concat(F.regexp_replace("url", r"^([a-z]+://[^/]+).*$", "$1/a-long-statement-"), F.col("page_id").cast("string"))
+    rows = t.pages.select("page_id", F.when(F.col("page_id") % 6 == 0, slug).otherwise(F.col("url")).alias("url"))
+    return lk.url_reject_report(rows, "example.org", ["/fr/", "/de/"])
+
+
+@query("job_discover", f"""WITH all_links AS (SELECT page_id, source_key, url AS base, unnest(h) AS href, unnest(range(len(h))) AS pos FROM (SELECT page_id, source_key, url, {q.hrefs('html')} AS h FROM fx_pages)),
+    k AS (SELECT page_id, source_key, base, pos, {q.canon_page(_ABS)} AS k FROM all_links WHERE NOT starts_with(href, 'mailto:')),
+    f AS (SELECT page_id, source_key, k, min(pos) AS pos FROM k WHERE {q.piece('k', 2)} = {q.piece('base', 2)} AND {q.piece('k', 3)} NOT IN ('', '/') AND NOT regexp_matches({q.piece('k', 3)}, '{q.MEDIA}') AND NOT regexp_matches({q.piece('k', 3)}, '(?i)^/(user|search)')
+        AND (regexp_matches({q.piece('k', 3)}, '{q.HINT}') OR len(string_split(trim({q.piece('k', 3)}, '/'), '/')) >= 2) GROUP BY 1, 2, 3),
+    r AS (SELECT * FROM f WHERE CASE source_key WHEN 'site0' THEN NOT starts_with({q.piece('k', 3)}, '/fr/') WHEN 'site1' THEN contains({q.piece('k', 3)}, '/en/') OR contains({q.piece('k', 3)}, '/es/') WHEN 'site2' THEN starts_with({q.piece('k', 3)}, '/en/') AND NOT starts_with({q.piece('k', 3)}, '/en/1') ELSE TRUE END),
+    c AS (SELECT source_key, k AS url, min((page_id, pos)) AS o FROM r GROUP BY 1, 2), st AS (SELECT DISTINCT regexp_extract({q.canon_page('url')}, '^[a-z]+://[^/]+') || '/news/2024/1/1/story-' || page_id AS k FROM fx_pages WHERE contains(url, '.com/')),
+    n AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY o) AS slot FROM c WHERE url NOT IN (SELECT k FROM st))
+    SELECT source_key, url, slot FROM n WHERE slot <= 20""")
+def _(t):
+    from pressmill.operators import selection as se
+
+    # Stored so far: the stories of the .com sites.
+    site = F.regexp_extract(u.canonical_page(F.col("url")), "^[a-z]+://[^/]+", 0)
+    stored = t.pages.where("url LIKE '%.com/%'").select(F.concat(site, F.lit("/news/2024/1/1/story-"), F.col("page_id").cast("string")).alias("url"))
+    cands = lk.mark_stored(lk.discover_candidates(t.pages, source_rules(t)), stored)
+    return se.select_feed_mode(cands, 20).select("source_key", "url", "slot")
 
 
 @query("language_from_url", "SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'en' WHEN contains(url, '/ar/') THEN 'ar' ELSE 'unknown' END AS language FROM fx_pages")

@@ -222,3 +222,15 @@ def _(t):
     rows = t.articles.groupBy("source_id").agg(F.count(F.lit(1)).alias("c"))
     joined = rows.join(dim, rows.source_id == dim.id, "left")
     return joined.groupBy(F.coalesce("key", "source_id").alias("source_key"), F.col("id").isNull().alias("missing")).agg(F.sum("c").alias("n"))
+
+
+@query("job_metrics", f"""WITH {ART}, {STATS}, {COVER}, {QUALITY}, {HEALTH}, hl AS (SELECT CASE WHEN h.source_key IS NULL THEN 'unknown' WHEN coalesce(q.full_count_7d,0) > 0 THEN 'ok' WHEN coalesce(q.teaser_count_7d,0) > 0 THEN 'degraded' WHEN h.fetched > 0 AND h.saved = 0 THEN 'extract'
+      WHEN h.fetched = 0 AND h.blocked > 0 THEN 'blocked' WHEN h.discovered = 0 THEN 'config' ELSE 'unknown' END AS c FROM fx_config f LEFT JOIN health h USING (source_key) LEFT JOIN quality q USING (source_key))
+    SELECT 'coverage' AS area, coalesce(notes, 'ok') AS metric, count(*) AS n FROM cover GROUP BY 2 UNION ALL SELECT 'health', c, count(*) FROM hl GROUP BY 2
+    UNION ALL SELECT 'runs', job_name, count(*) FROM fx_runs WHERE NOT ok GROUP BY 2""")
+def _(t):
+    one = lambda area, df, col: df.groupBy(F.lit(area).alias("area"), col.alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+    cover = m.coverage(t.config, t.articles, t.sources, t.runs, AS_OF)
+    health = m.ingest_health(t.config, t.articles, t.feed, t.sources, t.runs, AS_OF)
+    return one("coverage", cover, F.coalesce("notes", F.lit("ok"))).unionByName(one("health", health, F.col("classification"))).unionByName(
+        one("runs", t.runs.where("NOT ok"), F.col("job_name")))

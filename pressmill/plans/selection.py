@@ -195,3 +195,9 @@ def _(t):
 def _(t):
     _, rows = tp.topic_ingest(t.topic_items, t.topics, _stored(t), AS_OF, 120)
     return tp.topic_stats(t.topic_items, rows, _stored(t))
+
+
+@query("job_topics", f"""WITH {BUDGET}, {TAKEN} SELECT topic_key, skip_reason, count(*) AS n, count(DISTINCT norm) AS urls FROM final GROUP BY ALL""")
+def _(t):
+    _, rows = tp.topic_ingest(t.topic_items, t.topics, _stored(t), AS_OF, 120)
+    return rows.groupBy("topic_key", "skip_reason").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("norm").alias("urls"))
