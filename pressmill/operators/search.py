@@ -25,9 +25,18 @@ def article_tokens() -> Column:
 
 
 def build_token_index(articles: DataFrame) -> DataFrame:
-    """(token, id, tf, positions). The key holds the article, so a frequent token is not one group."""
-    rows = articles.select("id", F.posexplode(article_tokens()).alias("pos", "token"))
-    return rows.groupBy("token", "id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(token, id, tf, positions). Made inside each article's row: its (token, position) pairs are sorted and cut
+    where the token changes, so nothing is shuffled and a frequent token is never one group."""
+    placed = F.array_sort(F.transform(article_tokens(), lambda x, i: F.struct(x.alias("w"), i.alias("at"))))
+    rows = fence(articles, s=placed).select("id", "s")
+    change = F.transform("s", lambda e, j: F.when((j == 0) | (F.get(F.col("s"), j - 1)["w"] != e["w"]), j))
+    rows = fence(rows, cut=F.filter(change, lambda j: j.isNotNull())).where(F.size("cut") > 0)
+    runs = F.transform("cut", lambda j, k: F.struct(
+        j.alias("a"), (F.coalesce(F.get(F.col("cut"), k + 1), F.size("s")) - j).alias("n")))
+    parts = F.transform(runs, lambda r: F.struct(
+        F.get(F.col("s"), r["a"])["w"].alias("token"), r["n"].cast("long").alias("tf"),
+        F.transform(F.slice(F.col("s"), r["a"] + 1, r["n"]), lambda e: e["at"]).alias("positions")))
+    return rows.select("id", F.explode(parts).alias("p")).select("p.token", "id", "p.tf", "p.positions")
 
 
 def write_token_index(index: DataFrame, path: str, buckets: int = 256, slices: int = 8) -> None:

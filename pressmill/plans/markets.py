@@ -131,17 +131,17 @@ def _(t):
 
 def _incoming(t):
     """Quotes of open lines are new, the others are stored."""
-    seq = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")
+    seq = F.expr("l_orderkey * 10 + l_linenumber + value / 1000000").alias("seq")
     return t.quotes.where("quote_currency = 'LYD'").select("instrument", "rate_type", "quote_currency", "value", "as_of", F.lit("ok").alias("status"), seq)
 
 
 def _existing(t):
-    rows = t.quotes.select("instrument", "rate_type", "quote_currency", "value", "as_of", "fetched_at", F.lit("ok").alias("status"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    rows = t.quotes.select("instrument", "rate_type", "quote_currency", "value", "as_of", "fetched_at", F.lit("ok").alias("status"), F.expr("l_orderkey * 10 + l_linenumber + value / 1000000").alias("seq"))
     return qt.latest(rows, "seq").drop("seq")
 
 
-LATEST = "latest AS (SELECT instrument, rate_type, quote_currency, arg_max(value, (as_of, l_orderkey * 10 + l_linenumber)) AS value, max(as_of) AS as_of, max(as_of) + INTERVAL 1 HOUR AS fetched_at FROM fx_quotes GROUP BY ALL)"
-REFRESH = f"""{LATEST}, inc AS (SELECT instrument, rate_type, quote_currency, arg_max(value, l_orderkey * 10 + l_linenumber) AS v, arg_max(as_of, l_orderkey * 10 + l_linenumber) AS a FROM fx_quotes WHERE quote_currency = 'LYD' GROUP BY ALL),
+LATEST = "latest AS (SELECT instrument, rate_type, quote_currency, arg_max(value, (as_of, l_orderkey * 10 + l_linenumber + value / 1000000)) AS value, max(as_of) AS as_of, max(as_of) + INTERVAL 1 HOUR AS fetched_at FROM fx_quotes GROUP BY ALL)"
+REFRESH = f"""{LATEST}, inc AS (SELECT instrument, rate_type, quote_currency, arg_max(value, l_orderkey * 10 + l_linenumber + value / 1000000) AS v, arg_max(as_of, l_orderkey * 10 + l_linenumber + value / 1000000) AS a FROM fx_quotes WHERE quote_currency = 'LYD' GROUP BY ALL),
     ref AS (SELECT l.instrument, l.rate_type, l.quote_currency, coalesce(v, value) AS value, coalesce(a, as_of) AS as_of, CASE WHEN v IS NOT NULL THEN {T} ELSE fetched_at END AS fetched_at, CASE WHEN v IS NULL AND fetched_at < {T} - INTERVAL 180 MINUTE THEN 'stale' ELSE 'ok' END AS status FROM latest l LEFT JOIN inc USING (instrument, rate_type, quote_currency))"""
 
 

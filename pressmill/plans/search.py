@@ -118,7 +118,7 @@ def _(t):
 _CLEAN = q.strip("regexp_replace(regexp_replace(regexp_replace({0}, '\\s+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')").replace("{{3,}}", "{3,}")
 
 
-@query("article_detail", f"""WITH {ENT}, e AS (SELECT normalized_name AS id, CASE WHEN min(article_id) % 3 = 0 THEN normalized_name ELSE upper(normalized_name) END AS nm FROM m GROUP BY 1),
+@query("article_detail", f"""WITH {ENT}, e AS (SELECT normalized_name AS id, CASE WHEN min(article_id) % 3 = 0 THEN normalized_name ELSE 'N:' || normalized_name END AS nm FROM m GROUP BY 1),
     ae AS (SELECT article_id, string_agg(nm, '|' ORDER BY id) AS names FROM (SELECT DISTINCT article_id, normalized_name AS id FROM m) JOIN e USING (id) GROUP BY 1),
     c AS (SELECT *, {_CLEAN.replace('{0}', 'content')} AS t FROM fx_articles),
     b AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '\\n+'), lambda s: {q.strip('s')}), lambda s: s <> '') AS l, list_filter(list_transform({SENT.format('t')}, lambda s: {q.strip('s')}), lambda s: s <> '') AS ss FROM c)

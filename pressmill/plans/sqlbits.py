@@ -18,7 +18,7 @@ def vis(c: str) -> str:
 
 def unesc(c: str) -> str:
     for name, char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        c = f"replace({c}, '&{name};', '{char}')"
+        c = f"regexp_replace({c}, '&{name};?', '{char}', 'g')"
     return c
 
 

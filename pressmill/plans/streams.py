@@ -95,8 +95,8 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("stream_quotes", f"""SELECT instrument, rate_type, quote_currency, arg_max(value, (as_of, l_orderkey * 10 + l_linenumber)) AS value, max(as_of) AS as_of, {T} AS fetched_at FROM fx_quotes GROUP BY ALL""")
+@query("stream_quotes", f"""SELECT instrument, rate_type, quote_currency, arg_max(value, (as_of, l_orderkey * 10 + l_linenumber + value / 1000000)) AS value, max(as_of) AS as_of, {T} AS fetched_at FROM fx_quotes GROUP BY ALL""")
 def _(t):
-    rows = _streams(t).quotes.select("instrument", "rate_type", "quote_currency", "value", "as_of", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    rows = _streams(t).quotes.select("instrument", "rate_type", "quote_currency", "value", "as_of", F.expr("l_orderkey * 10 + l_linenumber + value / 1000000").alias("seq"))
     root = _run(t, "quotes", lambda out: jb.quotes_job(rows, out, AS_OF))
     return _snapshot(t, root, jb.QUOTES)

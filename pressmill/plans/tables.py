@@ -123,11 +123,11 @@ def _(t):
 def _entity_tables(t):
     mentions = w.entity_mentions(_items(t))
     ents = mentions.groupBy("normalized_name").agg(F.min("article_id").alias("n")).select(
-        F.col("normalized_name").alias("id"), F.when(F.col("n") % 3 == 0, "").otherwise(F.upper("normalized_name")).alias("name"), "normalized_name")
+        F.col("normalized_name").alias("id"), F.when(F.col("n") % 3 == 0, "").otherwise(F.concat(F.lit("N:"), "normalized_name")).alias("name"), "normalized_name")
     return mentions.select("article_id", F.col("normalized_name").alias("entity_id")).distinct(), ents
 
 
-@query("join_entities", f"""WITH {ENT}, e AS (SELECT normalized_name AS id, CASE WHEN min(article_id) % 3 = 0 THEN normalized_name ELSE upper(normalized_name) END AS nm FROM m GROUP BY 1)
+@query("join_entities", f"""WITH {ENT}, e AS (SELECT normalized_name AS id, CASE WHEN min(article_id) % 3 = 0 THEN normalized_name ELSE 'N:' || normalized_name END AS nm FROM m GROUP BY 1)
     SELECT article_id, string_agg(nm, '|' ORDER BY id) AS entities FROM (SELECT DISTINCT article_id, normalized_name AS id FROM m) JOIN e USING (id) GROUP BY 1""")
 def _(t):
     bridge, ents = _entity_tables(t)
@@ -208,9 +208,9 @@ def _(t):
     return w.insert_ignore(t.articles.where("category = 'Energy'"), t.articles.select("id", "url"), ["url"], ["id"]).select("id", "url")
 
 
-@query("upsert_quotes", """SELECT instrument, rate_type, quote_currency, arg_max(value, l_orderkey * 10 + l_linenumber) AS value, TIMESTAMP '2024-01-31' AS fetched_at FROM fx_quotes GROUP BY ALL""")
+@query("upsert_quotes", """SELECT instrument, rate_type, quote_currency, arg_max(value, l_orderkey * 10 + l_linenumber + value / 1000000) AS value, TIMESTAMP '2024-01-31' AS fetched_at FROM fx_quotes GROUP BY ALL""")
 def _(t):
-    new = t.quotes.select("instrument", "rate_type", "quote_currency", "value", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    new = t.quotes.select("instrument", "rate_type", "quote_currency", "value", F.expr("l_orderkey * 10 + l_linenumber + value / 1000000").alias("seq"))
     old = t.quotes.groupBy("instrument", "rate_type", "quote_currency").agg(F.min("value").alias("value"), F.min("fetched_at").alias("fetched_at"))
     return w.upsert_quotes(old, new, AS_OF, "seq")
 
