@@ -7,7 +7,7 @@ import html as stdlib_html
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from pressmill.functions.text import blank, collapse, strip
+from pressmill.functions.text import blank, collapse, let, strip
 
 # Entities with a plain replacement; anything else takes the slower standard-library decoder.
 _COMMON = {
@@ -49,8 +49,13 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]+>", " ")
 
 
+def text_of(markup: Column) -> Column:
+    """Text of markup that is already ``visible``."""
+    return collapse(unescape(strip_tags(markup)))
+
+
 def main_text(html: Column) -> Column:
-    return collapse(unescape(strip_tags(visible(blank(html)))))
+    return text_of(visible(blank(html)))
 
 
 def simple_text(html: Column) -> Column:
@@ -60,27 +65,32 @@ def simple_text(html: Column) -> Column:
     )))
 
 
-def _inner(html: Column, tag: str) -> Column:
-    found = F.regexp_extract(visible(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+def _inner(markup: Column, tag: str) -> Column:
+    found = F.regexp_extract(markup, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
     return F.nullif(strip(unescape(strip_tags(found))), F.lit(""))
 
 
+def title_of(markup: Column) -> Column:
+    return F.coalesce(_inner(markup, "title"), _inner(markup, "h1"))
+
+
 def title(html: Column) -> Column:
-    return F.coalesce(_inner(html, "title"), _inner(html, "h1"))
+    return title_of(visible(html))
 
 
-def _metas(html: Column) -> Column:
-    return F.regexp_extract_all(visible(html), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+def metas_of(markup: Column) -> Column:
+    """Meta tags as struct(property, name, content)."""
+    tags = F.regexp_extract_all(markup, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    return F.transform(tags, lambda t: F.struct(*[_attr(t, a).alias(a) for a in ("property", "name", "content")]))
 
 
 def _attr(tag: Column, name: str) -> Column:
     return F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
 
 
-def _meta(html: Column, attr: str, value: str) -> Column:
+def _meta(metas: Column, attr: str, value: str) -> Column:
     """Content of the first meta tag with the attribute value; NULL without such a tag."""
-    hits = F.filter(_metas(html), lambda m: _attr(m, attr) == value)
-    return _attr(F.get(hits, 0), "content")
+    return F.get(F.filter(metas, lambda m: m[attr] == value), 0)["content"]
 
 
 # Where a publication time may stand, in order.
@@ -90,13 +100,17 @@ PUBLISHED_KEYS = [
 ]
 
 
-def published_at(html: Column) -> Column:
-    found = [F.nullif(_meta(html, a, v), F.lit("")) for a, v in PUBLISHED_KEYS]
-    time_tag = F.regexp_extract(visible(html), r"(?is)<time\b[^>]*>", 0)
+def published_of(markup: Column, metas: Column) -> Column:
+    found = [F.nullif(_meta(metas, a, v), F.lit("")) for a, v in PUBLISHED_KEYS]
+    time_tag = F.regexp_extract(markup, r"(?is)<time\b[^>]*>", 0)
     return strip(F.coalesce(*found, F.nullif(_attr(time_tag, "datetime"), F.lit(""))))
 
 
-def has_article_meta(html: Column) -> Column:
+def published_at(html: Column) -> Column:
+    return let(visible(html), lambda v: let(metas_of(v), lambda m: published_of(v, m)))
+
+
+def article_meta_of(html: Column, metas: Column) -> Column:
     """og:type article, a published time, or an Article / NewsArticle in linked data."""
     raw = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     blocks = F.regexp_extract_all(
@@ -104,9 +118,14 @@ def has_article_meta(html: Column) -> Column:
     )
     kinds = F.flatten(F.transform(blocks, _ld_types))
     linked = F.exists(kinds, lambda k: F.lower(k).isin("article", "newsarticle"))
-    og = F.lower(strip(blank(_meta(html, "property", "og:type")))) == "article"
-    timed = _meta(html, "property", "article:published_time").isNotNull()
-    return og | timed | F.coalesce(linked, F.lit(False))
+    og = F.lower(strip(blank(_meta(metas, "property", "og:type")))) == "article"
+    timed = _meta(metas, "property", "article:published_time").isNotNull()
+    # Most pages have no linked data at all.
+    return og | timed | F.when(F.contains(html, F.lit("ld+json")), F.coalesce(linked, F.lit(False))).otherwise(False)
+
+
+def has_article_meta(html: Column) -> Column:
+    return let(metas_of(visible(html)), lambda m: article_meta_of(html, m))
 
 
 def _ld_types(block: Column) -> Column:
@@ -134,8 +153,12 @@ def hrefs(html: Column) -> Column:
     return F.filter(F.transform(decoded, strip), lambda v: v != "")
 
 
+def anchors_of(markup: Column) -> Column:
+    return F.regexp_count(markup, F.lit(r"(?i)<a[\s>]"))
+
+
 def anchor_count(html: Column) -> Column:
-    return F.regexp_count(visible(html), F.lit(r"(?i)<a[\s>]"))
+    return anchors_of(visible(html))
 
 
 def link_density(html: Column, text: Column) -> Column:

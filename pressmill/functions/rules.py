@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pressmill.functions.text import blank, contains_any
+from pressmill.functions.text import blank, contains_any, has_token, let
 
 # Category labels and their keywords, first match wins.
 CATEGORIES = {
@@ -80,11 +80,14 @@ CONSENT_WORDS = ["cookie", "privacy", "subscribe", "newsletter"]
 
 
 def first_label(text: Column, labels: dict[str, list[str]], default: str) -> Column:
-    out = None
-    for label, keys in labels.items():
-        hit = contains_any(text, keys)
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(default)
+    def pick(t: Column) -> Column:
+        out = None
+        for label, keys in labels.items():
+            hit = has_token(t, keys)
+            out = F.when(hit, label) if out is None else out.when(hit, label)
+        return out.otherwise(default)
+
+    return let(text, pick)
 
 
 def headline_text(title: Column, summary: Column) -> Column:
@@ -106,9 +109,10 @@ def sector(text: Column) -> Column:
 
 def tag_hits(text: Column) -> Column:
     """Array of the tags whose keywords occur."""
-    lower = F.lower(blank(text))
-    hits = [F.when(contains_any(lower, keys), F.lit(tag)) for tag, keys in TAGS.items()]
-    return F.array_compact(F.array(*hits))
+    def hits(t: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(has_token(t, keys), F.lit(tag)) for tag, keys in TAGS.items()]))
+
+    return let(F.lower(blank(text)), hits)
 
 
 def blocked_text(text: Column) -> Column:

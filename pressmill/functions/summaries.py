@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from pressmill.functions.html import unescape
 from pressmill.functions.rules import BOILERPLATE, CONSENT_WORDS
-from pressmill.functions.text import WS, blank, collapse, contains_any, strip, words
+from pressmill.functions.text import WS, blank, collapse, contains_any, let, strip, words
 
 SENTENCE_END = r"(?U)(?<=[.!?؟])\s+"
 LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
@@ -47,8 +47,8 @@ def drop_boilerplate(text: Column, max_chars: int = 4000) -> Column:
     def good(min_len: int):
         return lambda s: ~contains_any(F.lower(s), BOILERPLATE) & (F.length(s) > min_len)
 
-    lines, sentences = _pieces(text, r"\n+"), _pieces(text, SENTENCE_END)
-    kept = F.when(F.size(lines) <= 2, F.filter(sentences, good(40))).otherwise(F.filter(lines, good(25)))
+    kept = let(_pieces(text, r"\n+"), lambda lines: F.when(
+        F.size(lines) <= 2, F.filter(_pieces(text, SENTENCE_END), good(40))).otherwise(F.filter(lines, good(25))))
     return F.nullif(F.left(F.array_join(kept, "\n\n"), F.lit(max_chars)), F.lit(""))
 
 
@@ -62,11 +62,13 @@ def filled_lines(text: Column) -> Column:
 
 def is_junk(text: Column) -> Column:
     """Nothing there, mostly repeated lines, or a short consent text. Takes raw text with its line ends."""
-    lines = filled_lines(blank(text))
-    n, unique = F.size(lines), F.size(F.array_distinct(lines))
-    repeated = (n >= 5) & (1.0 - unique / n > 0.5)
-    consent = contains_any(F.lower(text), CONSENT_WORDS) & (F.length(text) < 1200)
-    return (n == 0) | F.coalesce(repeated, F.lit(False)) | F.coalesce(consent, F.lit(False))
+
+    def by_lines(lines: Column) -> Column:
+        n, unique = F.size(lines), F.size(F.array_distinct(lines))
+        return (n == 0) | ((n >= 5) & (F.lit(1.0) - unique / n > 0.5))
+
+    consent = (F.length(text) < 1200) & contains_any(F.lower(text), CONSENT_WORDS)
+    return let(filled_lines(blank(text)), by_lines) | F.coalesce(consent, F.lit(False))
 
 
 def junk_reason(text: Column) -> Column:
@@ -96,8 +98,7 @@ def word_count(text: Column) -> Column:
 
 
 def truncate_words(text: Column, n: int) -> Column:
-    parts = words(text)
-    return F.when(F.size(parts) <= n, text).otherwise(F.array_join(F.slice(parts, 1, n), " "))
+    return let(words(text), lambda w: F.when(F.size(w) <= n, text).otherwise(F.array_join(F.slice(w, 1, n), " ")))
 
 
 def short_title(text: Column, limit: int = 80) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -34,9 +34,19 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``. Conditional branches are not shared otherwise."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def has_token(bound: Column, tokens: Iterable[str]) -> Column:
+    """Substring tests on a value that is already computed (a column, or bound by ``let``)."""
+    return any_of(F.contains(bound, F.lit(t)) for t in tokens)
+
+
 def contains_any(col: Column, tokens: Iterable[str]) -> Column:
-    """Substring test, not a word test: "oil" is found in "soil"."""
-    return any_of(F.contains(col, F.lit(t)) for t in tokens)
+    """Substring test, not a word test: "oil" is found in "soil". NULL text gives NULL."""
+    return let(col, lambda t: has_token(t, tokens))
 
 
 def contains_any_of(col: Column, tokens: Column) -> Column:
@@ -100,9 +110,12 @@ def ilike_any(cols: Iterable[Column], pattern: Column) -> Column:
 def json_string(col: Column) -> Column:
     """A JSON string literal of the value, ``null`` for NULL, control escapes in lower case."""
     wrapped = F.to_json(F.struct(col.alias("x")))
-    quoted = F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
-    for upper in "ABCDEF":
-        quoted = F.regexp_replace(
-            quoted, rf"(?<!\\)((?:\\\\)*)\\u00([01]){upper}", rf"$1\\u00$2{upper.lower()}"
-        )
-    return F.when(col.isNull(), F.lit("null")).otherwise(quoted)
+
+    def lower_escapes(quoted: Column) -> Column:
+        out = quoted
+        for upper in "ABCDEF":
+            out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00([01]){upper}", rf"$1\\u00$2{upper.lower()}")
+        return F.when(F.contains(quoted, F.lit("\\u00")), out).otherwise(quoted)
+
+    text = let(wrapped, lambda w: let(F.substring(w, F.lit(6), F.length(w) - 6), lower_escapes))
+    return F.when(col.isNull(), F.lit("null")).otherwise(text)

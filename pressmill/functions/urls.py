@@ -5,11 +5,11 @@ The three canonical forms give different keys for one page. Use one form per key
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from pressmill.functions.text import any_of, blank, contains_any, strip
+from pressmill.functions.text import any_of, blank, contains_any, let, strip
 
 # Generic URL syntax: scheme, authority, path, query, fragment.
 SYNTAX = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -30,11 +30,6 @@ INDEX_ENDINGS = ["/blog", "/news", "/announcements", "/press-releases", "/press"
 INDEX_SECTIONS = ["news", "inbrief", "economy", "politics", "sports", "opinions"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def parts(url: Column) -> Column:
     """struct(scheme, netloc, path, query); scheme and netloc in lower case, fragment dropped."""
     return F.struct(

@@ -11,8 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressmill.functions import html as h, urls
-from pressmill.functions.text import blank, collapse, contains_any, contains_any_of, starts_with_any_of
-from pressmill.functions.urls import let
+from pressmill.functions.text import blank, collapse, contains_any, contains_any_of, let, starts_with_any_of
 from pressmill.operators.fence import fence
 from pressmill.operators.ordered import first_per_key, top_k, with_index
 from pressmill.session import settle

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressmill.functions import html as h, rules, summaries as sm, urls
-from pressmill.functions.text import any_of, blank, contains_any, strip
+from pressmill.functions.text import any_of, blank, contains_any, let, strip
 
 from pressmill.functions.times import as_time, span
 from pressmill.operators.fence import fence
@@ -16,13 +16,16 @@ from pressmill.operators.fence import fence
 # ---- page assessment -------------------------------------------------------------------------
 
 def is_article_like(html: Column, text: Column, title: Column, url: Column) -> Column:
-    low, t = F.lower(blank(html)), strip(blank(title))
+    t = strip(blank(title))
     p = F.rtrim(urls.path(url), F.lit("/"))
-    meta = (F.contains(low, F.lit('property="og:type"')) & F.contains(low, F.lit("article"))) | F.contains(low, F.lit("article:published_time"))
-    hint = meta | F.contains(low, F.lit("<article")) | F.rlike(urls.path(url), F.lit(urls.ARTICLE_HINT))
+    marked = let(F.lower(blank(html)), lambda low: (
+        (F.contains(low, F.lit('property="og:type"')) & F.contains(low, F.lit("article"))) | F.contains(low, F.lit("article:published_time"))
+        | F.contains(low, F.lit("<article"))))
     size = F.length(strip(blank(text)))
+    hinted = F.rlike(urls.path(url), F.lit(urls.ARTICLE_HINT)) | marked
     titled = (t != "") & ~F.startswith(t, F.lit("http"))
-    return titled & ~p.isin("", "/en", "/ar") & F.when(hint, size >= 200).otherwise(size >= 600)
+    # The markup is only searched where the length alone does not decide.
+    return titled & ~p.isin("", "/en", "/ar") & (size >= 200) & ((size >= 600) | hinted)
 
 
 def is_junk_page(title: Column, text: Column, density: Column) -> Column:
@@ -43,11 +46,12 @@ def content_quality(teaser: Column, blocked: Column, text: Column) -> dict[str,
 def read_pages(pages: DataFrame) -> DataFrame:
     """Title, text, time, language and article evidence of every page; no shuffle."""
     html = F.col("html")
-    parsed = fence(pages, title=h.title(html), content=h.main_text(html), anchors=h.anchor_count(html))
+    seen = fence(pages, v=h.visible(F.coalesce(html, F.lit(""))))
+    parsed = fence(seen, title=h.title_of(F.col("v")), content=h.text_of(F.col("v")), anchors=h.anchors_of(F.col("v")), metas=h.metas_of(F.col("v")))
     return parsed.select(
         "page_id", "source_key", "url", "title", "content",
-        h.published_at(html).alias("published"), urls.language_from_url(F.col("url")).alias("language"),
-        h.has_article_meta(html).alias("article_meta"), rules.blocked_text(html).alias("blocked_html"), "html",
+        h.published_of(F.col("v"), F.col("metas")).alias("published"), urls.language_from_url(F.col("url")).alias("language"),
+        h.article_meta_of(html, F.col("metas")).alias("article_meta"), rules.blocked_text(html).alias("blocked_html"), "html",
         F.when(F.length("content") == 0, F.lit(1.0)).otherwise(F.col("anchors") / F.greatest(F.length("content"), F.lit(1))).alias("link_density"),
     )
 

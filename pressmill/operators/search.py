@@ -165,11 +165,12 @@ def article_detail(articles: DataFrame, sources: DataFrame, bridge: DataFrame, e
     """Article pages: source, category, clean body and entity names."""
     dim = sources.select(F.col("key").alias("source"), F.col("name").alias("s_name"), F.col("url").alias("source_url"))
     rows = with_category(articles).join(dim, "source", "left")
+    rows = fence(rows, _clean=sm.clean_text(F.col("content"), allow_html=True))
     names = article_entities(articles, bridge, entities)
     return rows.join(names, rows.id == names.article_id, "left").select(
         "id", "title", "summary", "category_guess", "published_at", "created_at",
         F.coalesce(F.nullif("source_name", F.lit("")), F.nullif("source", F.lit("")), "s_name").alias("source_name"), "source_url", "url",
-        sm.drop_boilerplate(sm.clean_text(F.col("content"), allow_html=True)).alias("content_clean"),
+        sm.drop_boilerplate(F.col("_clean")).alias("content_clean"),
         F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
 
 

@@ -40,7 +40,15 @@ class Tables:
         self.dir = sf_dir.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"), name)
+
+    def spread(self, df: DataFrame, name: str) -> DataFrame:
+        """A text table in fewer splits than there are cores (one small file) is dealt out to all of them.
+        A table of many files already has more splits and is left alone."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
     @cached_property
     def articles(self) -> DataFrame:
