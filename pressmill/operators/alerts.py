@@ -163,7 +163,8 @@ def alert_matches(requests: DataFrame, articles: DataFrame, sources: DataFrame,
     )
     cols = ["alert_id", "id", "ts", "rank"]
     rows = quick.select(cols).unionByName(first_day.select(cols)).unionByName(later.select(cols))
-    return top_k(rows, ["alert_id"], [F.desc("rank"), F.desc("ts"), F.desc("id")], limit, F.col("id"), "match_no")
+    # An alert has at most ``limit`` rows a day here, besides its first day.
+    return top_k(rows, ["alert_id"], [F.desc("rank"), F.desc("ts"), F.desc("id")], limit, F.col("id"), "match_no", salts=1)
 
 
 # ---- queueing --------------------------------------------------------------------------------

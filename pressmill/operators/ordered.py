@@ -35,10 +35,11 @@ def top_k(
     salts: int = SALTS,
 ) -> DataFrame:
     """First ``k`` rows per key by a total ``order``. ``spread`` is a column that tells rows apart;
-    each salted slice keeps its own first k, so the last window sees at most ``k * salts`` rows a key."""
+    each salted slice keeps its own first k, so the last window sees at most ``k * salts`` rows a key.
+    ``salts=1`` is for groups that are bounded already."""
     sliced = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    limited = (
+    limited = df if salts == 1 else (
         df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
         .withColumn("_part", F.row_number().over(sliced))
         .where(F.col("_part") <= k)

@@ -60,9 +60,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write an expensive intermediate once to the shared checkpoint folder and go on from there.
+    """Write an expensive intermediate once as a table in the shared folder and go on from there.
 
-    Used where an operator reads its input more than once (prefix sums, several aggregates), so that
-    page parsing is not repeated. A lost executor costs nothing: the rows are read back from the folder.
+    Used where an operator reads its input more than once (prefix sums, several aggregates), so that page parsing
+    and text work are not repeated. A lost executor costs nothing: the rows are read back from the folder, with
+    only the columns asked for and with real sizes for the optimizer. (A checkpoint would compute the last stage
+    twice.) Without a shared folder the plan is left as it is.
     """
-    return df.checkpoint() if shared_dir(df.sparkSession) else df
+    spark = df.sparkSession
+    if shared_dir(spark) is None:
+        return df
+    path = scratch_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
