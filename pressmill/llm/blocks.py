@@ -139,3 +139,9 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     n = int(ends[-1]) if len(ends) else 0
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(n)
+
+
+def list_parts(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column; null lists are empty."""
+    size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    return np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(size)])
