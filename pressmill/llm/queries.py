@@ -11,6 +11,7 @@ from pressmill.llm.blocks import tune
 from pressmill.llm.bpe import ids_sha256, round_trip
 from pressmill.llm.codes import ids_crc32, token_codes
 from pressmill.llm.exact import exact_groups
+from pressmill.llm.near import near_groups
 from pressmill.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = token_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select(F.col("id").alias("doc_id"), "start", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+
+
+@query("op1_minhash_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
