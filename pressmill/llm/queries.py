@@ -11,6 +11,7 @@ from pressmill.llm.blocks import tune
 from pressmill.llm.bpe import ids_sha256, round_trip
 from pressmill.llm.codes import ids_crc32, token_codes
 from pressmill.llm.exact import exact_groups
+from pressmill.llm.leaks import find_copies
 from pressmill.llm.near import near_groups
 from pressmill.session import prepare
 
@@ -63,3 +64,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+@query("op2_benchmark_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "score", "start", "end")
