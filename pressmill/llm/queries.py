@@ -11,6 +11,7 @@ from pressmill.llm.blocks import tune
 from pressmill.llm.bpe import ids_sha256, round_trip
 from pressmill.llm.codes import ids_crc32, token_codes
 from pressmill.llm.exact import exact_groups
+from pressmill.llm.langid import fit as fit_languages, identify
 from pressmill.llm.leaks import find_copies
 from pressmill.llm.near import near_groups
 from pressmill.session import prepare
@@ -70,3 +71,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "score", "start", "end")
+
+
+def remainder(n: int):
+    """crc32 of the id as text, modulo n; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
+@query("op3_ppm_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = fit_languages(docs.where(remainder(3) != 1))
+    return identify(docs, trees).withColumnRenamed("id", "doc_id").select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "bits")
