@@ -14,6 +14,7 @@ from pressmill.llm.exact import exact_groups
 from pressmill.llm.langid import fit as fit_languages, identify
 from pressmill.llm.leaks import find_copies
 from pressmill.llm.near import near_groups
+from pressmill.llm.quality import classify, fit as fit_quality
 from pressmill.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = fit_languages(docs.where(remainder(3) != 1))
     return identify(docs, trees).withColumnRenamed("id", "doc_id").select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score", "bits")
+
+
+@query("op4_attention_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = classify(docs, fit_quality(docs, labels.where(remainder(4) != 2))).withColumnRenamed("id", "doc_id")
+    return scored.withColumn("held_out", remainder(4) == 2)
