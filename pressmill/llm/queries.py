@@ -13,6 +13,7 @@ from pressmill.llm.codes import ids_crc32, token_codes
 from pressmill.llm.exact import exact_groups
 from pressmill.llm.langid import fit as fit_languages, identify
 from pressmill.llm.leaks import find_copies
+from pressmill.llm.lm import fit as fit_model, score
 from pressmill.llm.near import near_groups
 from pressmill.llm.quality import classify, fit as fit_quality
 from pressmill.session import prepare
@@ -91,3 +92,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = classify(docs, fit_quality(docs, labels.where(remainder(4) != 2))).withColumnRenamed("id", "doc_id")
     return scored.withColumn("held_out", remainder(4) == 2)
+
+
+@query("op7_bloom_language_model")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, vocabulary = fit_model(docs.where(remainder(10) != 0))
+    scored = score(docs, model, vocabulary).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.words).cast("long").alias("train_tokens"), "base_score", "score")
