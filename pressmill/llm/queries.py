@@ -15,6 +15,7 @@ from pressmill.llm.langid import fit as fit_languages, identify
 from pressmill.llm.leaks import find_copies
 from pressmill.llm.lm import fit as fit_model, score
 from pressmill.llm.near import near_groups
+from pressmill.llm.passages import remove_repeats
 from pressmill.llm.quality import classify, fit as fit_quality
 from pressmill.session import prepare
 
@@ -100,3 +101,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, vocabulary = fit_model(docs.where(remainder(10) != 0))
     scored = score(docs, model, vocabulary).withColumnRenamed("id", "doc_id")
     return scored.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.words).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op9_sentence_spans")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
