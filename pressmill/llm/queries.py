@@ -13,6 +13,7 @@ from pressmill.llm.codes import ids_crc32, token_codes
 from pressmill.llm.exact import exact_groups
 from pressmill.llm.langid import fit as fit_languages, identify
 from pressmill.llm.leaks import find_copies
+from pressmill.llm.licences import scan
 from pressmill.llm.lm import fit as fit_model, score
 from pressmill.llm.near import near_groups
 from pressmill.llm.passages import remove_repeats
@@ -106,3 +107,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sentence_spans")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_licence_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    base = F.array_sort(F.array_distinct("places.label"))
+    every = F.array_sort(F.array_distinct(F.concat("places.label", "spans.label")))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), "score")
