@@ -59,7 +59,8 @@ def decode(coded: DataFrame, ranks: str, id_col: str = "id", ids_col: str = "ids
 
 
 def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, ids, starts, ends, bytes`` in one pass: every text encoded with offsets, and its ids decoded again. As ``encode``."""
+    """``id, ids, starts, ends, bytes, exact`` in one pass: every text encoded with offsets, its ids decoded again, and whether the bytes
+    are the text's. As ``encode``."""
     name, spec = shared(docs.sparkSession, rank_tokenizer(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,13 +70,15 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
                 ids, at = encoder(block)
                 start, end = spans(block, ids, at, decoder.size)
                 data, ends = decoder(ids, at)
+                same = np.array([np.array_equal(data[a:b], block.buf[x:y]) for a, b, x, y in zip(ends[:-1], ends[1:], block.at[:-1], block.at[1:], strict=True)])
                 out = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[block.rows], _lists(ids, at), _lists(start, at), _lists(end, at), out], ["id", "ids", "starts", "ends", "bytes"])
+                    batch.column(0)[block.rows], _lists(ids, at), _lists(start, at), _lists(end, at), out, pa.array(same)],
+                    ["id", "ids", "starts", "ends", "bytes", "exact"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, starts array<int>, ends array<int>, bytes binary")
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>, starts array<int>, ends array<int>, bytes binary, exact boolean")
 
 
 @F.arrow_udf(StringType())
