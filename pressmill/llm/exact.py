@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pressmill.llm.blocks import unused
 from pressmill.session import settle
 
 #: A digest that holds more than this share of the rows is counted as frequent; at most 1/SHARE such digests exist.
 SHARE = 1 / 256
 
 
+def text_digest(text_col: str):
+    return F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``digest`` of every row; a null text counts as empty."""
-    return docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256).alias("digest"))
+    return docs.select(F.col(id_col).alias("id"), text_digest(text_col).alias("digest"))
 
 
 def winners(rows: DataFrame) -> DataFrame:
@@ -42,6 +47,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. Cases as in ``exact_groups``; the join on the id is null-safe."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
+    """The rows of ``docs`` that stay, with their columns. Cases as in ``exact_groups``; rows meet their verdict by id and digest."""
+    name, digest = unused(docs, "gone_id"), unused(docs, "gone_digest")
+    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias(name), F.col("digest").alias(digest)).distinct()
+    return docs.join(gone, (text_digest(text_col) == F.col(digest)) & F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

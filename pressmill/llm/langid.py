@@ -90,7 +90,7 @@ class Trees:
         self.grams, self.costs, self.contexts, self.escapes = [], [], [], []
         lower = np.full((1, len(languages)), 8.0)
         for k in range(ORDER + 1):
-            keys = np.unique(np.concatenate([c[k] for c in counts]))
+            keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c[k] for c in counts)]))
             ctx = np.unique(keys >> np.uint64(8)) if k else np.zeros(1, np.uint64)
             escape = np.zeros((len(ctx), len(languages)))
             below = self._cost(keys & _mask(k), k - 1) if k else np.repeat(lower, len(keys), 0)

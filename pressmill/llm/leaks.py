@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pressmill.llm.blocks import Block, blocks, bounds, grams, hashes, words
+from pressmill.llm.blocks import Block, blocks, bounds, grams, hashes, unused, words
 
 NGRAM = 3  # words of a seed
 STRETCH = 4  # of so many neighbouring n-grams of an item the rarest is a seed
@@ -212,7 +212,9 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a copy of a test item, with their columns. Cases as in ``find_copies``; rows that share an
-    id with a copy go with it, rows with a null id go only together with another null id."""
-    gone = find_copies(docs, items, id_col, text_col).select(F.col("id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
+    """The rows of ``docs`` without a copy of a test item, with their columns. Cases as in ``find_copies``; rows meet their verdict by
+    id and text, so one with a null or repeated id goes only for its own text."""
+    name = unused(docs, "gone_row")
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    gone = find_copies(docs.select(row.alias("row"), F.col(text_col).alias("text")), items, "row", "text").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(f"{name}.id")) & (F.xxhash64(text_col) == F.col(f"{name}.text")), "left_anti")

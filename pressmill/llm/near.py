@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pressmill.llm.blocks import Block, blocks, bounds, grams, hashes, mix, words
+from pressmill.llm.blocks import Block, blocks, bounds, grams, hashes, mix, unused, words
 from pressmill.llm.graph import components
 from pressmill.session import settle
 
@@ -208,5 +208,6 @@ def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one document of each group. Cases as in ``near_groups``."""
-    gone = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")
+    name = unused(docs, "gone_id")
+    gone = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
