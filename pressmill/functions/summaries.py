@@ -9,6 +9,8 @@ from pressmill.functions.rules import BOILERPLATE, CONSENT_WORDS
 from pressmill.functions.text import WS, blank, collapse, contains_any, let, strip, words
 
 SENTENCE_END = r"(?U)(?<=[.!?؟])\s+"
+#: The display cleaner knows no Arabic question mark.
+DISPLAY_END = r"(?U)(?<=[.!?])\s+"
 LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
 
 # Closing lines of the rule-based summary.
@@ -48,7 +50,7 @@ def drop_boilerplate(text: Column, max_chars: int = 4000) -> Column:
         return lambda s: ~contains_any(F.lower(s), BOILERPLATE) & (F.length(s) > min_len)
 
     kept = let(_pieces(text, r"\n+"), lambda lines: F.when(
-        F.size(lines) <= 2, F.filter(_pieces(text, SENTENCE_END), good(40))).otherwise(F.filter(lines, good(25))))
+        F.size(lines) <= 2, F.filter(_pieces(text, DISPLAY_END), good(40))).otherwise(F.filter(lines, good(25))))
     return F.nullif(F.left(F.array_join(kept, "\n\n"), F.lit(max_chars)), F.lit(""))
 
 

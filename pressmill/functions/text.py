@@ -81,12 +81,17 @@ def normalize_title(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(blank(col)), r"[^\p{L}\p{N}]+", " "))
 
 
-def normalize_name(col: Column, depth: int = 8) -> Column:
-    """Parenthesized parts dropped (nested up to ``depth``), an unclosed "(" drops the rest."""
-    out = blank(col)
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"\([^()]*\)", "")
-    out = F.regexp_replace(out, r"\(.*$", "")
+def normalize_name(col: Column) -> Column:
+    """Letters and digits outside parentheses, nested to any depth; an unclosed "(" drops the rest, a spare ")" nothing."""
+    pieces = F.regexp_extract_all(blank(col), F.lit(r"[()]|[^()]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def read(state: Column, piece: Column) -> Column:
+        depth = F.when(piece == "(", state["depth"] + 1).when(piece == ")", F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+        kept = (state["depth"] == 0) & ~piece.isin("(", ")")
+        return F.struct(depth.alias("depth"), F.when(kept, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
+
+    out = F.aggregate(pieces, start, read, lambda state: state["out"])
     return F.lower(F.regexp_replace(out, r"[^\p{L}\p{N}]+", ""))
 
 

@@ -28,6 +28,11 @@ def effective(published: str = "published_at", created: str = "created_at") -> C
     return F.coalesce(F.col(published), F.col(created))
 
 
+def effective_from(start: Column, published: str = "published_at", created: str = "created_at") -> Column:
+    """``effective() >= start`` in a form that reaches the statistics of stored files."""
+    return (F.col(published) >= start) | (F.col(published).isNull() & (F.col(created) >= start))
+
+
 def epoch_seconds(col: Column | str) -> Column:
     return F.unix_seconds(F.to_timestamp(col))
 

@@ -264,7 +264,8 @@ def alert_digest(ready: DataFrame, batch: int = 50, brand: str = "your searches"
 # ---- outcomes and health ---------------------------------------------------------------------
 
 def delivery_result(deliveries: DataFrame, outcomes: DataFrame, as_of, base: int = 60, cap: int = 3600, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Apply send outcomes (alert_id, article_id, channel, ok, error): backoff doubles up to the cap."""
+    """Apply send outcomes (alert_id, article_id, channel, ok, error): backoff doubles up to the cap. Success clears the error and
+    sets ``delivered_at``; rows without an outcome stay as they are."""
     keys = ["alert_id", "article_id", "channel"]
     result = outcomes.groupBy(*keys).agg(F.bool_or("ok").alias("_ok"), F.max("error").alias("_err"))
     rows = deliveries.join(result, keys, "left")
@@ -273,7 +274,8 @@ def delivery_result(deliveries: DataFrame, outcomes: DataFrame, as_of, base: int
     wait = F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(2.0), F.greatest(tries - 1, F.lit(0))))
     return rows.withColumns({
         "status": F.when(~hit, F.col("status")).when(ok, "SENT").otherwise("FAILED"),
-        "error": F.when(hit & ~ok, F.left("_err", F.lit(500))),
+        "error": F.when(~hit, F.col("error")).when(~ok, F.left("_err", F.lit(500))),
+        "delivered_at": F.when(hit & ok, as_time(as_of)).otherwise(F.col("delivered_at")),
         "attempt_count": F.when(hit, tries).otherwise(F.col("attempt_count")),
         "last_attempt_at": F.when(hit, as_time(as_of)).otherwise(F.col("last_attempt_at")),
         "next_attempt_at": F.when(~hit, F.col("next_attempt_at")).when(ok, as_time(as_of)).otherwise(as_time(as_of) + span(seconds=wait)),

@@ -237,15 +237,25 @@ def probe_candidates(links: DataFrame, rules: DataFrame, n: int) -> DataFrame:
 
 
 def source_budget(items: DataFrame, caps: DataFrame, total: int) -> DataFrame:
-    """First ``max_items`` links of a source, first of each link over all sources, then ``max_inserts`` per source,
-    then the run's budget in source order. ``items``: source_key, pos, link; ``caps``: source_key, source_order, max_items, max_inserts (0 = none)."""
+    """First ``max_items`` links of a source, of these the first ``max_inserts`` that no earlier source took, then the run's
+    budget in source order. ``items``: source_key, pos, link; ``caps``: source_key, source_order, max_items, max_inserts (0 = none).
+
+    A link belongs to the first source that has it; what a source has no room for is released to the next one, until nothing
+    is over. A released link only moves a later source's other links back, so each round's verdicts hold."""
     items = settle(items)  # read several times below, and usually the product of page parsing
     capped = (
         with_index(items.join(caps, "source_key"), ["source_key"], "pos", "i")
         .where((F.col("max_items") == 0) | (F.col("i") <= F.col("max_items"))).drop("i")
     )
-    firsts = first_per_key(capped, ["link"], [F.col("source_order"), F.col("pos")])
-    fresh = with_index(firsts, ["source_key"], "pos", "i").where((F.col("max_inserts") == 0) | (F.col("i") <= F.col("max_inserts")))
+    held = settle(capped)
+    while True:
+        firsts = first_per_key(held, ["link"], [F.col("source_order"), F.col("pos")])
+        ranked = settle(with_index(firsts, ["source_key"], "pos", "i"))
+        over = ranked.where((F.col("max_inserts") > 0) & (F.col("i") > F.col("max_inserts"))).select("source_key", "link")
+        if not over.limit(1).count():
+            break
+        held = settle(held.join(over, ["source_key", "link"], "left_anti"))
+    fresh = ranked
     before = Window.orderBy("source_order").rowsBetween(Window.unboundedPreceding, -1)
     sizes = fresh.groupBy("source_key", "source_order").agg(F.count(F.lit(1)).alias("n")).select(
         "source_key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))

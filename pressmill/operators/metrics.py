@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressmill.functions import rules
-from pressmill.functions.times import as_time, before, day_start, effective
+from pressmill.functions.times import as_time, before, day_start, effective, effective_from
 from pressmill.operators.ordered import first_per_key
 
 
@@ -52,7 +52,7 @@ def overview_stats(feed: DataFrame, sources: DataFrame, as_of, top: int = 5) ->
 
 
 def activity(articles: DataFrame, as_of, hours: int = 24) -> DataFrame:
-    recent = since(articles, as_of, effective(), hours=hours)
+    recent = articles.where(effective_from(before(as_of, hours=hours)))
     flags = rules.keyword_flags(F.col("title"), F.col("summary"))
     return recent.agg(
         F.count(F.lit(1)).alias("total_24h"),
@@ -173,7 +173,7 @@ def with_source_key(facts: DataFrame, sources: DataFrame, source_col: str = "sou
 
 def per_source(facts: DataFrame, sources: DataFrame, as_of, days: int, *aggs: Column) -> DataFrame:
     """Aggregate by the fact's own source id first, then join the dimension to the few results."""
-    recent = since(facts, as_of, effective(), days=days)
+    recent = facts.where(effective_from(before(as_of, days=days)))
     return with_source_key(recent.groupBy("source_id").agg(*aggs), sources).where("source_key IS NOT NULL AND source_key <> ''")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressmill.functions import rules, summaries as sm
 from pressmill.functions.text import blank, contains_any, ilike_any, tokens
-from pressmill.functions.times import as_time, before, effective, epoch_seconds
+from pressmill.functions.times import as_time, before, effective, effective_from, epoch_seconds
 from pressmill.operators.fence import fence
 from pressmill.operators.tables import article_entities
 
@@ -106,7 +106,7 @@ def _phrases(items: list[list[str]]) -> Column:
 
 def search_articles(articles: DataFrame, q: str | None, as_of, days: int = 7, category: str | None = None, source: str | None = None, n: int = 50) -> DataFrame:
     """Best ``n``: filters first, then the token test, rank, and one top-n merge."""
-    rows = articles.where(effective() >= before(as_of, days=max(days, 1)))
+    rows = articles.where(effective_from(before(as_of, days=max(days, 1))))
     if category is not None:
         rows = rows.where(F.col("category") == category)
     if source is not None:
@@ -139,7 +139,7 @@ def with_category(items: DataFrame) -> DataFrame:
 
 def search_like(articles: DataFrame, q: str | None, as_of, days: int = 7, category: str | None = None, source: str | None = None, n: int = 50) -> DataFrame:
     """Substring search over the text columns, newest first."""
-    rows = articles.where(effective() >= before(as_of, days=days))
+    rows = articles.where(effective_from(before(as_of, days=days)))
     if q:
         rows = rows.where(ilike_any([F.col(c) for c in SEARCH_COLS], F.lit(f"%{q}%")))
     if source:

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressmill.functions import rules
 from pressmill.functions.text import ilike_any, normalize_name
-from pressmill.functions.times import as_time, before, effective
+from pressmill.functions.times import as_time, before, effective, effective_from
 
 
 # ---- predicates ------------------------------------------------------------------------------
 
 def recent(df: DataFrame, as_of, days: int) -> DataFrame:
-    return df.where(effective() >= before(as_of, days=days))
+    return df.where(effective_from(before(as_of, days=days)))
 
 
 def optional_filter(df: DataFrame, params: Mapping[str, Any]) -> DataFrame:
@@ -162,7 +162,7 @@ def list_recent(df: DataFrame, n: int, status: str | None = None, ts: str = "cre
 
 def union_by_id(articles: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """Rows published or created in the window whose effective time lies in it: one filter, no union needed."""
-    return articles.where(effective() >= before(as_of, hours=hours))
+    return articles.where(effective_from(before(as_of, hours=hours)))
 
 
 def ordered_distinct(rows: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:

@@ -185,13 +185,14 @@ def _(t):
 OUT = f"""oc AS (SELECT alert_id, article_id, channel, bool_or(priority <> 'P2') AS ok FROM fx_deliveries WHERE {_READY} GROUP BY ALL), res AS (SELECT d.*, oc.ok, CASE WHEN oc.ok IS NOT NULL THEN d.attempt_count + 1 END AS tries FROM fx_deliveries d LEFT JOIN oc USING (alert_id, article_id, channel))"""
 
 
-@query("delivery_result", f"""WITH {OUT} SELECT id, CASE WHEN ok IS NULL THEN status WHEN ok THEN 'SENT' ELSE 'FAILED' END AS status, coalesce(tries, attempt_count) AS attempt_count, CASE WHEN ok IS NOT NULL THEN {T} ELSE last_attempt_at END AS last_attempt_at,
+@query("delivery_result", f"""WITH {OUT} SELECT id, CASE WHEN ok IS NULL THEN CASE WHEN id % 11 = 0 THEN 'smtp down' END WHEN NOT ok THEN 'status=500' END AS error, CASE WHEN ok THEN {T} WHEN status = 'SENT' THEN created_at END AS delivered_at, CASE WHEN ok IS NULL THEN status WHEN ok THEN 'SENT' ELSE 'FAILED' END AS status, coalesce(tries, attempt_count) AS attempt_count, CASE WHEN ok IS NOT NULL THEN {T} ELSE last_attempt_at END AS last_attempt_at,
     CASE WHEN ok IS NULL THEN next_attempt_at WHEN ok THEN {T} ELSE {T} + to_seconds(least(3600, 60 * CAST(pow(2, greatest(tries - 1, 0)) AS INT))) END AS next_attempt_at, coalesce(NOT ok AND tries >= 5, false) AS gave_up FROM res""")
 def _(t):
     ready = t.deliveries.where(F.col("status").isin("PENDING", "FAILED") & (F.col("next_attempt_at") <= al.as_time(AS_OF)) & (F.col("attempt_count") < 5))
     outcomes = ready.select("alert_id", "article_id", "channel", (F.col("priority") != "P2").alias("ok"), F.lit("status=500").alias("error"))
-    done = al.delivery_result(t.deliveries, outcomes, AS_OF)
-    return done.select("id", "status", "attempt_count", "last_attempt_at", "next_attempt_at", F.coalesce("gave_up", F.lit(False)).alias("gave_up"))
+    stored = t.deliveries.withColumns({"error": F.expr("CASE WHEN id % 11 = 0 THEN 'smtp down' END"), "delivered_at": F.expr("CASE WHEN status = 'SENT' THEN created_at END")})
+    done = al.delivery_result(stored, outcomes, AS_OF)
+    return done.select("id", "error", "delivered_at", "status", "attempt_count", "last_attempt_at", "next_attempt_at", F.coalesce("gave_up", F.lit(False)).alias("gave_up"))
 
 
 _OPEN = "status IN ('PENDING','FAILED') AND attempt_count < 5"

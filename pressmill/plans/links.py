@@ -199,12 +199,17 @@ def _(t):
     return lk.probe_candidates(lk.extract_links(t.pages), rules(t), 2)
 
 
+# One source after the other, each without what the earlier ones took.
+_TURNS = ", ".join(
+    f"t{k} AS (SELECT * EXCLUDE (j) FROM (SELECT *, row_number() OVER (ORDER BY pos) AS j FROM b WHERE so = {k}"
+    + "".join(f" AND link NOT IN (SELECT link FROM t{n})" for n in range(1, k))
+    + ") WHERE CASE source_key WHEN 'site0' THEN j <= 3 WHEN 'site1' THEN j <= 40 ELSE TRUE END)" for k in range(1, 5))
 BUDGET = f"""kept AS (SELECT source_key, page_id * 1000 + pos AS pos, link FROM norm WHERE {_PREFIX} AND {_CONTAINS} AND {_REGEX} AND {_MUST} AND {_PDF}),
     capped AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY pos) AS i, ['site1','site0','site2','site3'] AS o FROM kept),
     a AS (SELECT *, list_position(o, source_key) AS so FROM capped WHERE CASE source_key WHEN 'site0' THEN i <= 8 WHEN 'site3' THEN i <= 5 ELSE TRUE END),
-    b AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY so, pos) AS d FROM a),
-    c AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY pos) AS j FROM b WHERE d = 1),
-    e AS (SELECT *, row_number() OVER (ORDER BY so, pos) AS slot FROM c WHERE CASE source_key WHEN 'site0' THEN j <= 3 WHEN 'site1' THEN j <= 40 ELSE TRUE END)"""
+    b AS (SELECT source_key, so, link, min(pos) AS pos FROM a GROUP BY ALL),
+    {_TURNS},
+    e AS (SELECT *, row_number() OVER (ORDER BY so, pos) AS slot FROM ({" UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(1, 5))}))"""
 
 
 def ruled_items(t):

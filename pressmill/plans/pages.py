@@ -173,12 +173,12 @@ def _(t):
 _GOOD = "lambda s: NOT " + q.has_any("lower(s)", rules.BOILERPLATE) + " AND length(s) > {0}"
 
 
-@query("boilerplate_filter", f"""WITH x AS (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Skip to main content and then read on' ELSE '' END AS t FROM documents),
+@query("boilerplate_filter", f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || chr(10) || 'Skip to main content and then read on' WHEN doc_id % 4 = 1 THEN 'هل وصل؟ ' || replace(text, chr(10), ' ') ELSE text END AS t FROM documents),
     y AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\n+'), lambda s: {q.strip('s')}), lambda s: s <> '') AS l,
-      list_filter(list_transform({SENT.format('t')}, lambda s: {q.strip('s')}), lambda s: s <> '') AS s FROM x)
+      list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {q.strip('s')}), lambda s: s <> '') AS s FROM x)
     SELECT doc_id, nullif(left(CASE WHEN len(l) <= 2 THEN array_to_string(list_filter(s, {_GOOD.format(40)}), chr(10) || chr(10)) ELSE array_to_string(list_filter(l, {_GOOD.format(25)}), chr(10) || chr(10)) END, 4000), '') AS body FROM y""")
 def _(t):
-    text = F.concat("text", F.expr("CASE WHEN doc_id % 4 = 0 THEN '\\nSkip to main content and then read on' ELSE '' END"))
+    text = F.expr("CASE WHEN doc_id % 4 = 0 THEN concat(text, '\\nSkip to main content and then read on') WHEN doc_id % 4 = 1 THEN concat('هل وصل؟ ', replace(text, '\\n', ' ')) ELSE text END")
     return t.raw("documents").select("doc_id", sm.drop_boilerplate(text).alias("body"))
 
 

@@ -59,10 +59,14 @@ def _(t):
     return _snapshot(t, f"{root}/deliveries", jb.DELIVERIES).select("alert_id", "user_id", "article_id", "channel", "dedupe_key", "priority")
 
 
-@query("stream_dedupe", "SELECT DISTINCT user_id, channel, dedupe_key FROM fx_deliveries")
+@query("stream_dedupe", """WITH RECURSIVE ev AS (SELECT DISTINCT user_id, channel, dedupe_key, created_at AS ts FROM fx_deliveries),
+    e(user_id, channel, dedupe_key, ts) AS (SELECT user_id, channel, dedupe_key, min(ts) FROM ev GROUP BY 1, 2, 3
+      UNION ALL SELECT e.user_id, e.channel, e.dedupe_key, min(ev.ts) FROM e JOIN ev ON ev.user_id = e.user_id AND ev.channel = e.channel AND ev.dedupe_key = e.dedupe_key AND ev.ts >= e.ts + INTERVAL 6 HOUR GROUP BY ALL)
+    SELECT user_id, channel, dedupe_key, ts AS emitted_at FROM e""")
 def _(t):
-    first = jb.dedupe_stream(_streams(t).deliveries, ["user_id", "channel", "dedupe_key"], "created_at", "6 hours")
-    path = _run(t, "dedupe", lambda out: jb.append_job(first.select("user_id", "channel", "dedupe_key"), out))
+    first = jb.dedupe_stream(_streams(t).deliveries, ["user_id", "channel", "dedupe_key"], "created_at", 6 * 3600)
+    key = F.from_json("key", "user_id bigint, channel string, dedupe_key string")
+    path = _run(t, "dedupe", lambda out: jb.append_job(first.select(key.alias("k"), "emitted_at").select("k.*", "emitted_at"), out))
     return t.spark.read.parquet(path)
 
 

@@ -112,9 +112,10 @@ def alert_job(articles: DataFrame, alerts: DataFrame, searches: DataFrame, sourc
     return articles.writeStream.foreachBatch(write)
 
 
-def dedupe_stream(events: DataFrame, keys: list[str], ts: str, window: str) -> DataFrame:
-    """First event of a key inside the window; state is dropped once the watermark has passed."""
-    return event_time(events, ts).withWatermark(ts, window).dropDuplicatesWithinWatermark(keys)
+def dedupe_stream(events: DataFrame, keys: list[str], ts: str, window_sec: int) -> DataFrame:
+    """First event of a key, and then the first that is at least the window after the last one emitted: ``key`` (JSON of the
+    keys), ``emitted_at``. However the events are cut into batches, as long as a key's events come in order of time."""
+    return cooldown_stream(events.withColumn("_key", F.to_json(F.struct(*keys))), "_key", ts, window_sec)
 
 
 def activity_stream(articles: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str = "1 day") -> DataFrame:
