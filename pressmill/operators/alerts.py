@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressmill.functions import urls
 from pressmill.functions.text import blank, normalize_title, strip, tokens
-from pressmill.functions.times import as_time, before, span
+from pressmill.functions.times import as_time, before, effective_from, span
 from pressmill.operators.fence import fence
 from pressmill.operators.ordered import top_k
 from pressmill.operators.search import article_tokens, cover_rank, match_clause
@@ -140,6 +140,8 @@ def alert_matches(requests: DataFrame, articles: DataFrame, sources: DataFrame,
     partly covered day. So a popular query is never multiplied with all its alerts.
     """
     ts = F.coalesce("published_at", "created_at")
+    # No alert looks back further than this, so older rows are not read.
+    articles = articles.where(effective_from(requests.agg(F.min("start_ts")).scalar()))
     reqs = requests.withColumn("scope", scope(F.col("query"), F.col("category"), F.col("source")))
     scopes = reqs.select("scope", (F.col("query") != "").alias("text")).distinct()
     patterns = source_patterns(requests, articles, sources)
@@ -181,10 +183,11 @@ def keyed_matches(matches: DataFrame, requests: DataFrame, articles: DataFrame,
 
 def not_recent(rows: DataFrame, deliveries: DataFrame, prefs: DataFrame, as_of) -> DataFrame:
     """Drop keys queued for the same user and channel inside the user's window, whatever became of them."""
-    last = deliveries.groupBy("user_id", "channel", "dedupe_key").agg(F.max("created_at").alias("_last"))
-    joined = rows.join(prefs.select("user_id", "dedupe_window_sec"), "user_id").join(last, ["user_id", "channel", "dedupe_key"], "left")
-    inside = F.col("_last") >= as_time(as_of) - span(seconds=F.col("dedupe_window_sec"))
-    return joined.where(~F.coalesce(inside, F.lit(False))).drop("_last", "dedupe_window_sec")
+    windows = prefs.select("user_id", "dedupe_window_sec")
+    longest = windows.agg(F.max("dedupe_window_sec")).scalar()
+    late = deliveries.where(F.col("created_at") >= as_time(as_of) - span(seconds=longest)).join(windows, "user_id")
+    late = late.where(F.col("created_at") >= as_time(as_of) - span(seconds=F.col("dedupe_window_sec"))).select("user_id", "channel", "dedupe_key").distinct()
+    return rows.join(windows.select("user_id"), "user_id", "left_semi").join(late, ["user_id", "channel", "dedupe_key"], "left_anti")
 
 
 def enqueue(keyed: DataFrame, deliveries: DataFrame, prefs: DataFrame, as_of) -> DataFrame:

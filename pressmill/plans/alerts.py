@@ -8,7 +8,7 @@ from pressmill.operators import alerts as al
 from pressmill.operators.ordered import nearest_rank, top_k
 from pressmill.plans import sqlbits as q
 from pressmill.plans.registry import query
-from pressmill.plans.search import TOK, count
+from pressmill.plans.search import HIT, TOK
 from pressmill.sources.bind import AS_OF
 
 T = "TIMESTAMP '2024-01-31'"
@@ -16,10 +16,7 @@ T = "TIMESTAMP '2024-01-31'"
 REQ = f"""req AS (SELECT a.id AS alert_id, a.user_id, a.channel, a.target, s.name, trim(coalesce(s.query,'')) AS query, coalesce(nullif(s.days,0),7) AS days, nullif(s.category,'') AS category, nullif(s.source,'') AS source,
       coalesce(c.last_ts - INTERVAL 86400 SECOND, {T} - to_days(coalesce(nullif(s.days,0),7)::INT)) AS start_ts
     FROM fx_alerts a JOIN fx_searches s ON s.id = a.saved_search_id LEFT JOIN fx_cursors c ON c.alert_id = a.id WHERE a.active)"""
-_HIT = f"""CASE query WHEN '' THEN 0.0 WHEN 'pipeline' THEN 0.1 * {count('pipeline')} WHEN 'minister' THEN 0.1 * {count('minister')} WHEN 'attack -vote' THEN CASE WHEN list_contains(tk, 'vote') THEN NULL ELSE 0.1 * {count('attack')} END
-      WHEN 'central bank' THEN CASE WHEN list_contains(tk, 'central') AND list_contains(tk, 'bank') THEN 0.1 END WHEN 'customs tariff' THEN CASE WHEN list_contains(tk, 'customs') AND list_contains(tk, 'tariff') THEN 0.1 END
-      ELSE CASE WHEN contains(' ' || array_to_string(tk, ' ') || ' ', ' tender and procurement ') THEN 0.1 END END"""
-MATCH = f"""{TOK}, texts AS (SELECT DISTINCT query FROM req), scored AS (SELECT query, id, round({_HIT}, 6)::DOUBLE AS rank FROM texts, tok),
+MATCH = f"""{TOK}, texts AS (SELECT DISTINCT query FROM req), scored AS (SELECT query, id, round({HIT}, 6)::DOUBLE AS rank FROM texts, tok),
     hits AS (SELECT * FROM scored WHERE rank IS NOT NULL AND (query = '' OR rank > 0)),
     art AS (SELECT a.id, coalesce(published_at, created_at) AS ts, a.category, a.source, a.source_id, a.source_name, s.name AS dim_name, a.url, a.title FROM fx_articles a LEFT JOIN fx_sources s ON s.id = a.source_id),
     cand AS (SELECT r.alert_id, a.id, a.ts, h.rank, row_number() OVER (PARTITION BY r.alert_id ORDER BY h.rank DESC, a.ts DESC, a.id DESC) AS match_no FROM req r JOIN hits h ON h.query = r.query JOIN art a ON a.id = h.id

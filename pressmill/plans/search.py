@@ -60,15 +60,20 @@ def _(t):
     return se.search(t.articles, "customs", AS_OF, days=20, source="2", n=50).select("id", "ts", "category_guess")
 
 
-@query("job_search", f"""WITH {TOK}, terms AS (SELECT DISTINCT query FROM fx_searches WHERE query IN ('pipeline', 'minister')),
-    h AS (SELECT query, id, ts, round(0.1 * len(list_filter(tk, lambda x: x = query)), 6)::DOUBLE AS rank FROM terms, tok WHERE list_contains(tk, query)),
+# Rank of a text for each of the saved queries, NULL where it does not match.
+HIT = f"""CASE query WHEN '' THEN 0.0 WHEN 'pipeline' THEN 0.1 * {count('pipeline')} WHEN 'minister' THEN 0.1 * {count('minister')} WHEN 'attack -vote' THEN CASE WHEN list_contains(tk, 'vote') THEN NULL ELSE 0.1 * {count('attack')} END
+      WHEN 'central bank' THEN CASE WHEN list_contains(tk, 'central') AND list_contains(tk, 'bank') THEN 0.1 END WHEN 'customs tariff' THEN CASE WHEN list_contains(tk, 'customs') AND list_contains(tk, 'tariff') THEN 0.1 END
+      ELSE CASE WHEN contains(' ' || array_to_string(tk, ' ') || ' ', ' tender and procurement ') THEN 0.1 END END"""
+
+@query("job_search", f"""WITH {TOK}, terms AS (SELECT DISTINCT query FROM fx_searches WHERE query <> ''),
+    h AS (SELECT * FROM (SELECT query, id, ts, round({HIT}, 6)::DOUBLE AS rank FROM terms, tok) WHERE rank > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank DESC, ts DESC, id DESC) AS rn FROM h)
     SELECT query, id, rank, rn FROM r WHERE rn <= 50""")
 def _(t):
     from pressmill.operators import alerts as al
     from pressmill.operators.ordered import top_k
 
-    asked = t.searches.where("query IN ('pipeline', 'minister')").select("query").distinct()
+    asked = t.searches.where("query <> ''").select("query").distinct()
     hits = al.query_hits(asked, t.articles).join(t.articles.select("id", F.coalesce("published_at", "created_at").alias("ts")), "id")
     return top_k(hits, ["query"], [F.desc("rank"), F.desc("ts"), F.desc("id")], 50, F.col("id")).select("query", "id", "rank", "rn")
 
