@@ -112,6 +112,15 @@ def ilike_any(cols: Iterable[Column], pattern: Column) -> Column:
     return any_of(F.coalesce(F.ilike(c, pattern), F.lit(False)) for c in cols)
 
 
+def json_in_text(col: Column) -> Column:
+    """The JSON of a noisy text: the whole text when it parses, else what lies from the first ``{`` to the last ``}``; NULL when
+    that does not parse either."""
+    whole = strip(blank(col))
+    part = F.regexp_substr(whole, F.lit(r"(?s)\{.*\}"))
+    valid = lambda c: F.try_parse_json(c).isNotNull()
+    return F.when(valid(whole), whole).when(valid(part), part)
+
+
 def json_string(col: Column) -> Column:
     """A JSON string literal of the value, ``null`` for NULL, control escapes in lower case."""
     wrapped = F.to_json(F.struct(col.alias("x")))

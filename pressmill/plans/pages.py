@@ -240,6 +240,15 @@ def _(t):
     return t.articles.select("id", tx.normalize_name(wrapped).alias("norm"))
 
 
+@query("json_in_text", """WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{"id": ' || doc_id || '}' WHEN 1 THEN 'Sure:' || chr(10) || '{"id": ' || doc_id || ', "a": {"b": [1, 2]}}' || chr(10) || 'Done. ' || text ELSE text END AS t FROM documents),
+    y AS (SELECT doc_id, trim(t) AS t, nullif(regexp_extract(t, '\\{.*\\}', 0, 's'), '') AS part FROM x)
+    SELECT doc_id, CASE WHEN json_valid(t) THEN CASE WHEN t LIKE '{%' THEN CAST(t->>'id' AS BIGINT) END WHEN json_valid(part) THEN CAST(part->>'id' AS BIGINT) END AS id FROM y""")
+def _(t):
+    noisy = F.expr("CASE doc_id % 3 WHEN 0 THEN concat('{\"id\": ', doc_id, '}') WHEN 1 THEN concat('Sure:\\n{\"id\": ', doc_id, ', \"a\": {\"b\": [1, 2]}}\\nDone. ', text) ELSE text END")
+    found = t.raw("documents").select("doc_id", tx.json_in_text(noisy).alias("j"))
+    return found.select("doc_id", F.get_json_object("j", "$.id").cast("bigint").alias("id"))
+
+
 LOW = "lower(coalesce(title,'') || ' ' || coalesce(summary,''))"
 
 
