@@ -111,13 +111,23 @@ def topic_merge(items: DataFrame, topics: DataFrame, **lists: Sequence[str]) ->
         F.array_distinct(F.transform("used", lambda x: x["topic_key"])).alias("topics_found"),
         F.array_distinct(F.flatten(F.transform("used", lambda x: x["tags"]))).alias("tags"),
         F.array_distinct(F.transform("used", lambda x: x["url"])).alias("raw_urls"),
+        F.array_distinct(F.transform(F.filter("used", lambda x: x["rn"] == 1), lambda x: x["url"])).alias("topic_urls"),
     )
 
 
 def topic_ingest(items: DataFrame, topics: DataFrame, stored_ids: DataFrame, as_of, max_total: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Budget, relevance, merge and feed items; plus the judged rows for the run's statistics."""
+    """Budget, relevance, merge and feed items; plus the judged rows for the run's statistics.
+
+    ``stored_ids``: external_id and, where kept, the stored item's topics_found, tags and raw_urls. What a known item gains is
+    appended to its stored lists; each topic adds one raw URL to it.
+    """
     taken = topic_budget(items, topics, max_total)
-    merged = topic_merge(taken, topics).join(stored_ids.select("external_id").distinct().withColumn("known", F.lit(True)), "external_id", "left")
+    lists = ["topics_found", "tags", "raw_urls"]
+    kept = [F.first(c, ignorenulls=True).alias("_" + c) if c in stored_ids.columns else F.first(F.array().cast("array<string>")).alias("_" + c) for c in lists]
+    stored = stored_ids.groupBy("external_id").agg(*kept).withColumn("known", F.lit(True))
+    merged = topic_merge(taken, topics).join(stored, "external_id", "left")
+    merged = merged.withColumn("raw_urls", F.when(F.col("known"), F.col("topic_urls")).otherwise(F.col("raw_urls")))
+    merged = merged.withColumns({c: F.array_distinct(F.concat(F.coalesce("_" + c, F.array().cast("array<string>")), c)) for c in lists})
     detail = taken.select("topic_key", "pos", "title", "seendate", F.col("language").alias("item_lang"))
     langs = topics.select("topic_key", "topic_lang")
     seen = F.try_to_timestamp("seendate", F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")

@@ -160,10 +160,11 @@ MERGE = """firsts AS (SELECT norm, arg_min(topic_key, rk) AS ft FROM final WHERE
     used AS (SELECT * FROM two WHERE rn = 1 OR (rn = 2 AND topic_key = ft)),
     merged AS (SELECT norm AS url, sha1(norm) AS external_id, ft AS topic_key, min(pos) FILTER (WHERE rk = 1) AS pos,
       (SELECT string_agg(x, ',' ORDER BY m) FROM (SELECT u2.topic_key AS x, min(u2.rk) AS m FROM used u2 WHERE u2.norm = used.norm GROUP BY 1)) AS topics_found,
-      (SELECT string_agg(x, ' ' ORDER BY m) FROM (SELECT u2.url AS x, min(u2.rk) AS m FROM used u2 WHERE u2.norm = used.norm GROUP BY 1)) AS raw_urls FROM used GROUP BY norm, ft)"""
+      (SELECT string_agg(x, ' ' ORDER BY m) FROM (SELECT u2.url AS x, min(u2.rk) AS m FROM used u2 WHERE u2.norm = used.norm GROUP BY 1)) AS raw_urls,
+      (SELECT string_agg(x, ' ' ORDER BY m) FROM (SELECT u2.url AS x, min(u2.rk) AS m FROM used u2 WHERE u2.norm = used.norm AND u2.rn = 1 GROUP BY 1)) AS topic_urls FROM used GROUP BY norm, ft)"""
 
 
-@query("topic_merge", f"WITH {ALL}, {MERGE} SELECT * FROM merged")
+@query("topic_merge", f"WITH {ALL}, {MERGE} SELECT * EXCLUDE (topic_urls) FROM merged")
 def _(t):
     merged = tp.topic_merge(t.topic_items, t.topics)
     return merged.select("url", "external_id", "topic_key", "pos", F.array_join("topics_found", ",").alias("topics_found"), F.array_join("raw_urls", " ").alias("raw_urls"))
@@ -175,11 +176,19 @@ _KNOWN = "(regexp_matches({0}, '[02468]$'))"
 
 def _stored(t):
     norms = t.topic_items.select(tp.urls.canonical_feed(F.col("url")).alias("n")).where(F.rlike("n", F.lit("[02468]$"))).distinct()
-    return norms.select(F.sha1("n").alias("external_id"))
+    lists = {"topics_found": ("old_topic", "energy_en"), "tags": ("old",), "raw_urls": ("https://old.example.org/a",)}
+    return norms.select(F.sha1("n").alias("external_id"), *(F.array(*map(F.lit, v)).alias(k) for k, v in lists.items()))
+
+
+def _appended(old: list[str], new: str, by: str) -> str:
+    """SQL of a stored list and what is new in a joined list."""
+    return f"array_to_string(list_concat({old!r}, list_filter(string_split({new}, '{by}'), lambda x: NOT list_contains({old!r}, x))), '{by}')"
 
 
 @query("gdelt_ingest", f"""WITH {BUDGET}, {TAKEN}, {MERGE} SELECT m.external_id, m.url, i.title, coalesce(t.topic_lang, i.language) AS language, 'article' AS source_type,
-      CASE WHEN i.seendate = 'bad' THEN TIMESTAMP '2024-01-31' ELSE strptime(i.seendate, '%Y%m%d%H%M%S') END AS published_at, m.topic_key, m.topics_found, m.raw_urls, {_KNOWN.format('m.url')} AS known
+      CASE WHEN i.seendate = 'bad' THEN TIMESTAMP '2024-01-31' ELSE strptime(i.seendate, '%Y%m%d%H%M%S') END AS published_at, m.topic_key,
+      CASE WHEN {_KNOWN.format('m.url')} THEN {_appended(['old_topic', 'energy_en'], 'm.topics_found', ',')} ELSE m.topics_found END AS topics_found,
+      CASE WHEN {_KNOWN.format('m.url')} THEN {_appended(['https://old.example.org/a'], 'm.topic_urls', ' ')} ELSE m.raw_urls END AS raw_urls, {_KNOWN.format('m.url')} AS known
     FROM merged m JOIN fx_topic_items i ON i.topic_key = m.topic_key AND i.pos = m.pos JOIN fx_topics t ON t.topic_key = m.topic_key""")
 def _(t):
     built, _ = tp.topic_ingest(t.topic_items, t.topics, _stored(t), AS_OF, 120)
