@@ -52,11 +52,19 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
+    """A new path below the application's part of the shared folder."""
     root = shared_dir(spark)
     if root is None:
         raise RuntimeError("spark.checkpoint.dir is not set, and a cluster has no other shared folder")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has settled; call it when its results are written."""
+    root = shared_dir(spark)
+    if root is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -65,11 +73,9 @@ def settle(df: DataFrame) -> DataFrame:
     Used where an operator reads its input more than once (prefix sums, several aggregates), so that page parsing
     and text work are not repeated. A lost executor costs nothing: the rows are read back from the folder, with
     only the columns asked for and with real sizes for the optimizer. (A checkpoint would compute the last stage
-    twice.) Without a shared folder the plan is left as it is.
+    twice.) A cluster without a shared folder is an error. ``clear_scratch`` removes the tables.
     """
     spark = df.sparkSession
-    if shared_dir(spark) is None:
-        return df
     path = scratch_path(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

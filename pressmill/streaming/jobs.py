@@ -121,9 +121,11 @@ def dedupe_stream(events: DataFrame, keys: list[str], ts: str, window_sec: int)
 def activity_stream(articles: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str = "1 day") -> DataFrame:
     """Counts of all, and of each flagged kind of article, over sliding windows."""
     flags = rules.keyword_flags(F.col("title"), F.col("summary"))
-    rows = event_time(articles.withColumn("ts", effective()), "ts").withWatermark("ts", delay)
+    # The flags are tested once a row, before it is counted in its windows.
+    rows = articles.select(effective().alias("ts"), *[flag.alias(name) for name, flag in flags.items()])
+    rows = event_time(rows, "ts").withWatermark("ts", delay)
     return rows.groupBy(F.window("ts", length, step)).agg(
-        F.count(F.lit(1)).alias("total"), *[F.count_if(flag).alias(name) for name, flag in flags.items()],
+        F.count(F.lit(1)).alias("total"), *[F.count_if(name).alias(name) for name in flags],
     ).select(wall(F.col("window.end")).alias("window_end"), "total", *flags)
 
 

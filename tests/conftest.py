@@ -16,6 +16,7 @@ def make_session():
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
             "spark.local.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         },
     )

@@ -107,3 +107,15 @@ def test_time_filter_reaches_the_files(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
     assert "published_at" in pushed and "created_at" in pushed
+
+
+def test_settled_tables_are_cleared(spark):
+    import os
+
+    from pressmill.session import clear_scratch, scratch_path, settle
+
+    table = settle(spark.range(5))
+    root = os.path.dirname(scratch_path(spark, "x")).removeprefix("file:")
+    assert table.count() == 5 and any(name.startswith("settled-") for name in os.listdir(root))
+    clear_scratch(spark)
+    assert not os.path.exists(root)
