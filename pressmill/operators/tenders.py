@@ -43,11 +43,15 @@ def is_tender_text(text: Column) -> Column:
     return contains_any(text, rules.TENDER_WORDS)
 
 
-def candidates(feed: DataFrame, tenders: DataFrame, source: str | None = None, limit: int = 500) -> DataFrame:
-    """Newest notices without a tender."""
+def candidates(feed: DataFrame, tenders: DataFrame, source: str | None = None, limit: int | None = None, judged: DataFrame | None = None) -> DataFrame:
+    """Notices without a tender; of these the newest ``limit`` where one is given. ``judged``: ids that an earlier run has judged, so
+    that notices which failed the gate do not come back and hold up older ones."""
     rows = feed if source is None else feed.where(F.col("source_key") == source)
     done = tenders.where("raw_article_id IS NOT NULL").select(F.col("raw_article_id").alias("id"))
-    return rows.join(done, "id", "left_anti").orderBy(F.desc("ingested_at"), F.desc("id")).limit(limit)
+    if judged is not None:
+        done = done.unionByName(judged.select("id"))
+    rows = rows.join(done, "id", "left_anti")
+    return rows if limit is None else rows.orderBy(F.desc("ingested_at"), F.desc("id")).limit(limit)
 
 
 def gate(notices: DataFrame, sources: DataFrame) -> DataFrame:
@@ -88,9 +92,10 @@ def tender_fields(passed: DataFrame) -> DataFrame:
     )
 
 
-def extract_tenders(feed: DataFrame, tenders: DataFrame, sources: DataFrame, source: str | None = None, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(rows inserted, judged candidates)."""
-    judged = gate(candidates(feed, tenders, source, limit), sources)
+def extract_tenders(feed: DataFrame, tenders: DataFrame, sources: DataFrame, source: str | None = None, limit: int | None = None,
+                    judged: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows inserted, judged candidates). Keep the ids of the second and give them as ``judged`` to the next run."""
+    judged = gate(candidates(feed, tenders, source, limit, judged), sources)
     made = tender_fields(judged.where(~F.col("gate").isin("fail", "empty")))
     # Newest candidates come first, so of equal URLs the newest is inserted.
     firsts = first_per_key(made, ["url"], [-F.col("seq")])

@@ -72,7 +72,7 @@ def _(t):
     return t.notices.join(done, "id", "left_anti").select("id")
 
 
-_NEW = f"""WITH {GATE}, {FIELDS}, cand AS (SELECT id FROM n WHERE language <> 'de' ORDER BY created_at DESC, id DESC LIMIT 500), ins AS (SELECT * FROM tenders WHERE raw_article_id IN (SELECT id FROM cand))"""
+_NEW = f"""WITH {GATE}, {FIELDS}, cand AS (SELECT id FROM n WHERE language <> 'de'), ins AS (SELECT * FROM tenders WHERE raw_article_id IN (SELECT id FROM cand) QUALIFY row_number() OVER (PARTITION BY url ORDER BY raw_article_id DESC) = 1)"""
 
 
 def _extracted(t):

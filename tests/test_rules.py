@@ -119,3 +119,21 @@ def test_settled_tables_are_cleared(spark):
     assert table.count() == 5 and any(name.startswith("settled-") for name in os.listdir(root))
     clear_scratch(spark)
     assert not os.path.exists(root)
+
+
+def test_failed_notices_do_not_come_back(spark):
+    from pressmill.functions.rules import TENDER_WORDS
+    from pressmill.operators import tenders as td
+
+    feed = spark.range(6).selectExpr(
+        "id", "'s' AS source_key", "concat('https://x/', id) AS url", f"CASE WHEN id < 2 THEN 'about {TENDER_WORDS[0]}' ELSE 'weather' END AS body",
+        "'' AS attachment_text", "'' AS title", "0 AS attachments_count", "'en' AS language", "CAST(NULL AS TIMESTAMP_NTZ) AS published_at", "id AS ingested_at")
+    sources = spark.createDataFrame([("s", True, "b", "")], "source_key string, needs_words boolean, buyer string, sector string")
+    none = spark.createDataFrame([], "raw_article_id long, url string")
+    seen, found = spark.createDataFrame([], "id long"), []
+    for _ in range(3):
+        new, judged = td.extract_tenders(feed, none, sources, limit=2, judged=seen)
+        found += [r.raw_article_id for r in new.collect()]
+        seen = spark.createDataFrame([(r.id,) for r in seen.unionByName(judged.select("id")).collect()], "id long")
+    assert sorted(found) == [0, 1] and seen.count() == 6
+    assert td.candidates(feed, none).count() == 6
