@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pressmill.llm.blocks import Block, blocks, bounds, grams, hashes, mix, unused, words
 from pressmill.llm.graph import components
@@ -18,9 +19,9 @@ SHARE = 75  # similarity in percent from which two texts are linked
 #: 50 bands of 6 samples: a pair at 0.75 shares no band with probability 6e-5, at 0.8 with 3e-7.
 BANDS, ROWS = 50, 6
 #: Bits of an odd sketch, and standard deviations below the threshold from which a candidate is dropped unseen.
-BITS, MARGIN = 1024, 5.0
-#: Leaders of a bucket in the second and the later rounds; each round takes this many times as many as the one before.
-GROWTH = 8
+BITS, MARGIN = 1024, 4.5
+#: Each round compares the members of a bucket with this many times as many leaders as the one before; the first with one.
+GROWTH = 15
 
 _RANDOM = np.random.Generator(np.random.PCG64(6))
 _A = (_RANDOM.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -85,7 +86,7 @@ def most_bits(share: int = SHARE) -> int:
     mean = BITS / 2 * (1 - math.exp(-4 * differ / BITS))
     slope = 2 * math.exp(-4 * differ / BITS)
     spread = math.sqrt(k * j * (1 - j)) * slope
-    fold = math.sqrt(BITS / 4 * (1 - math.exp(-8 * differ / BITS)))
+    fold = math.sqrt(BITS / 4 * (1 - math.exp(-8 * differ / BITS)) - 2 * differ * math.exp(-8 * differ / BITS))
     return math.ceil(mean + MARGIN * math.hypot(spread, fold))
 
 
@@ -117,16 +118,17 @@ def _nullable(rows: np.ndarray, empty: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(rows.ravel()), mask=pa.array(empty))
 
 
-def confirmed(pairs: DataFrame, odd: DataFrame, texts: DataFrame, share: int = SHARE) -> DataFrame:
-    """The pairs ``u, v`` whose odd sketches allow the similarity and whose full shingle sets have it."""
-    side = lambda name, value: odd.select(F.col("id").alias(name), F.col("odd").alias(value))
-    apart = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda a, b: a + b)
-    likely = pairs.join(side("v", "_y"), "v").join(side("u", "_x"), "u").where(apart <= most_bits(share)).select("u", "v").distinct()
-    likely = settle(likely)
-    needed = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct()
-    texts = settle(texts.join(needed, "id", "left_semi"))
-    text = lambda name, value: texts.select(F.col("id").alias(name), F.col("text").alias(value))
-    both = likely.join(text("v", "_tv"), "v").join(text("u", "_tu"), "u").select("u", "v", "_tu", "_tv")
+def _apart(x: str, y: str):
+    """Set bits of the XOR of two odd sketches."""
+    parts = [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)]
+    return reduce(lambda a, b: a + b, parts)
+
+
+def confirmed(pairs: DataFrame, cards: DataFrame, share: int = SHARE) -> DataFrame:
+    """The pairs ``u, v`` whose odd sketches allow the similarity and whose full shingle sets have it. ``cards``: ``id, odd, text``."""
+    side = lambda *names: cards.select(*(F.col(c).alias(n) for c, n in zip(("id", "odd", "text"), names, strict=True)))
+    first = pairs.join(side("v", "_y", "_tv"), "v").withColumnRenamed("u", "_u")
+    likely = first.join(side("u", "_x", "_tu"), (F.col("_u") == F.col("u")) & (_apart("_x", "_y") <= most_bits(share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
@@ -144,66 +146,97 @@ def confirmed(pairs: DataFrame, odd: DataFrame, texts: DataFrame, share: int = S
                 linked[i] = 100 * common >= share * (len(x) + len(y) - common)
             yield batch.filter(pa.array(linked)).select(["u", "v"])
 
-    return both.mapInArrow(run, "u bigint, v bigint").distinct()
+    return likely.select("u", "v", "_tu", "_tv").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def shared_shingles(cards: DataFrame) -> DataFrame:
+    """``id, alone``: the shingles of each text of ``cards`` that no other text there has; ids without any are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                g, doc = shingles(block)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column(0)[block.rows].take(pa.array(doc))], ["g", "id"])
+
+    rows = cards.select("id", "text").mapInArrow(run, "g bigint, id bigint")
+    single = rows.groupBy("g").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).where("k = 1")
+    return single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """``id, root``: two steps to the smallest neighbour. Equal labels mean one component; the reverse need not hold."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    one = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    two = one.join(one.select(F.col("u").alias("m"), F.col("m").alias("m2")), "m", "left")
+    return two.select(F.col("u").alias("id"), F.least("m", F.coalesce("m2", "m")).alias("root"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """``id, n, component_id, kept``: one row for every row of ``docs``; ``kept`` marks the smallest id of each component.
 
     Texts are linked when 100 * common shingles >= share * shingles in either. Equal sets are represented by their smallest id.
-    Of every band bucket all members are compared with the smallest id first, so a large group of near copies costs one pair
-    per member. Buckets that still hold several components go on with 8, 64, ... further leaders until every pair across
-    components has been compared; so no link that shares a bucket is lost and no bucket is capped.
+    A pair is a candidate when it shares a band bucket, when the shingles that each has in common with any candidate suffice
+    (an exact bound), and when the odd sketches allow the similarity; then the full sets decide. Of every bucket all members are
+    compared first with one leader, the text with the fewest shingles of its own, so that a large group of near copies costs
+    one pair per member. Buckets that still hold several components go on with 15, 225, ... further leaders until every pair
+    across components has been compared: no link that shares a bucket is lost, no bucket is capped.
 
     Cases: a null or empty text, or one of white space only, has n = 0 and is linked with nothing. A null id is linked with
     nothing, has a null component and stays. Rows that repeat an id are versions of one document: it is linked where one of
     them is. An empty table gives no rows. Other columns are ignored.
     """
     sketch = settle(sketch_table(docs, id_col, text_col))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = sketch.where("id IS NOT NULL AND n > 0")
-    classes = settle(named.groupBy("key", "n").agg(F.min("id").alias("rep")))
-    lead = named.select("id", "key", "n", "bands", "odd").join(classes, ["key", "n"]).where("id = rep")
-    reps = settle(lead.select("id", "bands", "odd").dropDuplicates(["id", "bands"]))
-    members = reps.select("id", F.explode("bands").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    live = settle(members.join(leaders, "bucket"))
-    odd = reps.select("id", "odd")
-
-    edges = settle(confirmed(live.where("id <> leader").select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct(), odd, texts, share))
-    versions = named.join(classes, ["key", "n"]).groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("u", "v")
-    edges = edges.unionByName(versions)
-    roots = components(edges)
+    classes = settle(named.groupBy("key", "n").agg(F.min(F.struct("id", "bands", "odd")).alias("r")).select("key", "n", "r.*"))
+    members = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("bucket")
+    live = settle(members.join(several, "bucket"))
+    ids = settle(live.select("id").distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    cards = settle(texts.join(ids, "id", "left_semi").join(classes.select("id", "odd").join(ids, "id", "left_semi"), "id"))
+
+    # A text can only be linked if enough of its shingles occur in another candidate.
+    live = live.join(shared_shingles(cards), "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    live = settle(live.where(100 * F.col("common") >= share * F.col("n")).select("bucket", "id", "n", "common"))
+    rank = F.struct(F.col("common") / F.col("n"), -F.col("id"), "id", "n", "common")
+    lead = live.groupBy("bucket").agg(F.max(rank).alias("_l"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    lead = lead.select("bucket", F.col("_l.id").alias("u"), F.col("_l.n").alias("_n"), F.col("_l.common").alias("_common"))
+    pairs = live.join(lead, "bucket").where((F.col("id") != F.col("u")) & _enough(share)).select("u", F.col("id").alias("v")).distinct()
+    edges = settle(confirmed(pairs, cards, share))
+
     done, count = 1, GROWTH
-    left = mixed(live.where("size > 2").select("bucket", "id", "size"), roots)
-    left = settle(left.withColumn("pos", F.row_number().over(_by_bucket()) - 1))
+    left = _mixed(live, edges, done).withColumn("pos", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc(F.col("common") / F.col("n")), "id")) - 1)
+    left = settle(left.join(classes.select("id", "n", "bands", "odd"), ["id", "n"]))
     while left.select("bucket").limit(1).count():
-        first = left.where((F.col("pos") >= done) & (F.col("pos") < done + count))
-        first = first.select("bucket", F.col("id").alias("u"), F.col("pos").alias("_p"), F.col("root").alias("_r"))
-        pairs = left.join(first, "bucket").where("pos > _p AND root <> _r").select("u", F.col("id").alias("v"))
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        more = settle(confirmed(pairs, odd, texts, share))
-        edges = edges.unionByName(more)
-        roots = components(edges)
+        first = left.where((F.col("pos") >= done) & (F.col("pos") < done + count)).select("bucket", *(
+            F.col(c).alias("_" + c) for c in ("id", "n", "common", "pos", "root", "bands", "odd")))
+        same = [(F.get("bands", F.lit(i)), F.get("_bands", F.lit(i))) for i in range(BANDS)]
+        band = F.coalesce(*(F.when(a == b, a) for a, b in same))
+        new = (F.col("pos") > F.col("_pos")) & (F.col("root") != F.col("_root")) & _enough(share)
+        new = new & (_apart("odd", "_odd") <= most_bits(share)) & (band == F.col("_bucket"))  # only in their first common bucket
+        pairs = left.join(first.withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & new)
+        pairs = pairs.select(F.col("_id").alias("u"), F.col("id").alias("v")).distinct()
+        edges = settle(edges.unionByName(confirmed(pairs, cards, share)))
         done, count = done + count, count * GROWTH
-        left = settle(mixed(left.where(F.col("size") > done + 1).drop("root"), roots))
-    rep = named.select("id", "key", "n").join(classes, ["key", "n"]).groupBy("id").agg(F.min("rep").alias("rep"))
-    named_root = rep.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
-    told = sketch.select("id", "n").join(named_root, "id", "left")
-    return told.select("id", "n", F.coalesce("root", "id").alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+        left = settle(_mixed(left.drop("root"), edges, done))
 
+    whole = named.select("id", "key", "n").join(classes.select("key", "n", F.col("id").alias("rep")), ["key", "n"])
+    versions = whole.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
+    roots = components(edges.unionByName(versions.where("u <> v").select("u", "v")))
+    root = versions.join(roots.select(F.col("id").alias("u"), "root"), "u", "left").select("id", F.coalesce("root", "u").alias("root"))
+    told = sketch.select("id", "n").join(root, "id", "left")
+    return told.select("id", "n", F.coalesce("root", "id").alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
-def _by_bucket():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("bucket").orderBy("id")
+def _enough(share: int):
+    """Whether two texts can have the similarity at all: neither brings more common shingles than it shares with any text."""
+    return (100 + share) * F.least("common", "_common") >= share * (F.col("n") + F.col("_n"))
 
 
-def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component, with each id's ``root``."""
-    rows = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    several = rows.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
-    return rows.join(several, "bucket", "left_semi")
+def _mixed(rows: DataFrame, edges: DataFrame, done: int) -> DataFrame:
+    """The rows of buckets that hold several labels and more than ``done`` + 1 members, with each id's ``root``."""
+    rows = rows.join(labels(edges), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = rows.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("_k"))
+    return rows.join(several.where((F.col("_a") != F.col("_b")) & (F.col("_k") > done + 1)).select("bucket"), "bucket", "left_semi")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
