@@ -22,9 +22,9 @@ from pyspark.sql import SparkSession
 from pressmill.llm.blocks import LOWER, SPACE, Block, gather
 
 #: A worker remembers the pieces it has met until it knows this many; later ones are encoded in each block. The result is the same.
-REMEMBERED = 300_000
-#: Bytes of a block: the larger, the fewer pieces are encoded again.
-BLOCK = 6 << 20
+REMEMBERED = 200_000
+#: Bytes of a block: the larger, the fewer pieces are encoded again. Offsets and decoded bytes take more memory beside the ids.
+BLOCK, BLOCK_IDS = 3 << 20, 6 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
