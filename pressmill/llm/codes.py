@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
 from pressmill.llm.blocks import blocks, list_parts
-from pressmill.llm.tokens import BLOCK, FOLD, Encoder, cached, shared
+from pressmill.llm.tokens import BLOCK_IDS, FOLD, Encoder, cached, shared
 from pressmill.session import scratch_path
 
 MAGIC = b"DACSEG01"
@@ -97,14 +97,14 @@ class Segment:
         return value
 
 
-_SCHEMA = "part int, seq int, docs array<bigint>, sizes array<bigint>, n_tokens bigint, payload binary"
+_SCHEMA = "part int, seq int, first bigint, docs array<bigint>, sizes array<bigint>, n_tokens bigint, payload binary"
 
 
 def write_codes(docs: DataFrame, vocabulary: str, path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> None:
     """Encodes every whole text and writes the ids, in ascending id of their texts, as a table of segments below ``path``.
 
-    A row of the table is one segment: its part and number in it, the ids and token counts of its texts, and the packed
-    tokens. The rows are dealt by ranges of the id, so part by part and segment by segment the texts ascend. ``end_id`` ends
+    A row of the table is one segment: its part and number in it, the tokens of the part before it, the ids and token counts
+    of its texts, and the packed tokens. The rows are dealt by ranges of the id, so part by part and segment by segment the texts ascend. ``end_id`` ends
     each text. A text is never split over segments.
 
     Cases: null text = empty text (only the end id). Null ids come first. Repeated ids stand beside each other, by text.
@@ -116,7 +116,7 @@ def write_codes(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, first = TaskContext.get().partitionId(), 0, 0
         encoder = cached(f"word{key}", lambda: Encoder(spec.value, fold=FOLD))
         tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
         held: list[np.ndarray] = []
@@ -124,19 +124,19 @@ def write_codes(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
         sizes: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq
+            nonlocal seq, first
             data = pack(np.concatenate(held))
             row = pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([list(names)], pa.list_(pa.int64())),
+                pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([list(names)], pa.list_(pa.int64())),
                 pa.array([list(sizes)], pa.list_(pa.int64())), pa.array([sum(sizes)], pa.int64()), pa.array([data], pa.binary())],
-                ["part", "seq", "docs", "sizes", "n_tokens", "payload"])
-            seq += 1
+                ["part", "seq", "first", "docs", "sizes", "n_tokens", "payload"])
+            seq, first = seq + 1, first + sum(sizes)
             held.clear(), names.clear(), sizes.clear()
             return row
 
         full = 0
         for batch in batches:
-            for block in blocks(batch.column(1), BLOCK):
+            for block in blocks(batch.column(1), BLOCK_IDS):
                 ids, at = encoder(block)
                 for i, name in enumerate(batch.column(0)[block.rows].to_pylist()):
                     held += [ids[at[i] : at[i + 1]], tail]
@@ -157,15 +157,13 @@ def write_codes(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
 def read_codes(spark, path: str) -> DataFrame:
     """``id, start, ids``: the texts of a table of segments with the number of ids before each, in the order of the parts.
 
-    The running sums have two levels, so that no task holds more than one row for a part or for a segment of its part.
+    A segment knows the tokens before it in its part. The sums over whole parts, one row for each range of the writer, are
+    small whatever the input, and broadcast; so payloads are not shuffled.
     """
     files = spark.read.schema(_SCHEMA).parquet(path)
-    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    inner = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = files.select("part", "seq", "n_tokens")
-    before = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("_before"))
-    starts = sizes.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(before, "part").select(
-        "part", "seq", (F.col("_before") + F.col("_in")).alias("start"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
+    placed = files.join(F.broadcast(parts), "part").select("docs", "sizes", (F.col("_before") + F.col("first")).alias("start"), "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +179,7 @@ def read_codes(spark, path: str) -> DataFrame:
                         pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(ids[part[0] : part[-1]].astype(np.int32)))],
                         ["id", "start", "ids"])
 
-    return files.join(starts, ["part", "seq"]).select("docs", "sizes", "start", "payload").mapInArrow(run, "id bigint, start bigint, ids array<int>")
+    return placed.mapInArrow(run, "id bigint, start bigint, ids array<int>")
 
 
 @F.arrow_udf(LongType())
