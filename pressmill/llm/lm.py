@@ -141,7 +141,7 @@ def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0), 8 << 20):
+            for block in blocks(batch.column(0), 4 << 20):
                 h, at = tokens(block)
                 gram = pairs(h, at)
                 gram = gram[mix(gram) % np.uint64(SIZING) == 0]
@@ -165,28 +165,41 @@ def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0), 8 << 20):
+            for block in blocks(batch.column(0), 4 << 20):
                 gram, k = _counted(pairs(*tokens(block)))
                 yield pa.RecordBatch.from_arrays([pa.array(segment_of(gram).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(k.astype(np.int32))], ["segment", "h", "c"])
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            segment, gram = np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)).view(np.uint64)
-            level = np.where(np.asarray(batch.column(3)) == 0, one.level(np.asarray(batch.column(2))), two.level(np.asarray(batch.column(2))))
-            for s in np.unique(segment).tolist():
-                held.setdefault(s, np.zeros(1 << SEGMENT_BITS, bool))
-            names, where = np.unique(segment, return_inverse=True)
+        slot, held = np.full(SEGMENTS, -1, np.int64), np.zeros((0, 1 << SEGMENT_BITS), bool)
+        waiting: list[pa.RecordBatch] = []
+
+        def flush() -> None:
+            nonlocal held
+            rows = pa.Table.from_batches(waiting)
+            waiting.clear()
+            segment, gram, count, kind = (rows[k].to_numpy() for k in range(4))
+            gram = gram.view(np.uint64)
+            new = np.unique(segment[slot[segment] < 0])
+            slot[new] = len(held) + np.arange(len(new))
+            held = np.concatenate([held, np.zeros((len(new), 1 << SEGMENT_BITS), bool)])
+            level = np.where(kind == 0, one.level(count), two.level(count))
+            flat, base = held.reshape(-1), slot[segment] << SEGMENT_BITS
             for q in range(1, int(level.max(initial=0)) + 1):
-                some = level >= q
+                some = np.flatnonzero(level >= q)
                 for probe in range(PROBES):
-                    bit = places(gram[some], q, probe)
-                    order = np.argsort(where[some], kind="stable")
-                    cut = np.searchsorted(where[some][order], np.arange(len(names) + 1))
-                    for k, s in enumerate(names.tolist()):
-                        held[s][bit[order[cut[k] : cut[k + 1]]]] = True
-        yield pa.RecordBatch.from_arrays([
-            pa.array(list(held), pa.int32()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in held.values()], pa.binary())], ["segment", "bits"])
+                    flat[base[some] + places(gram[some], q, probe)] = True
+
+        size = 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= 1 << 18:
+                flush()
+                size = 0
+        if waiting:
+            flush()
+        for s in np.flatnonzero(slot >= 0).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(held[slot[s]], bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
     single = vocabulary.select(F.shiftrightunsigned("h", 52).cast("int").alias("segment"), "h", "c", F.lit(0).alias("kind"))
     double = texts.mapInArrow(count_pairs, "segment int, h bigint, c int").select("segment", "h", F.col("c").cast("bigint").alias("c"), F.lit(1).alias("kind"))
