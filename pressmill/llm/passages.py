@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.blocks import Block, blocks, bounds, hashes, mix, words
+from pressmill.session import settle
 
 #: A run is the shortest one from its sentence on with so many sentences and words.
 SENTENCES, WORDS = 2, 25
 #: A sentence of more words than LONG is cut after about every CUT-th word, where the word's hash says so: alike in every text.
-LONG, CUT = 40, np.uint64(8)
+LONG, CUT = 20, np.uint64(3)
 
 _STOP = np.zeros(256, bool)
 _STOP[[0x21, 0x2E, 0x3F]] = True
@@ -81,7 +82,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     ["id", "pos", "n", "h"])
 
     spans = rows.mapInArrow(run, f"id {kind}, pos int, n int, h bigint")
-    first = spans.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "first")
+    # Stored, so that both sides of the join are plain shuffles and a frequent run can be split.
+    first = settle(spans.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "first"))
     return spans.join(first, "h").where(~F.struct("id", "pos").eqNullSafe(F.col("first"))).select("id", "pos", "n", F.col("first.id").alias("first_id"))
 
 
