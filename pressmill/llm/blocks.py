@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BLOCK = 2 << 20
 
@@ -44,6 +44,14 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def sampled(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """About ``n`` rows of each label, all where it has fewer: those whose ``id`` hashes below n / rows of the label. Counts by label
+    are all that is shuffled, and the choice does not depend on partitions or order."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
+    share = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
+    return rows.join(counts, label).where(share * F.col("_rows") < n).drop("_rows")
+
+
 class Block:
     """``buf``: bytes of all texts, text i at ``at[i]:at[i + 1]``; ``rows``: the slice of the batch; ``null``: texts that are null."""
 

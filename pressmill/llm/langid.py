@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from pressmill.llm.blocks import LOWER, Block, blocks, sums
+from pressmill.llm.blocks import LOWER, Block, blocks, sampled, sums
 
 ORDER = 4  # bytes of the longest context
-#: Labelled rows per language that the statistics are taken from (whole texts, chosen by a hash of the id).
+#: Labelled rows per language that the statistics are taken from, about (whole texts, chosen by a hash of the id).
 SAMPLE = 300
 UNKNOWN = "und"
 
@@ -140,11 +140,10 @@ def has_letter(block: Block) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Trees:
-    """Context trees from at most ``sample`` labelled rows of each language. Rows with a null id, text or language are left out."""
+    """Context trees from about ``sample`` labelled rows of each language. Rows with a null id, text or language are left out."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("id", "lang")
+    chosen = sampled(rows.select("id", "lang"), "lang", sample).distinct()
     got = rows.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text").toArrow()
     lang, text = np.array(got["lang"].to_pylist(), object), got["text"].combine_chunks()
     names = sorted(set(lang.tolist()))

@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from pressmill.llm.blocks import Block, blocks, bounds, hashes, sums, words
+from pressmill.llm.blocks import Block, blocks, bounds, hashes, sampled, sums, words
 
 PASSAGE = 50  # words of a passage
 LEXICAL, SHAPES, STATS = 256, 128, 10
 WIDTH = LEXICAL + SHAPES + STATS
 CODE, GATE = 24, 16  # encoder and attention dimensions
-#: Labelled documents of each class that the model is fitted on, at most (whole texts, chosen by a hash of the id).
+#: Labelled documents of each class that the model is fitted on, about (whole texts, chosen by a hash of the id).
 SAMPLE = 1500
 EPOCHS, BATCH, RATE, SHRINK = 14, 48, 0.004, 1e-4
 KEEP = 0.7
@@ -130,13 +130,12 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 4) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents of each class. An id with several labels takes the larger; null ids and labels
+    """A model from about ``sample`` labelled documents of each class. An id with several labels takes the larger; null ids and labels
     are left out, null texts are empty."""
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = rows.select("id").distinct().join(told, "id")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("id", "y")
+    chosen = sampled(known, "y", sample).select("id", "y")
     got = rows.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "text").toArrow()
     bags: list[np.ndarray] = []
     for block in blocks(got["text"].combine_chunks()):
