@@ -21,7 +21,7 @@ BANDS, ROWS = 50, 6
 #: Bits of an odd sketch, and standard deviations below the threshold from which a candidate is dropped unseen.
 BITS, MARGIN = 1024, 4.5
 #: Each round compares the members of a bucket with this many times as many leaders as the one before; the first with one.
-GROWTH = 15
+GROWTH = 31
 
 _RANDOM = np.random.Generator(np.random.PCG64(6))
 _A = (_RANDOM.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -162,14 +162,6 @@ def shared_shingles(cards: DataFrame) -> DataFrame:
     return single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
 
 
-def labels(edges: DataFrame) -> DataFrame:
-    """``id, root``: two steps to the smallest neighbour. Equal labels mean one component; the reverse need not hold."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    one = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    two = one.join(one.select(F.col("u").alias("m"), F.col("m").alias("m2")), "m", "left")
-    return two.select(F.col("u").alias("id"), F.least("m", F.coalesce("m2", "m")).alias("root"))
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """``id, n, component_id, kept``: one row for every row of ``docs``; ``kept`` marks the smallest id of each component.
 
@@ -177,7 +169,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A pair is a candidate when it shares a band bucket, when the shingles that each has in common with any candidate suffice
     (an exact bound), and when the odd sketches allow the similarity; then the full sets decide. Of every bucket all members are
     compared first with one leader, the text with the fewest shingles of its own, so that a large group of near copies costs
-    one pair per member. Buckets that still hold several components go on with 15, 225, ... further leaders until every pair
+    one pair per member. Buckets that still hold several components go on with 31, 961, ... further leaders until every pair
     across components has been compared: no link that shares a bucket is lost, no bucket is capped.
 
     Cases: a null or empty text, or one of white space only, has n = 0 and is linked with nothing. A null id is linked with
@@ -203,8 +195,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = live.join(lead, "bucket").where((F.col("id") != F.col("u")) & _enough(share)).select("u", F.col("id").alias("v")).distinct()
     edges = settle(confirmed(pairs, cards, share))
 
+    roots = components(edges)
     done, count = 1, GROWTH
-    left = _mixed(live, edges, done).withColumn("pos", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc(F.col("common") / F.col("n")), "id")) - 1)
+    left = _mixed(live, roots, done).withColumn("pos", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc(F.col("common") / F.col("n")), "id")) - 1)
     left = settle(left.join(classes.select("id", "n", "bands", "odd"), ["id", "n"]))
     while left.select("bucket").limit(1).count():
         first = left.where((F.col("pos") >= done) & (F.col("pos") < done + count)).select("bucket", *(
@@ -215,13 +208,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         new = new & (_apart("odd", "_odd") <= most_bits(share)) & (band == F.col("_bucket"))  # only in their first common bucket
         pairs = left.join(first.withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & new)
         pairs = pairs.select(F.col("_id").alias("u"), F.col("id").alias("v")).distinct()
-        edges = settle(edges.unionByName(confirmed(pairs, cards, share)))
+        more = settle(confirmed(pairs, cards, share))
+        if more.limit(1).count():
+            edges = edges.unionByName(more)
+            roots = components(edges)
         done, count = done + count, count * GROWTH
-        left = settle(_mixed(left.drop("root"), edges, done))
+        left = settle(_mixed(left.drop("root"), roots, done))
 
     whole = named.select("id", "key", "n").join(classes.select("key", "n", F.col("id").alias("rep")), ["key", "n"])
-    versions = whole.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
-    roots = components(edges.unionByName(versions.where("u <> v").select("u", "v")))
+    versions = settle(whole.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")))
+    if versions.where("u <> v").limit(1).count():
+        roots = components(edges.unionByName(versions.where("u <> v").select("u", "v")))
     root = versions.join(roots.select(F.col("id").alias("u"), "root"), "u", "left").select("id", F.coalesce("root", "u").alias("root"))
     told = sketch.select("id", "n").join(root, "id", "left")
     return told.select("id", "n", F.coalesce("root", "id").alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
@@ -232,9 +229,9 @@ def _enough(share: int):
     return (100 + share) * F.least("common", "_common") >= share * (F.col("n") + F.col("_n"))
 
 
-def _mixed(rows: DataFrame, edges: DataFrame, done: int) -> DataFrame:
-    """The rows of buckets that hold several labels and more than ``done`` + 1 members, with each id's ``root``."""
-    rows = rows.join(labels(edges), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _mixed(rows: DataFrame, roots: DataFrame, done: int) -> DataFrame:
+    """The rows of buckets that hold several components and more than ``done`` + 1 members, with each id's ``root``."""
+    rows = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = rows.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("_k"))
     return rows.join(several.where((F.col("_a") != F.col("_b")) & (F.col("_k") > done + 1)).select("bucket"), "bucket", "left_semi")
 
