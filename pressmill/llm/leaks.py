@@ -1,17 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds meet test items, Smith-Waterman alignments score the copies."""
+"""Benchmark decontamination: rare words of the test items find passages, Smith-Waterman alignments score the copies."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pressmill.llm.blocks import Block, blocks, bounds, grams, hashes, unused, words
+from pressmill.llm.blocks import Block, blocks, bounds, gather, hashes, unused, words
 
-NGRAM = 3  # words of a seed
-STRETCH = 4  # of so many neighbouring n-grams of an item the rarest is a seed
+LEAST = 3  # words of an item; shorter ones are never found
+SEEDS = 6  # seed words that any copy of an item holds, fewer for items of fewer words
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score, as a share of the item's score with itself, from which a passage is a copy.
 SCORE = 0.5
@@ -21,7 +22,7 @@ _FILTER = 1 << 22
 
 
 class Items:
-    """Test items as word hashes, with their n-grams in a sorted table."""
+    """Test items as word hashes, with their distinct words in a sorted table."""
 
     def __init__(self, ids: list, texts: pa.Array):
         self.ids, self.words = ids, []
@@ -29,37 +30,38 @@ class Items:
             start, end, doc = words(block)
             h, at = hashes(block, start, end), bounds(doc, len(block))
             self.words += [h[at[i] : at[i + 1]] for i in range(len(block))]
-        h = np.concatenate([*self.words, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
-        pos, gram = grams(h, item, NGRAM)
-        self.item = item[pos]
-        self.pos = pos - bounds(item, len(self.words))[self.item]
-        self.grams, self.which = np.unique(gram, return_inverse=True)
-
-    def seeds(self, counts: np.ndarray) -> Seeds:
-        """The rarest n-gram of every stretch of neighbours, by the number of documents that hold it. A copied run of
-        STRETCH + NGRAM - 1 words always holds a seed, however common the item itself is."""
-        rare = np.zeros(len(self.which), bool)
-        for a, b in zip(*_runs(self.item), strict=True):
-            df = counts[self.which[a:b]]
-            for k in range(max(1, b - a - STRETCH + 1)):
-                rare[a + k + int(np.argmin(df[k : k + STRETCH]))] = True
-        order = np.flatnonzero(rare)
-        order = order[np.argsort(self.which[order], kind="stable")]
-        keys, first, count = np.unique(self.which[order], return_index=True, return_counts=True)
-        return Seeds(self.ids, self.words, self.grams[keys], first, count, self.item[order], self.pos[order])
+        self.table = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
+
+    def seeds(self, counts: np.ndarray, share: float) -> Seeds:
+        """The rarest words of every item, by the number of documents that hold them, as many as no copy can lack.
+
+        A score of ``share`` takes ``need`` matched words, as a match adds MATCH and all else takes away. So at most
+        ``n - need`` words of an item are not matched, and of any ``n - need + k`` at least ``k`` are, however the copy was edited."""
+        key, item, least = [], [], np.ones(len(self.words), np.int64)
+        for i, w in enumerate(self.words):
+            if len(w) < LEAST:
+                continue
+            k, times = np.unique(np.searchsorted(self.table, w), return_counts=True)
+            need = max(1, math.ceil(share * len(w) - 1e-9))
+            least[i] = min(SEEDS, need)
+            order = np.lexsort((k, counts[k]))
+            some = order[: int(np.searchsorted(np.cumsum(times[order]), len(w) - need + least[i])) + 1]
+            key.append(k[some])
+            item.append(np.full(len(some), i))
+        key, item = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (key, item))
+        order = np.argsort(key, kind="stable")
+        keys, first, count = np.unique(key[order], return_index=True, return_counts=True)
+        return Seeds(self.ids, self.words, self.table[keys], first, count, item[order], least, share)
 
 
 class Seeds:
-    def __init__(self, ids, words_, keys, first, count, item, pos):
-        self.ids, self.words, self.keys, self.first, self.count, self.item, self.pos = ids, words_, keys, first, count, item, pos
-        self.distinct = [np.unique(w) for w in words_]
+    """``keys``: seed words; word k belongs to the items ``item[first[k]:first[k] + count[k]]``. A copy of item i holds at least
+    ``least[i]`` of its seeds within ``reach[i]`` words: a score of ``share`` leaves no room for more words between."""
 
-
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every run of equal values."""
-    cut = np.flatnonzero(np.diff(values)) + 1
-    return np.concatenate([[0], cut])[: len(values) and None], np.concatenate([cut, [len(values)]])[: len(values) and None]
+    def __init__(self, ids, words_, keys, first, count, item, least, share):
+        self.ids, self.words, self.keys, self.first, self.count, self.item, self.least, self.share = ids, words_, keys, first, count, item, least, share
+        self.size = np.fromiter((len(w) for w in words_), np.int64, len(words_))
+        self.reach = np.ceil(self.size * (1 + MATCH * (1 - share))).astype(np.int64)
 
 
 class Lookup:
@@ -104,38 +106,39 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
-def _copies(block: Block, lookup: Lookup, seeds: Seeds, share: float) -> Iterator[tuple[int, int, float, int, int]]:
+def _copies(block: Block, lookup: Lookup, seeds: Seeds) -> Iterator[tuple[int, int, float, int, int]]:
     """Text number, item number, score, first and last byte of the best aligned passage of every text and item."""
     start, end, doc = words(block)
     h = hashes(block, start, end)
-    pos, gram = grams(h, doc, NGRAM)
-    hit, key = lookup(gram)
-    if not len(hit):
-        return
-    at = bounds(doc, len(block))
+    place, key = lookup(h)
     n = seeds.count[key]
-    place = np.repeat(pos[hit], n)
-    seed = np.repeat(seeds.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    item, text = seeds.item[seed], doc[place]
-    origin = place - seeds.pos[seed]
-    order = np.lexsort((origin, item, text))
-    text, item, origin = text[order], item[order], origin[order]
-    size = np.fromiter((len(w) for w in seeds.words), np.int64, len(seeds.words))
-    cut = np.ones(len(order) + 1, bool)
-    cut[1:-1] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(origin) > size[item[1:]] // 2)
+    item, place = seeds.item[gather(seeds.first[key], n)], np.repeat(place, n)
+    order = np.argsort(item, kind="stable")
+    item, place = item[order], place[order]
+    # Places from which on an item's text holds enough of its seeds near enough.
+    last = np.arange(len(item)) + seeds.least[item] - 1
+    inside = np.flatnonzero(last < len(item))
+    last = last[inside]
+    near = (item[last] == item[inside]) & (doc[place[last]] == doc[place[inside]]) & (place[last] - place[inside] < seeds.reach[item[inside]])
+    item, place = item[inside[near]], place[inside[near]]
+    if not len(item):
+        return
+    at, text = bounds(doc, len(block)), doc[place]
+    cut = np.ones(len(item) + 1, bool)
+    cut[1:-1] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(place) > seeds.reach[item[1:]])
     edges = np.flatnonzero(cut)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         i, t = int(item[a]), int(text[a])
-        slack = int(size[i]) // 2
-        lo, hi = max(int(at[t]), int(origin[a]) - slack), min(int(at[t + 1]), int(origin[b - 1]) + int(size[i]) + slack)
+        size, reach = int(seeds.size[i]), int(seeds.reach[i])
+        lo, hi = max(int(at[t]), int(place[a]) - reach), min(int(at[t + 1]), int(place[b - 1]) + reach)
         window = h[lo:hi]
-        least = share * MATCH * int(size[i])
+        least = seeds.share * MATCH * size
         if MATCH * int(np.isin(seeds.words[i], window).sum()) < least:  # more cannot match
             continue
         got, x, y = align(seeds.words[i], window)
-        if got >= least and got / (MATCH * int(size[i])) > best.get((t, i), (0.0, 0, 0))[0]:
-            best[t, i] = (got / (MATCH * int(size[i])), int(start[lo + x]), int(end[lo + y - 1]))
+        if got >= least and got / (MATCH * size) > best.get((t, i), (0.0, 0, 0))[0]:
+            best[t, i] = (got / (MATCH * size), int(start[lo + x]), int(end[lo + y - 1]))
     for (t, i), found in best.items():
         yield t, i, *found
 
@@ -152,14 +155,15 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                 share: float = SCORE) -> DataFrame:
     """``id, item_id, score, start, end``: every document that holds a copy of a test item, exact or edited.
 
-    Words are lower-cased runs without white space. Of every STRETCH neighbouring n-grams of an item the one in the fewest
-    documents is a seed; frequencies are counted over all documents. Where a document holds a seed, the words around it are
+    Words are lower-cased runs without white space. The words of an item that are in the fewest documents are its seeds, so many
+    that every copy holds SEEDS of them; frequencies are counted over all documents. Where a document holds as many, the words around them are
     aligned with the item (match 2, mismatch and gap -1); ``score`` is the alignment's share of the item's own score, at
-    least ``share``. ``start`` and ``end`` are characters of the whole text. The best passage of a document and item counts.
+    least ``share``. The rows are those of aligning every document with every item. ``start`` and ``end`` are characters of the
+    whole text. The best passage of a document and item counts.
 
     The items are a stated query set: they are broadcast in passes of at most PASS_BYTES of text, each over all documents.
 
-    Cases: null texts hold no words; an item of fewer than NGRAM words has no seed and is never found. Repeated item or
+    Cases: null texts hold no words; an item of fewer than LEAST words has no seed and is never found. Repeated item or
     document rows are each reported. A null document id stays null. Empty tables give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -169,7 +173,7 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     found = spark.createDataFrame([], schema)
     for table in _passes(items, item_id, item_text):
         told = Items(table["id"].to_pylist(), table["text"].combine_chunks())
-        seen = spark.sparkContext.broadcast(told.grams)
+        seen = spark.sparkContext.broadcast(told.table)
 
         def count(batches: Iterator[pa.RecordBatch], seen=seen) -> Iterator[pa.RecordBatch]:
             lookup = Lookup(seen.value)
@@ -177,24 +181,23 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
             for batch in batches:
                 for block in blocks(batch.column(0)):
                     start, end, doc = words(block)
-                    pos, gram = grams(hashes(block, start, end), doc, NGRAM)
-                    hit, key = lookup(gram)
-                    pairs = np.unique(doc[pos[hit]] * len(total) + key)
-                    np.add.at(total, pairs % len(total), 1)
+                    hit, key = lookup(hashes(block, start, end))
+                    pairs = np.unique(doc[hit] * len(total) + key)
+                    total += np.bincount(pairs % len(total), minlength=len(total))
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
 
-        counts = np.zeros(len(told.grams), np.int64)
+        counts = np.zeros(len(told.table), np.int64)
         if len(counts):
-            df = rows.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-            counts[np.asarray(df["gram"])] = np.asarray(df["n"])
-        seeds = spark.sparkContext.broadcast(told.seeds(counts))
+            df = rows.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+            counts[np.asarray(df["word"])] = np.asarray(df["n"])
+        seeds = spark.sparkContext.broadcast(told.seeds(counts, share))
 
         def match(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             lookup = Lookup(seeds.value.keys)
             for batch in batches:
                 for block in blocks(batch.column(1)):
-                    hits = list(_copies(block, lookup, seeds.value, share))
+                    hits = list(_copies(block, lookup, seeds.value))
                     if not hits:
                         continue
                     chars = np.concatenate([[0], np.cumsum((block.buf & 0xC0) != 0x80)])

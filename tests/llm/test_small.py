@@ -254,6 +254,23 @@ def test_find_copies(spark, docs, empty):
     assert leaks.find_copies(empty, bench).count() == 0 and leaks.find_copies(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every", [3, 4, 5, 6])
+def test_copies_without_intact_runs(spark, every):
+    items = [(k, prose(800 + k, 18 + 3 * k)) for k in range(12)]
+    plant = [(k, prose(k, 200) + " " + edited(t, k, every) + " " + prose(k + 50, 200)) for k, t in items]
+    plant += [(100 + k, prose(k, 30) + " " + " ".join(f"{w} zz{j}" for j, w in enumerate(t.split(" ")))) for k, t in items]
+    got = leaks.find_copies(spark.createDataFrame(plant, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {}
+    for i, text in plant:
+        h = np.array([zlib.crc32(w.encode()) for w in split(text)])
+        for k, item in items:
+            w = np.array([zlib.crc32(x.encode()) for x in split(item)])
+            score = leaks.align(w, h)[0] / (leaks.MATCH * len(w))
+            if score >= leaks.SCORE:
+                want[i, k] = score
+    assert {(r.id, r.item_id): r.score for r in got} == want and len(want) >= 12
+
+
 def test_copies_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(leaks, "PASS_BYTES", 300)
     items = [(k, prose(700 + k, 25)) for k in range(20)]
