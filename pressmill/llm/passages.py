@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 from pressmill.llm.blocks import Block, blocks, bounds, hashes, mix, words
 from pressmill.session import settle
 
-#: A run is the shortest one from its sentence on with so many sentences and words.
+#: A run is the shortest one from its sentence on, or up to its sentence, with so many sentences and words.
 SENTENCES, WORDS = 2, 25
-#: A sentence of more words than LONG is cut after about every CUT-th word, where the word's hash says so: alike in every text.
-LONG, CUT = 20, np.uint64(3)
+#: Of any CUT neighbouring words inside a sentence it is cut after the one with the smallest hash, whatever surrounds them. So the first
+#: cut of a passage's copies is at most CUT words from its start, and cuts are alike from there to CUT words before its end: any
+#: passage of WORDS + 3 * CUT - 1 words, wherever it begins, holds a run.
+CUT = 8
 
 _STOP = np.zeros(256, bool)
 _STOP[[0x21, 0x2E, 0x3F]] = True
@@ -25,7 +27,7 @@ _INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 class Sentences:
     """Sentences of a block's texts: ``start`` (byte of the first word), ``doc``, ``first``/``last`` (words), in the texts' order.
 
-    A sentence ends at a word that ends in ``.``, ``!`` or ``?``, at a line end and at the end of its text.
+    A sentence ends at a word that ends in ``.``, ``!`` or ``?``, at a line end and at the end of its text; CUT divides it further.
     """
 
     def __init__(self, block: Block):
@@ -38,15 +40,16 @@ class Sentences:
         stop = _STOP[block.buf[end - 1]]
         stop[:-1] |= (doc[1:] != doc[:-1]) | (lines[start[1:]] > lines[end[:-1]])
         stop[-1] = True
-        last = np.flatnonzero(stop)
-        size = np.diff(np.concatenate([[-1], last]))
-        stop |= (np.repeat(size, size) > LONG) & (self.hash % CUT == 0)
+        if len(stop) >= CUT:
+            ends = np.concatenate([[0], np.cumsum(stop)])
+            inside = np.flatnonzero(ends[CUT - 1 : -1] == ends[: -CUT])
+            stop[inside + np.lib.stride_tricks.sliding_window_view(self.hash, CUT)[inside].argmin(1)] = True
         self.last = np.flatnonzero(stop) + 1
         self.first = np.concatenate([[0], self.last[:-1]])
         self.start, self.doc = start[self.first], doc[self.first]
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First sentence, sentences and hash of the words of every run."""
+        """First sentence, sentences and hash of the words of every run: the shortest from each sentence on and the shortest up to each."""
         n = len(self.first)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -55,6 +58,14 @@ class Sentences:
         limit = np.searchsorted(self.doc, self.doc, "right")
         at = np.flatnonzero(end <= limit)
         end = end[at]
+        # Up to a sentence where the shortest run from none ends: from the last sentence whose own run ends before, in the same text.
+        bare = np.ones(n + 1, bool)
+        bare[end] = False
+        bare = np.flatnonzero(bare)
+        source = np.searchsorted(end, bare) - 1
+        bare, source = bare[source >= 0], source[source >= 0]
+        same = self.doc[at[source]] == self.doc[bare - 1]
+        at, end = np.concatenate([at, at[source[same]]]), np.concatenate([end, bare[same]])
         up = np.full(len(self.hash) + 1, _BASE, np.uint64)
         down = np.full(len(self.hash) + 1, _INVERSE, np.uint64)
         up[0] = down[0] = 1
@@ -91,7 +102,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``id, text, removed, n_words, first_ids``: the documents that lose text. ``text``: without the sentences that any repeated run covers
     but for its first occurrence in the corpus; ``removed``: character spans of the whole text; ``first_ids``: where the runs stay.
 
-    Every run of consecutive sentences (at least SENTENCES of them and WORDS words) is hashed, the hashes meet in one aggregate
+    The shortest run of sentences (at least SENTENCES of them and WORDS words) from every sentence on and up to every sentence is hashed:
+    together they cover each longer run that is repeated, to its last word. The hashes meet in one aggregate
     with partial sums (smallest id and position of each), and runs join the repeated ones. Words are compared in lower case,
     white space does not count.
 

@@ -566,6 +566,38 @@ def test_remove_repeats(spark, docs, empty):
     assert passages.remove_repeats(empty).count() == 0
 
 
+def sentences(r: random.Random, sizes) -> list[str]:
+    return [" ".join(f"w{r.randrange(10**9)}" for _ in range(n)) + "." for n in sizes]
+
+
+def test_whole_passages_go(spark):
+    """Planted twice, whole sentences go to the last word; a passage from any word on but for less than a cut at each end."""
+    r = random.Random(5)
+    rows, want = [], {}
+    for k in range(300):
+        own = [sentences(r, [r.randrange(3, 40) for _ in range(8)]) for _ in range(2)]
+        if k % 3:
+            passage = sentences(r, [18, 18, 18, 5] if k == 1 else [r.randrange(3, 30) for _ in range(9)])
+            while k > 1 and len(split(" ".join(passage[:-1]))) > 50:
+                passage.pop()
+            planted, slack = " ".join(passage), 0
+        else:
+            source = split(" ".join(sentences(r, [r.randrange(3, 40) for _ in range(12)])))
+            at = r.randrange(20)
+            planted, slack = " ".join(source[at : at + 51 + k % 30]), 2 * passages.CUT
+        for j in range(2):
+            lead = own[j][:4] if not slack else [*own[j][:4], own[j][6].rstrip(".")]
+            rows.append((2 * k + j, " ".join([*lead, planted, *own[j][4:6]])))
+        want[2 * k + 1] = (planted, slack)
+    got = {x.id: x for x in passages.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    texts = dict(rows)
+    for i, (planted, slack) in want.items():
+        n = len(split(planted))
+        gone = split(" ".join(texts[i][s.start : s.end] for s in got[i].removed))
+        assert n > 50 and set(gone) <= set(split(planted)) and n - slack <= len(gone) <= n
+    assert set(got) == set(want)
+
+
 def test_runs_equal_brute_force():
     texts = [prose(k % 3, 80) for k in range(6)] + ["A b. C d! E?", "", "x. " * 60]
     block = next(blocks(pa.array(texts)))
