@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 from pressmill.llm.blocks import Block, blocks, bounds, hashes, mix, sums, words
 from pressmill.session import settle
 
-#: The filter has SEGMENTS parts of 2**SEGMENT_BITS bits: 32 MB, whatever the input. An n-gram's bits lie in one part.
+#: The filter has parts of 2**SEGMENT_BITS bits, SEGMENTS of them (32 MB) or twice as many until all memberships fit. An n-gram's bits lie in
+#: one part. A filter of SEGMENTS parts is broadcast; a larger one stays a table, whose parts the texts' n-grams meet in a shuffle.
 SEGMENTS, SEGMENT_BITS = 4096, 16
 PROBES = 5  # bits of one membership
 LEVELS = 48  # largest quantised count
 #: Words whose exact counts are broadcast; the counts of all others are met through a shuffled join.
 HEAD = 1 << 17
-#: One in SIZING pairs of words, by hash, is counted beforehand to choose the quantiser's floor.
+#: One in SIZING pairs of words, by hash, is counted beforehand to choose the filter's size.
 SIZING = 64
 PRIOR = 5.0  # weight of the one-word model against the counts of a pair's first word
 FLOOR = 0.1  # added to every count of the one-word model
@@ -65,8 +66,16 @@ def floor_for(levels: list[tuple[int, int]], room: float) -> int:
     return 1 << LEVELS
 
 
-def segment_of(gram: np.ndarray) -> np.ndarray:
-    return (gram >> np.uint64(64 - 12)).astype(np.int64)
+def segments_for(memberships: float) -> int:
+    """Smallest SEGMENTS * 2**k parts that the memberships fit, half of their bits set."""
+    n = SEGMENTS
+    while memberships > n * (1 << SEGMENT_BITS) * math.log(2) / PROBES:
+        n *= 2
+    return n
+
+
+def segment_of(gram: np.ndarray, segments: int) -> np.ndarray:
+    return (gram >> np.uint64(64 - (segments.bit_length() - 1))).astype(np.int64)
 
 
 def places(gram: np.ndarray, level: int, probe: int) -> np.ndarray:
@@ -75,15 +84,15 @@ def places(gram: np.ndarray, level: int, probe: int) -> np.ndarray:
 
 
 class Filter:
-    """``bits``: SEGMENTS x 2**SEGMENT_BITS bits, packed. A level is stored as membership in all levels up to it."""
+    """``bits``: parts of 2**SEGMENT_BITS bits, packed. A level is stored as membership in all levels up to it."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits.reshape(-1)
+        self.bits, self.segments = bits.reshape(-1), len(bits)
 
     def level(self, gram: np.ndarray) -> np.ndarray:
         """Probes level after level until one is absent. Never below the stored level."""
         out, live = np.zeros(len(gram), np.int64), np.arange(len(gram))
-        base = segment_of(gram) << SEGMENT_BITS
+        base = segment_of(gram, self.segments) << SEGMENT_BITS if self.segments > 1 else np.zeros(len(gram), np.int64)
         for level in range(1, LEVELS + 1):
             for probe in range(PROBES):
                 bit = base[live] + places(gram[live], level, probe)
@@ -95,11 +104,18 @@ class Filter:
 
 
 class Model:
-    def __init__(self, words_: int, distinct: int, texts: int, one: Quantiser, two: Quantiser, filter_: Filter, head: np.ndarray, head_counts: np.ndarray):
+    """``filter``: None where it is a table of ``segments`` parts."""
+
+    def __init__(self, words_: int, distinct: int, texts: int, one: Quantiser, two: Quantiser, filter_: Filter | None, head: np.ndarray, head_counts: np.ndarray,
+                 segments: int = 0, parts: DataFrame | None = None):
         self.words, self.distinct, self.texts = words_, distinct, texts
         self.one, self.two, self.filter, self.head, self.head_counts = one, two, filter_, head, head_counts
+        self.segments, self.parts = segments, parts
         self.total = words_ + FLOOR * (distinct + 1)
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "parts": None}
+
     def count(self, h: np.ndarray) -> np.ndarray:
         """Exact counts of the words in the head, END included; -1 for others."""
         out = np.full(len(h), -1, np.int64)
@@ -109,18 +125,23 @@ class Model:
         out[h == END] = self.texts
         return out
 
-    def score(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def probed(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Every n-gram, once, whose level ``score`` asks for."""
+        distinct = np.unique(h)
+        return np.union1d(distinct[self.count(distinct) < 0], pairs(h, at))
+
+    def score(self, h: np.ndarray, at: np.ndarray, level: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """log10 probability of every text: of each token after the one before it, with the one-word model as a prior."""
         distinct, back = np.unique(h, return_inverse=True)
         exact = self.count(distinct)
-        seen = np.where(exact >= 0, exact, self.one.value[self.filter.level(distinct)])
+        seen = np.where(exact >= 0, exact, self.one.value[level(distinct)])
         alone = ((seen + FLOOR) / self.total)[back]
         before = np.empty(len(h))
         before[1:] = seen[back][:-1]
         before[at[:-1]] = self.texts
         gram = pairs(h, at)
         distinct, back = np.unique(gram, return_inverse=True)
-        both = np.minimum(self.two.value[self.filter.level(distinct)][back], before)
+        both = np.minimum(self.two.value[level(distinct)][back], before)
         return sums(np.log10((both + PRIOR * alone) / (before + PRIOR)), at)
 
 
@@ -132,9 +153,9 @@ def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[
     """The model of all whole texts of ``training`` (null: empty), and the exact counts ``h, c`` of all its words.
 
     Words and pairs are counted in the tasks batch by batch and summed after a shuffle by their hash; pairs go to the task of
-    their filter segment, which sets the segment's bits. Only the filter (fixed size), the sums of the sizing sample by level
-    and the ``head`` most frequent words reach the driver. All pairs are counted; pairs below the quantiser's floor, which is
-    1 as long as the filter has room, are level 0 and scored by the prior.
+    their filter segment, which sets the segment's bits. Only a filter of SEGMENTS parts, the sums of the sizing sample by level
+    and the ``head`` most frequent words reach the driver. The filter has room for all words and pairs, whatever their counts; one of
+    more parts is written as a table and never gathered.
     """
     spark = training.sparkSession
     texts = training.select(F.col(text_col).alias("text"))
@@ -155,10 +176,8 @@ def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[
     # Number of n-grams by the length of their count in binary; words are stored by the same filter.
     length = F.floor(F.log2(F.col("c").cast("double") + 0.5)).cast("int") + 1
     sizes = {(r.kind, r.bits): r.n for r in counted.groupBy("kind", length.alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    room = SEGMENTS * (1 << SEGMENT_BITS) * math.log(2) / PROBES
-    by_kind = [[(bits, k * (SIZING if kind else 1)) for (q, bits), k in sizes.items() if q == kind] for kind in (0, 1)]
-    one = Quantiser(floor_for(by_kind[0], room / 4))
-    two = Quantiser(floor_for(by_kind[1], room - sum(k * max(0, bits - one.floor.bit_length() + 1) for bits, k in by_kind[0])))
+    segments = segments_for(sum(k * bits * (SIZING if kind else 1) for (kind, bits), k in sizes.items()))
+    one, two = Quantiser(1), Quantiser(1)
     top = vocabulary.orderBy(F.desc("c"), "h").limit(head).toArrow()
     keys, counts = np.asarray(top["h"]).view(np.uint64), np.asarray(top["c"])
     order = np.argsort(keys)
@@ -167,10 +186,10 @@ def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[
         for batch in batches:
             for block in blocks(batch.column(0), 4 << 20):
                 gram, k = _counted(pairs(*tokens(block)))
-                yield pa.RecordBatch.from_arrays([pa.array(segment_of(gram).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(k.astype(np.int32))], ["segment", "h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(segment_of(gram, segments).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(k.astype(np.int32))], ["segment", "h", "c"])
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, held = np.full(SEGMENTS, -1, np.int64), np.zeros((0, 1 << SEGMENT_BITS), bool)
+        slot, held = np.full(segments, -1, np.int64), np.zeros((0, 1 << SEGMENT_BITS), bool)
         waiting: list[pa.RecordBatch] = []
 
         def flush() -> None:
@@ -201,14 +220,55 @@ def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[
         for s in np.flatnonzero(slot >= 0).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(held[slot[s]], bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
-    single = vocabulary.select(F.shiftrightunsigned("h", 52).cast("int").alias("segment"), "h", "c", F.lit(0).alias("kind"))
+    single = vocabulary.select(F.shiftrightunsigned("h", 64 - (segments.bit_length() - 1)).cast("int").alias("segment"), "h", "c", F.lit(0).alias("kind"))
     double = texts.mapInArrow(count_pairs, "segment int, h bigint, c int").select("segment", "h", F.col("c").cast("bigint").alias("c"), F.lit(1).alias("kind"))
     grams = single.unionByName(double).repartition("segment").groupBy("segment", "h", "kind").agg(F.sum("c").alias("c"))
-    parts = grams.select("segment", "h", "c", "kind").mapInArrow(set_bits, "segment int, bits binary").toArrow()
+    parts = grams.select("segment", "h", "c", "kind").mapInArrow(set_bits, "segment int, bits binary")
+    told = int(n), int(v), int(ends.c) if ends else 0, one, two
+    if segments > SEGMENTS:
+        return Model(*told, None, keys[order], counts[order], segments, settle(parts)), vocabulary
+    parts = parts.toArrow()
     bits = np.zeros((SEGMENTS, (1 << SEGMENT_BITS) // 8), np.uint8)
     for s, data in zip(parts["segment"].to_pylist(), parts["bits"], strict=True):
         bits[s] |= np.frombuffer(data.as_buffer(), np.uint8)
-    return Model(int(n), int(v), int(ends.c) if ends else 0, one, two, Filter(bits), keys[order], counts[order]), vocabulary
+    return Model(*told, Filter(bits), keys[order], counts[order], segments), vocabulary
+
+
+def _levels(blocks_: DataFrame, parts: DataFrame, known) -> DataFrame:
+    """``block, gram, level`` of the n-grams of stored blocks that the filter's table holds. An n-gram goes to its part once for each block,
+    so a frequent one is no more rows than there are blocks; a task holds one part at a time."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = known.value
+        for batch in batches:
+            for block, h, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                gram = model.probed(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(at.as_buffer(), np.int64))
+                for k in range(0, len(gram), 1 << 16):
+                    some = gram[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(segment_of(some, model.segments).astype(np.int32)), pa.array(np.full(len(some), block)), pa.array(some.view(np.int64))], ["segment", "block", "gram"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, part = -1, None
+        for batch in batches:
+            segment, block, gram = (batch.column(k).fill_null(0).to_numpy() for k in range(3))
+            isbits, level = np.asarray(batch.column(3).is_valid()), np.zeros(len(segment), np.int64)
+            first = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | isbits[1:]])[: len(segment)])
+            for a, b in zip(first, np.append(first[1:], len(segment)), strict=True):
+                if isbits[a]:
+                    bits = np.frombuffer(batch.column(3)[int(a)].as_buffer(), np.uint8).reshape(1, -1)
+                    if have == segment[a]:
+                        bits = bits | part.bits
+                    have, part, a = segment[a], Filter(bits.copy()), a + 1
+                if have == segment[min(a, b - 1)]:
+                    level[a:b] = part.level(gram[a:b].view(np.uint64))
+            some = np.flatnonzero(level)
+            yield pa.RecordBatch.from_arrays([pa.array(block[some]), pa.array(gram[some]), pa.array(level[some].astype(np.int32))], ["block", "gram", "level"])
+
+    asked = blocks_.select("block", "h", "at").mapInArrow(ask, "segment int, block bigint, gram bigint").select("*", F.lit(None).cast("binary").alias("bits"))
+    held = parts.select("segment", F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("gram"), "bits")
+    met = asked.unionByName(held).repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull())
+    return met.mapInArrow(probe, "block bigint, gram bigint, level int")
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,29 +285,62 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
+    def judge(ids: pa.Array, row: int, h: np.ndarray, at: np.ndarray, level: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+        model, n = known.value, len(at) - 1
+        count = model.count(h)
+        log = np.where(count >= 0, np.log10((np.maximum(count, 0) + FLOOR) / model.total), 0.0)
+        doc = np.repeat(np.arange(n), np.diff(at))
+        rare = np.flatnonzero(count < 0)
+        order = rare[np.lexsort((h[rare], doc[rare]))]
+        new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])[: len(order)])
+        cut = np.searchsorted(doc[order[new]], np.arange(n + 1)).astype(np.int32)
+        times = np.diff(np.concatenate([new, [len(order)]])).astype(np.int32)
+        return pa.RecordBatch.from_arrays([
+            ids, pa.array(row + np.arange(n)), pa.array(np.diff(at)), pa.array(sums(count > 0, at)),
+            pa.array(sums(log, at)), pa.array(model.score(h, at, level)),
+            pa.ListArray.from_arrays(pa.array(cut), pa.array(h[order[new]].view(np.int64))), pa.ListArray.from_arrays(pa.array(cut), pa.array(times))],
+            ["id", "row", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, row = known.value, TaskContext.get().partitionId() << 36
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                yield judge(batch.column(0)[block.rows], row, *tokens(block), known.value.filter.level)
+                row += len(block)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for block in blocks(batch.column(1)):
                 h, at = tokens(block)
-                count = model.count(h)
-                log = np.where(count >= 0, np.log10((np.maximum(count, 0) + FLOOR) / model.total), 0.0)
-                doc = np.repeat(np.arange(len(block)), np.diff(at))
-                rare = np.flatnonzero(count < 0)
-                order = rare[np.lexsort((h[rare], doc[rare]))]
-                new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])[: len(order)])
-                cut = np.searchsorted(doc[order[new]], np.arange(len(block) + 1)).astype(np.int32)
-                times = np.diff(np.concatenate([new, [len(order)]])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[block.rows], pa.array(row + np.arange(len(block))), pa.array(np.diff(at)), pa.array(sums(count > 0, at)),
-                    pa.array(sums(log, at)), pa.array(model.score(h, at)),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(h[order[new]].view(np.int64))), pa.ListArray.from_arrays(pa.array(cut), pa.array(times))],
-                    ["id", "row", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+                ids = pa.ListArray.from_arrays(pa.array([0, len(block)], pa.int32()), batch.column(0)[block.rows])
+                yield pa.RecordBatch.from_arrays([pa.array([row]), ids, pa.array([h.tobytes()], pa.binary()), pa.array([at.astype(np.int64).tobytes()], pa.binary())], ["block", "ids", "h", "at"])
                 row += len(block)
 
-    told = settle(rows.mapInArrow(run, f"id {kind}, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<int>"))
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        gram, found = left["gram"].to_numpy().view(np.uint64), left["level"].to_numpy()
+        order = np.argsort(gram)
+        gram, found = gram[order], found[order]
+
+        def level(wanted: np.ndarray) -> np.ndarray:
+            if not len(gram):
+                return np.zeros(len(wanted), np.int64)
+            k = np.minimum(np.searchsorted(gram, wanted), len(gram) - 1)
+            return np.where(gram[k] == wanted, found[k], 0)
+
+        h, at = (np.frombuffer(right[k][0].as_buffer(), kind) for k, kind in (("h", np.uint64), ("at", np.int64)))
+        return pa.Table.from_batches([judge(right["ids"].combine_chunks().flatten(), right["block"][0].as_py(), h, at, level)])
+
+    schema = f"id {kind}, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<int>"
+    if model.parts is None:
+        told = settle(rows.mapInArrow(run, schema))
+    else:
+        packed = settle(rows.mapInArrow(pack, f"block bigint, ids array<{kind}>, h binary, at binary"))
+        told = settle(_levels(packed, model.parts, known).groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(meet, schema))
     rare = told.select("row", F.explode(F.arrays_zip("rare", "times")).alias("_r")).select("row", F.col("_r.rare").alias("h"), F.col("_r.times").alias("times"))
     met = rare.join(vocabulary, "h", "left")
     c = F.coalesce("c", F.lit(0))

@@ -537,6 +537,20 @@ def test_scores(docs, empty):
     assert blank.words == 0 and lm.score(docs, blank, none).count() == docs.count()
 
 
+def test_scores_with_a_filter_in_parts(docs, empty, monkeypatch):
+    """A filter too large to broadcast scores as a broadcast one does: no pair is too rare to be stored."""
+    key = lambda rows: sorted((str(r.id), r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in rows)
+    model, vocabulary = lm.fit(docs, head=40)
+    want = key(lm.score(clash(docs), model, vocabulary).collect())
+    monkeypatch.setattr(lm, "SEGMENTS", 1)
+    model, vocabulary = lm.fit(docs, head=40)
+    assert (model.one.floor, model.two.floor) == (1, 1) and model.filter is None and model.segments > 1
+    got = key(lm.score(clash(docs), model, vocabulary).collect())
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert np.mean([abs(a[4] - b[4]) <= 0.03 * abs(b[4]) for a, b in zip(got, want, strict=True)]) > 0.95
+    assert lm.score(empty, model, vocabulary).count() == 0
+
+
 def test_quantiser():
     for floor in (1, 4):
         q = lm.Quantiser(floor)
