@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from pressmill.llm.blocks import blocks, list_parts
 from pressmill.llm.tokens import BLOCK, Decoder, Encoder, cached, rank_tokenizer, shared, spans
@@ -58,32 +57,48 @@ def decode(coded: DataFrame, ranks: str, id_col: str = "id", ids_col: str = "ids
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, ids, starts, ends, bytes, exact`` in one pass: every text encoded with offsets, its ids decoded again, and whether the bytes
-    are the text's. As ``encode``."""
+#: What ``round_trip`` can return beside the id.
+KINDS = {"ids": "array<int>", "starts": "array<int>", "ends": "array<int>", "bytes": "binary", "exact": "boolean", "n_tokens": "bigint",
+         "ids_sha256": "string", "bytes_sha256": "string"}
+WHOLE = ("ids", "starts", "ends", "bytes", "exact")
+
+
+def _digests(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Lower-case hex SHA-256 of the bytes of each part."""
+    return pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+
+
+def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", columns: Sequence[str] = WHOLE) -> DataFrame:
+    """``id`` and the asked ``columns`` in one pass: every text encoded with offsets (``ids, starts, ends``), its ids decoded again
+    (``bytes``), and whether those are the text's bytes (``exact``). ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned 32-bit
+    integers) and ``bytes_sha256`` stand for lists and bytes that nobody needs outside: what is not asked for leaves no task. As ``encode``."""
     name, spec = shared(docs.sparkSession, rank_tokenizer(ranks))
+    columns = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = cached(f"bpe{name}", lambda: (Encoder(spec.value), Decoder.of(spec.value)))
         for batch in batches:
             for block in blocks(batch.column(1), BLOCK):
                 ids, at = encoder(block)
-                start, end = spans(block, ids, at, decoder.size)
-                data, ends = decoder(ids, at)
-                same = np.array([np.array_equal(data[a:b], block.buf[x:y]) for a, b, x, y in zip(ends[:-1], ends[1:], block.at[:-1], block.at[1:], strict=True)])
-                out = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[block.rows], _lists(ids, at), _lists(start, at), _lists(end, at), out, pa.array(same)],
-                    ["id", "ids", "starts", "ends", "bytes", "exact"])
+                out = {"n_tokens": pa.array(np.diff(at))}
+                if "ids" in columns:
+                    out["ids"] = _lists(ids, at)
+                if "starts" in columns or "ends" in columns:
+                    start, end = spans(block, ids, at, decoder.size)
+                    out |= {"starts": _lists(start, at), "ends": _lists(end, at)}
+                    del start, end
+                if "ids_sha256" in columns:
+                    out["ids_sha256"] = _digests(ids.astype("<u4"), at)
+                if {"bytes", "exact", "bytes_sha256"} & {*columns}:
+                    data, ends = decoder(ids, at)
+                    if "exact" in columns:
+                        out["exact"] = pa.array([np.array_equal(data[a:b], block.buf[x:y]) for a, b, x, y in zip(ends[:-1], ends[1:], block.at[:-1], block.at[1:], strict=True)])
+                    if "bytes" in columns:
+                        out["bytes"] = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                    if "bytes_sha256" in columns:
+                        out["bytes_sha256"] = _digests(data, ends)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[block.rows], *(out[c] for c in columns)], ["id", *columns])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, starts array<int>, ends array<int>, bytes binary, exact boolean")
-
-
-@F.arrow_udf(StringType())
-def ids_sha256(ids: pa.Array) -> pa.Array:
-    """Lower-case hex SHA-256 of each list of ids as little-endian unsigned 32-bit integers."""
-    flat, at = list_parts(ids)
-    flat = flat.astype("<u4")
-    return pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+    return rows.mapInArrow(run, ", ".join([f"id {kind}", *(f"{c} {KINDS[c]}" for c in columns)]))

@@ -12,21 +12,20 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType
 
-from pressmill.llm.blocks import blocks, list_parts
+from pressmill.llm.blocks import blocks
 from pressmill.llm.tokens import BLOCK_IDS, FOLD, Encoder, cached, shared
 from pressmill.session import scratch_path
 
 MAGIC = b"DACSEG01"
 SUPER = 512
 #: Ids after which a segment ends (with the text at hand): bounds the memory of a reader.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
@@ -108,7 +107,7 @@ def write_codes(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
     each text. A text is never split over segments.
 
     Cases: null text = empty text (only the end id). Null ids come first. Repeated ids stand beside each other, by text.
-    An empty table writes no segment. Other columns are ignored.
+    An empty table writes no segment. Other columns are ignored. An id column that is not a number is an error.
     """
     with open(vocabulary, encoding="utf-8") as f:
         key, spec = shared(docs.sparkSession, f.read())
@@ -154,11 +153,16 @@ def write_codes(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
     rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, _SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def read_codes(spark, path: str) -> DataFrame:
-    """``id, start, ids``: the texts of a table of segments with the number of ids before each, in the order of the parts.
+#: What ``read_codes`` can return beside the id.
+KINDS = {"start": "bigint", "ids": "array<int>", "n_tokens": "bigint", "ids_crc32": "bigint"}
+
+
+def read_codes(spark, path: str, columns: Sequence[str] = ("start", "ids")) -> DataFrame:
+    """``id`` and the asked ``columns``: the texts of a table of segments with the number of ids before each, in the order of the parts.
 
     A segment knows the tokens before it in its part. The sums over whole parts, one row for each range of the writer, are
-    small whatever the input, and broadcast; so payloads are not shuffled.
+    small whatever the input, and broadcast; so payloads are not shuffled. ``n_tokens`` and ``ids_crc32`` (of the ids as little-endian unsigned
+    32-bit integers) are taken where a segment is unpacked, for readers that need no ids.
     """
     files = spark.read.schema(_SCHEMA).parquet(path)
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -174,24 +178,18 @@ def read_codes(spark, path: str) -> DataFrame:
                     raise ValueError("a segment's token counts do not add up")
                 for a in range(0, len(ends) - 1, 4096):
                     part = ends[a : a + 4097]
-                    yield pa.RecordBatch.from_arrays([
-                        names.values[a : a + len(part) - 1], pa.array(part[:-1] + start.as_py()),
-                        pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(ids[part[0] : part[-1]].astype(np.int32)))],
-                        ["id", "start", "ids"])
-
-    return placed.mapInArrow(run, "id bigint, start bigint, ids array<int>")
-
+                    out = {"start": pa.array(part[:-1] + start.as_py()), "n_tokens": pa.array(np.diff(part))}
+                    if "ids" in columns:
+                        out["ids"] = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(ids[part[0] : part[-1]].astype(np.int32)))
+                    if "ids_crc32" in columns:
+                        out["ids_crc32"] = pa.array([zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(part[:-1], part[1:], strict=True)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([names.values[a : a + len(part) - 1], *(out[c] for c in columns)], ["id", *columns])
 
-@F.arrow_udf(LongType())
-def ids_crc32(ids: pa.Array) -> pa.Array:
-    """Unsigned CRC-32 of each list of ids as little-endian unsigned 32-bit integers."""
-    flat, at = list_parts(ids)
-    flat = flat.astype("<u4")
-    return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
+    return placed.mapInArrow(run, ", ".join(["id bigint", *(f"{c} {KINDS[c]}" for c in columns)]))
 
 
-def token_codes(docs: DataFrame, vocabulary: str, end_id: int | None = 1, path: str | None = None) -> DataFrame:
+def token_codes(docs: DataFrame, vocabulary: str, end_id: int | None = 1, path: str | None = None, columns: Sequence[str] = ("start", "ids")) -> DataFrame:
     """Writes the table of segments (below the shared folder unless ``path`` is given) and reads it back. As above."""
     path = path or scratch_path(docs.sparkSession, "codes")
     write_codes(docs, vocabulary, path, end_id)
-    return read_codes(docs.sparkSession, path)
+    return read_codes(docs.sparkSession, path, columns)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressmill.llm.blocks import tune
-from pressmill.llm.bpe import ids_sha256, round_trip
-from pressmill.llm.codes import ids_crc32, token_codes
+from pressmill.llm.bpe import round_trip
+from pressmill.llm.codes import token_codes
 from pressmill.llm.exact import exact_groups
 from pressmill.llm.langid import fit as fit_languages, identify
 from pressmill.llm.leaks import find_copies
@@ -55,15 +55,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"),
-                        F.sha2("bytes", 256).alias("decoded_sha256"))
+    coded = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                       columns=("n_tokens", "ids_sha256", "bytes_sha256"))
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.col("bytes_sha256").alias("decoded_sha256"))
 
 
 @query("op8_token_codes")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = token_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select(F.col("id").alias("doc_id"), "start", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+    coded = token_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), columns=("start", "n_tokens", "ids_crc32"))
+    return coded.withColumnRenamed("id", "doc_id")
 
 
 @query("op1_minhash_near_dedup")

@@ -21,10 +21,15 @@ from pyspark.sql import SparkSession
 
 from pressmill.llm.blocks import LOWER, SPACE, Block, gather
 
-#: A worker remembers the pieces it has met until it knows this many; later ones are encoded in each block. The result is the same.
-REMEMBERED = 200_000
+#: A worker remembers the pieces it has met while they take fewer bytes than this, each at most LONGEST bytes long; others are encoded in each
+#: block. The result is the same.
+REMEMBERED, LONGEST, COST = 32 << 20, 64, 160
+#: The library keeps some hundred bytes for each piece that it encodes at once.
+AT_ONCE = 4096
 #: Bytes of a block: the larger, the fewer pieces are encoded again. Offsets and decoded bytes take more memory beside the ids.
-BLOCK, BLOCK_IDS = 3 << 20, 6 << 20
+BLOCK, BLOCK_IDS = 2 << 20, 4 << 20
+#: Ids that are decoded at once.
+DECODED = 1 << 16
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -112,13 +117,31 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.fold = fold
         self.known: dict[str, int] = {}
+        self.held = 0
         self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the pieces and the number of each piece's ids."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(texts), AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _remember(self, fresh: list[str], ids: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> None:
+        """Keeps short pieces until REMEMBERED bytes are taken."""
+        length = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        cost = np.where(length <= LONGEST, 4 * length + COST, 0)
+        keep = np.flatnonzero((length <= LONGEST) & (self.held + np.cumsum(cost) <= REMEMBERED))
+        if not len(keep):
+            return
+        self.held += int(cost[keep].sum())
+        self.known.update(zip((fresh[k] for k in keep), range(len(self.size), len(self.size) + len(keep)), strict=True))
+        size = sizes[keep]
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids[gather(firsts[keep], size)]])
 
     def __call__(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and where each text's ids begin (with the end)."""
@@ -141,9 +164,8 @@ class Encoder:
         flat = np.concatenate([self.ids, ids])
         out = flat[gather(first[which], size[which])]
         ends = np.concatenate([[0], np.cumsum(size[which])])
-        if len(self.known) < REMEMBERED and len(fresh):
-            self.known.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh)), strict=True))
-            self.first, self.size, self.ids = np.concatenate([self.first, first[new]]), np.concatenate([self.size, sizes]), flat
+        if len(fresh) and self.held < REMEMBERED:
+            self._remember(fresh, ids, sizes, firsts)
         return out, ends[np.searchsorted(doc, np.arange(len(block) + 1))]
 
 
@@ -153,7 +175,7 @@ def spans(block: Block, ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> tu
     The character of a byte is the number of leading bytes up to it; a token that holds part of a character covers it whole.
     """
     ends = np.cumsum(size[ids])
-    upto = np.cumsum((block.buf & 0xC0) != 0x80)
+    upto = np.cumsum((block.buf & 0xC0) != 0x80, dtype=np.int32)
     base = np.repeat(np.concatenate([[0], upto])[block.at[:-1]], np.diff(at))
     return upto[ends - size[ids]] - 1 - base, upto[ends - 1] - base
 
@@ -175,9 +197,12 @@ class Decoder:
 
     def __call__(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts and where each text begins (with the end)."""
-        size = self.size[ids]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return self.flat[gather(self.first[ids], size)], ends[at]
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])
+        out = np.empty(ends[-1], np.uint8)
+        for k in range(0, len(ids), DECODED):
+            some = ids[k : k + DECODED]
+            out[ends[k] : ends[k + len(some)]] = self.flat[gather(self.first[some], self.size[some])]
+        return out, ends[at]
 
 
 _cache: dict[str, object] = {}

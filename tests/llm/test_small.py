@@ -297,8 +297,10 @@ def test_byte_bpe(docs, empty, reference):
     got = bpe.round_trip(clash(docs), RANKS).collect()
     want = collections.Counter((r.doc_id, tuple(reference.encode_ordinary(r.text or "")), (r.text or "").encode()) for r in docs.collect())
     assert collections.Counter((r.id, tuple(r.ids), bytes(r.bytes)) for r in got) == want and all(r.exact for r in got)
-    shas = bpe.round_trip(docs, RANKS).select("ids", bpe.ids_sha256("ids").alias("s")).collect()
-    assert all(r.s == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() for r in shas)
+    some = bpe.round_trip(docs, RANKS, columns=("ids_sha256", "n_tokens", "bytes_sha256", "ids")).collect()
+    assert collections.Counter((r.id, tuple(r.ids)) for r in some) == collections.Counter((i, x) for i, x, _ in want.elements())
+    assert all((r.ids_sha256, r.n_tokens) == (hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest(), len(r.ids)) for r in some)
+    assert collections.Counter(r.bytes_sha256 for r in some) == collections.Counter(hashlib.sha256(b).hexdigest() for _, _, b in want.elements())
     apart = bpe.decode(bpe.encode(docs, RANKS), RANKS)
     assert collections.Counter(bytes(r.bytes) for r in apart.collect()) == collections.Counter(b for _, _, b in want.elements())
     assert bpe.round_trip(empty, RANKS).count() == 0
@@ -318,7 +320,9 @@ def test_encoder_and_offsets(reference):
 
 
 def test_pieces_of_words(monkeypatch):
-    monkeypatch.setattr("pressmill.llm.tokens.REMEMBERED", 50)
+    monkeypatch.setattr("pressmill.llm.tokens.REMEMBERED", 9000)
+    monkeypatch.setattr("pressmill.llm.tokens.LONGEST", 6)
+    monkeypatch.setattr("pressmill.llm.tokens.AT_ONCE", 7)
     from pressmill.llm.tokens import FOLD
 
     with open(WORDS) as f:
@@ -349,16 +353,17 @@ def test_segment(ids):
 def test_token_codes(spark, docs, empty, tmp_path):
     whole = Tokenizer.from_file(WORDS)
     codes.write_codes(clash(docs), WORDS, str(tmp_path / "c"), segment=3000)
-    got = codes.read_codes(spark, str(tmp_path / "c"))
+    got = codes.read_codes(spark, str(tmp_path / "c"), ("start", "n_tokens", "ids", "ids_crc32"))
     assert spark.read.parquet(str(tmp_path / "c")).count() > 3
-    rows = sorted(got.withColumn("crc", codes.ids_crc32("ids")).collect(), key=lambda r: r.start)
+    rows = sorted(got.collect(), key=lambda r: r.start)
+    assert codes.read_codes(spark, str(tmp_path / "c")).columns == ["id", "start", "ids"]
     start, want = 0, collections.Counter((r.doc_id, r.text or "") for r in docs.collect())
     texts = collections.defaultdict(list)
     for (i, t), n in want.items():
         texts[i] += [tuple(whole.encode(t, add_special_tokens=False).ids) + (1,)] * n
     assert [r.id for r in rows] == sorted((i for i, _ in want.elements()), key=lambda i: (i is not None, i))
     for r in rows:
-        assert r.start == start and r.crc == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        assert r.start == start and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         texts[r.id].remove(tuple(r.ids))
         start += len(r.ids)
     codes.write_codes(empty, WORDS, str(tmp_path / "e"))
