@@ -50,7 +50,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with their characters. A text whose decoded bytes are not the text itself stops the job."""
     tune(prepare(spark))
-    coded = round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), columns=("ids", "starts", "ends", "exact"))
     wrong = F.raise_error(F.concat(F.lit("tokens do not decode to the text of document "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     return coded.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends",
