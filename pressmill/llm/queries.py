@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressmill.llm.audit import audit
 from pressmill.llm.blocks import tune
 from pressmill.llm.bpe import round_trip
 from pressmill.llm.codes import token_codes
@@ -117,3 +118,31 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"),
         F.array_max("places.word").alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), "score")
+
+
+@query("op11_filter_audit", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+         (CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN w.doc_id > first_id THEN 'E' ELSE '' END) AS f
+  FROM w LEFT JOIN l USING (doc_id)),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS o FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+r AS (SELECT part, good, bad, f, o,
+             coalesce(list_min([strpos(o, c) FOR c IN ['A', 'B', 'C', 'D', 'E'] IF contains(f, c)]), 6) AS hit FROM m, o),
+s AS (SELECT r.*, k AS step, substr(o, k, 1) AS c FROM r, generate_series(1, 5) AS g(k)),
+t AS (SELECT part, o AS filter_order, step, c, sum((hit > step)::INT) AS kept, sum((hit = step)::INT) AS removed,
+             sum((contains(f, c) AND hit < step)::INT) AS redundant, sum((f = c)::INT) AS unique_fails,
+             sum((hit = step)::INT * good) AS good_lost, sum((hit = step)::INT * bad) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley
+FROM t
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("bad_lost", "toxic_lost")
