@@ -18,7 +18,9 @@ from pressmill.llm.licences import scan
 from pressmill.llm.lm import fit as fit_model, score
 from pressmill.llm.near import near_groups
 from pressmill.llm.passages import remove_repeats
+from pressmill.llm.periods import collapse_runs
 from pressmill.llm.quality import classify, fit as fit_quality
+from pressmill.functions.text import let
 from pressmill.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +148,30 @@ FROM t
 """)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("bad_lost", "toxic_lost")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``docs``; where the crc32 h of the id is a multiple of 10, the words from number a = g % n on repeat the first p of them, with
+    g = h / 10 and p = 1 + (n - a) / (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        return F.when(n > 0, let(F.pmod(g, n), lambda a: let(F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)), lambda p: F.array_join(F.transform(
+            F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(w, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int"))), " ")))).otherwise("")
+
+    w = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    return docs.withColumn("text", F.when(F.col("text").isNotNull() & (h % 10 == 0), let(w, repeated)).otherwise(F.col("text")))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(planted(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, F.concat(r.period.cast("string"), F.lit("\n")))), "")
+    told = found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return told.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+                       F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
