@@ -20,6 +20,7 @@ from pressmill.llm.near import near_groups
 from pressmill.llm.passages import remove_repeats
 from pressmill.llm.periods import collapse_runs
 from pressmill.llm.quality import classify, fit as fit_quality
+from pressmill.llm.sanitise import KINDS, sanitise
 from pressmill.functions.text import let
 from pressmill.session import prepare
 
@@ -175,3 +176,15 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
     return told.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
                        F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_disclosure_sanitising")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise(table(spark, sf_dir, "documents"))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1), s["start"], s["end"])), ",")
+
+    ranks = F.transform("base", lambda s: s["rank"])
+    counts = [F.size(F.filter(ranks, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:-1])]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
