@@ -47,7 +47,7 @@ def rest(i: int, n: int) -> int:
 
 def test_names():
     assert [n for n in entry.queries() if re.match(r"op\d+_", n)] and "pipeline" in entry.queries()
-    assert {re.match(r"op(\d+)_", n)[1] for n in entry.queries() if re.match(r"op\d+_", n)} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in entry.queries() if re.match(r"op\d+_", n)} == {str(n) for n in range(1, 14)}
     assert len(corpus_pipeline.STAGES) == 5
 
 
