@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,13 +14,18 @@ from pyspark.sql import DataFrame, functions as F
 from pressmill.llm.blocks import Block, blocks, bounds, hashes, mix, sums, words
 from pressmill.session import settle
 
-#: The filter has parts of 2**SEGMENT_BITS bits, SEGMENTS of them (32 MB) or twice as many until all memberships fit. An n-gram's bits lie in
-#: one part. A filter of SEGMENTS parts is broadcast; a larger one stays a table, whose parts the texts' n-grams meet in a shuffle.
-SEGMENTS, SEGMENT_BITS = 4096, 16
+#: The filter has segments of 2**SEGMENT_BITS bits, SEGMENTS of them or twice as many until all memberships fit: the data alone decide. An
+#: n-gram's bits lie in one segment. GROUPED neighbouring segments are built and asked together.
+SEGMENTS, SEGMENT_BITS, GROUPED = 256, 16, 64
+#: A filter of at most so many bytes is broadcast. A larger one stays a table, which the texts' n-grams meet in a shuffle, with the same answers.
+BROADCAST = 128 << 20
+KEPT = 48  # bits of an n-gram's hash that the filter keeps; two n-grams that share them are far rarer than a wrong membership
 PROBES = 5  # bits of one membership
 LEVELS = 48  # largest quantised count
 #: Words whose exact counts are broadcast; the counts of all others are met through a shuffled join.
 HEAD = 1 << 17
+#: Bytes of text whose pairs are counted together, and pairs of a group that wait before they are summed.
+COUNTED, SUMMED = 4 << 20, 1 << 20
 #: One in SIZING pairs of words, by hash, is counted beforehand to choose the filter's size.
 SIZING = 64
 PRIOR = 5.0  # weight of the one-word model against the counts of a pair's first word
@@ -46,24 +53,14 @@ def pairs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Quantiser:
-    """Counts from ``floor`` on, in powers of two: level 1 from ``floor``, level 2 from 2 * floor, ... Smaller counts are level 0."""
+    """Counts in powers of two: level 1 from 1 on, level 2 from 2, level 3 from 4, ... Level 0: never seen."""
 
-    def __init__(self, floor: int):
-        self.floor = max(1, int(floor))
-        low = self.floor * 2.0 ** np.arange(LEVELS)
-        self.value = np.concatenate([[0.0], (3 * low - 1) / 2])  # the middle of a level
+    value = np.concatenate([[0.0], (3 * 2.0 ** np.arange(LEVELS) - 1) / 2])  # the middle of a level
 
-    def level(self, count: np.ndarray) -> np.ndarray:
-        ratio = np.maximum(np.asarray(count, np.int64) // self.floor, 0)
-        return np.where(ratio > 0, np.minimum(np.frexp(ratio.astype(np.float64))[1], LEVELS), 0)
-
-
-def floor_for(levels: list[tuple[int, int]], room: float) -> int:
-    """Smallest power of two for which the memberships fit ``room``. ``levels``: (bits of the count, number of n-grams)."""
-    for k in range(LEVELS):
-        if sum(n * max(0, bits - k) for bits, n in levels) <= room:
-            return 1 << k
-    return 1 << LEVELS
+    @staticmethod
+    def level(count: np.ndarray) -> np.ndarray:
+        count = np.maximum(np.asarray(count, np.int64), 0)
+        return np.where(count > 0, np.minimum(np.frexp(count.astype(np.float64))[1], LEVELS), 0)
 
 
 def segments_for(memberships: float) -> int:
@@ -78,6 +75,34 @@ def segment_of(gram: np.ndarray, segments: int) -> np.ndarray:
     return (gram >> np.uint64(64 - (segments.bit_length() - 1))).astype(np.int64)
 
 
+def sliced(gram: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the groups of segments that sorted n-grams lie in, and where each begins (with the end)."""
+    group = segment_of(gram, segments) // GROUPED
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)])
+    return group[first], np.append(first, len(group))
+
+
+def packed(gram: np.ndarray, count: np.ndarray | None = None) -> bytes:
+    """Sorted n-grams as differences, byte by byte: the even ones as they are, the high ones and the counts compressed."""
+    step = np.diff(gram >> np.uint64(64 - KEPT), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    times = b"" if count is None else count.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return struct.pack("<q", len(gram)) + step[:, :4].T.tobytes() + zlib.compress(step[:, 4:].T.tobytes() + times, 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams and their counts (none: an empty array)."""
+    (n,) = struct.unpack_from("<q", data)
+    rest = np.frombuffer(zlib.decompress(data[8 + 4 * n :]), np.uint8)
+    step = np.concatenate([np.frombuffer(data, np.uint8, 4 * n, 8).reshape(4, n), rest[: 4 * n].reshape(4, n)])
+    count = np.ascontiguousarray(rest[4 * n :].reshape(8, n).T).view("<i8").reshape(-1) if len(rest) > 4 * n else np.zeros(0, np.int64)
+    return np.cumsum(np.ascontiguousarray(step.T).view("<u8").reshape(-1), dtype=np.uint64) << np.uint64(64 - KEPT), count
+
+
+def known_by(gram: np.ndarray) -> np.ndarray:
+    """What the filter knows an n-gram by: the first KEPT bits of its hash."""
+    return gram & np.uint64((1 << 64) - (1 << (64 - KEPT)))
+
+
 def places(gram: np.ndarray, level: int, probe: int) -> np.ndarray:
     """Bit of a membership inside its segment."""
     return (mix(gram + np.uint64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
@@ -89,10 +114,11 @@ class Filter:
     def __init__(self, bits: np.ndarray):
         self.bits, self.segments = bits.reshape(-1), len(bits)
 
-    def level(self, gram: np.ndarray) -> np.ndarray:
-        """Probes level after level until one is absent. Never below the stored level."""
+    def level(self, gram: np.ndarray, segments: int = 0) -> np.ndarray:
+        """Probes level after level until one is absent. Never below the stored level. ``segments``: of the whole filter, where this is one group."""
+        gram = known_by(gram)
         out, live = np.zeros(len(gram), np.int64), np.arange(len(gram))
-        base = segment_of(gram, self.segments) << SEGMENT_BITS if self.segments > 1 else np.zeros(len(gram), np.int64)
+        base = segment_of(gram, segments or self.segments) % self.segments << SEGMENT_BITS
         for level in range(1, LEVELS + 1):
             for probe in range(PROBES):
                 bit = base[live] + places(gram[live], level, probe)
@@ -104,12 +130,12 @@ class Filter:
 
 
 class Model:
-    """``filter``: None where it is a table of ``segments`` parts."""
+    """``filter``: None where it is a table (``parts``) of ``segments`` segments."""
 
-    def __init__(self, words_: int, distinct: int, texts: int, one: Quantiser, two: Quantiser, filter_: Filter | None, head: np.ndarray, head_counts: np.ndarray,
+    def __init__(self, words_: int, distinct: int, texts: int, filter_: Filter | None, head: np.ndarray, head_counts: np.ndarray,
                  segments: int = 0, parts: DataFrame | None = None):
         self.words, self.distinct, self.texts = words_, distinct, texts
-        self.one, self.two, self.filter, self.head, self.head_counts = one, two, filter_, head, head_counts
+        self.filter, self.head, self.head_counts = filter_, head, head_counts
         self.segments, self.parts = segments, parts
         self.total = words_ + FLOOR * (distinct + 1)
 
@@ -126,25 +152,30 @@ class Model:
         return out
 
     def probed(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Every n-gram, once, whose level ``score`` asks for."""
+        """Every n-gram, once and sorted, whose level ``score`` asks for."""
         distinct = np.unique(h)
-        return np.union1d(distinct[self.count(distinct) < 0], pairs(h, at))
+        return np.union1d(known_by(distinct[self.count(distinct) < 0]), known_by(pairs(h, at)))
 
     def score(self, h: np.ndarray, at: np.ndarray, level: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """log10 probability of every text: of each token after the one before it, with the one-word model as a prior."""
         distinct, back = np.unique(h, return_inverse=True)
         exact = self.count(distinct)
-        seen = np.where(exact >= 0, exact, self.one.value[level(distinct)])
+        seen = np.where(exact >= 0, exact, Quantiser.value[level(distinct)])
         alone = ((seen + FLOOR) / self.total)[back]
         before = np.empty(len(h))
         before[1:] = seen[back][:-1]
         before[at[:-1]] = self.texts
         gram = pairs(h, at)
         distinct, back = np.unique(gram, return_inverse=True)
-        both = np.minimum(self.two.value[level(distinct)][back], before)
+        both = np.minimum(Quantiser.value[level(distinct)][back], before)
         return sums(np.log10((both + PRIOR * alone) / (before + PRIOR)), at)
 
 
+def _whole(texts: pa.Array) -> Block:
+    """All texts as one block."""
+    return next(blocks(texts, 1 << 62))
+
+
 def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(values, return_counts=True)
 
@@ -152,17 +183,17 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model of all whole texts of ``training`` (null: empty), and the exact counts ``h, c`` of all its words.
 
-    Words and pairs are counted in the tasks batch by batch and summed after a shuffle by their hash; pairs go to the task of
-    their filter segment, which sets the segment's bits. Only a filter of SEGMENTS parts, the sums of the sizing sample by level
-    and the ``head`` most frequent words reach the driver. The filter has room for all words and pairs, whatever their counts; one of
-    more parts is written as a table and never gathered.
+    Words and pairs are counted in the tasks batch by batch. Words are summed after a shuffle by their hash; the pairs of a batch go out as one packed
+    row for each group of segments, whose task sums them and sets the bits. Only a filter of at most BROADCAST bytes, the sums of the sizing
+    sample by level and the ``head`` most frequent words reach the driver. The filter has room for all words and pairs, whatever their
+    counts; a larger one is written as a table and never gathered.
     """
     spark = training.sparkSession
     texts = training.select(F.col(text_col).alias("text"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0), 4 << 20):
+            for block in blocks(batch.column(0), COUNTED):
                 h, at = tokens(block)
                 gram = pairs(h, at)
                 gram = gram[mix(gram) % np.uint64(SIZING) == 0]
@@ -177,98 +208,128 @@ def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[
     length = F.floor(F.log2(F.col("c").cast("double") + 0.5)).cast("int") + 1
     sizes = {(r.kind, r.bits): r.n for r in counted.groupBy("kind", length.alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()}
     segments = segments_for(sum(k * bits * (SIZING if kind else 1) for (kind, bits), k in sizes.items()))
-    one, two = Quantiser(1), Quantiser(1)
     top = vocabulary.orderBy(F.desc("c"), "h").limit(head).toArrow()
     keys, counts = np.asarray(top["h"]).view(np.uint64), np.asarray(top["c"])
     order = np.argsort(keys)
 
+    def rows_of(gram: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        group, at = sliced(gram, segments)
+        data = [packed(gram[a:b], count[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(data, pa.binary())], ["part", "grams"])
+
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0), 4 << 20):
-                gram, k = _counted(pairs(*tokens(block)))
-                yield pa.RecordBatch.from_arrays([pa.array(segment_of(gram, segments).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(k.astype(np.int32))], ["segment", "h", "c"])
+            for block in blocks(batch.column(0), COUNTED):
+                yield rows_of(*_counted(known_by(pairs(*tokens(block)))))
 
-    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, held = np.full(segments, -1, np.int64), np.zeros((0, 1 << SEGMENT_BITS), bool)
+    def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
 
-        def flush() -> None:
-            nonlocal held
+        def flush() -> pa.RecordBatch:
             rows = pa.Table.from_batches(waiting)
             waiting.clear()
-            segment, gram, count, kind = (rows[k].to_numpy() for k in range(4))
-            gram = gram.view(np.uint64)
-            new = np.unique(segment[slot[segment] < 0])
-            slot[new] = len(held) + np.arange(len(new))
-            held = np.concatenate([held, np.zeros((len(new), 1 << SEGMENT_BITS), bool)])
-            level = np.where(kind == 0, one.level(count), two.level(count))
-            flat, base = held.reshape(-1), slot[segment] << SEGMENT_BITS
-            for q in range(1, int(level.max(initial=0)) + 1):
-                some = np.flatnonzero(level >= q)
-                for probe in range(PROBES):
-                    flat[base[some] + places(gram[some], q, probe)] = True
-
-        size = 0
+            gram = known_by(rows["h"].to_numpy().view(np.uint64))
+            order = np.argsort(gram, kind="stable")
+            return rows_of(gram[order], rows["c"].to_numpy()[order])
+
         for batch in batches:
             waiting.append(batch)
-            size += batch.num_rows
-            if size >= 1 << 18:
-                flush()
-                size = 0
+            if sum(b.num_rows for b in waiting) >= 1 << 19:
+                yield flush()
         if waiting:
-            flush()
-        for s in np.flatnonzero(slot >= 0).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(held[slot[s]], bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
-
-    single = vocabulary.select(F.shiftrightunsigned("h", 64 - (segments.bit_length() - 1)).cast("int").alias("segment"), "h", "c", F.lit(0).alias("kind"))
-    double = texts.mapInArrow(count_pairs, "segment int, h bigint, c int").select("segment", "h", F.col("c").cast("bigint").alias("c"), F.lit(1).alias("kind"))
-    grams = single.unionByName(double).repartition("segment").groupBy("segment", "h", "kind").agg(F.sum("c").alias("c"))
-    parts = grams.select("segment", "h", "c", "kind").mapInArrow(set_bits, "segment int, bits binary")
-    told = int(n), int(v), int(ends.c) if ends else 0, one, two
-    if segments > SEGMENTS:
+            yield flush()
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come group by group, the words of the vocabulary and the pairs apart; counts are summed from time to time."""
+        now, bits = -1, None
+        held: dict[int, list] = {0: [], 1: []}
+
+        def summed(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            gram, count = (np.concatenate(x) for x in zip(*held[kind], strict=True))
+            order = np.argsort(gram, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(gram[order]) > 0])[: len(gram)])
+            held[kind] = [(gram[order][first], np.add.reduceat(count[order], first))] if len(gram) else []
+            return held[kind][0] if held[kind] else (gram, count)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal bits
+            if now < 0:
+                return
+            low = now * GROUPED
+            bits = np.zeros((min(GROUPED, segments - low), 1 << SEGMENT_BITS), bool)
+            flat = bits.reshape(-1)
+            for kind in held:
+                if held[kind]:
+                    gram, count = summed(kind)
+                    level, base = Quantiser.level(count), (segment_of(gram, segments) - low) << SEGMENT_BITS
+                    for q in range(1, int(level.max(initial=0)) + 1):
+                        some = np.flatnonzero(level >= q)
+                        for probe in range(PROBES):
+                            flat[base[some] + places(gram[some], q, probe)] = True
+                held[kind] = []
+            data = [np.packbits(row, bitorder="little").tobytes() for row in bits]
+            yield pa.RecordBatch.from_arrays([pa.array(low + np.arange(len(data), dtype=np.int32)), pa.array(data, pa.binary())], ["segment", "bits"])
+
+        for batch in batches:
+            for part, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part != now:
+                    yield from done()
+                    now = part
+                gram, count = unpacked(data.as_py())
+                held[kind].append((gram, count))
+                if sum(len(g) for g, _ in held[kind][1:]) > max(SUMMED, len(held[kind][0][0])):
+                    summed(kind)
+        yield from done()
+
+    single = vocabulary.select("h", "c").mapInArrow(pack_words, "part int, grams binary").select("part", F.lit(0).alias("kind"), "grams")
+    double = texts.mapInArrow(count_pairs, "part int, grams binary").select("part", F.lit(1).alias("kind"), "grams")
+    grouped = single.unionByName(double).repartition("part").sortWithinPartitions("part")
+    parts = grouped.select("part", "kind", "grams").mapInArrow(set_bits, "segment int, bits binary")
+    told = int(n), int(v), int(ends.c) if ends else 0
+    if segments << SEGMENT_BITS > 8 * BROADCAST:
         return Model(*told, None, keys[order], counts[order], segments, settle(parts)), vocabulary
-    parts = parts.toArrow()
-    bits = np.zeros((SEGMENTS, (1 << SEGMENT_BITS) // 8), np.uint8)
-    for s, data in zip(parts["segment"].to_pylist(), parts["bits"], strict=True):
-        bits[s] |= np.frombuffer(data.as_buffer(), np.uint8)
+    bits = np.zeros((segments, (1 << SEGMENT_BITS) // 8), np.uint8)
+    for batch in parts.toArrow().to_batches():
+        for s, data in zip(batch["segment"].to_pylist(), batch["bits"], strict=True):
+            bits[s] = np.frombuffer(data.as_buffer(), np.uint8)
     return Model(*told, Filter(bits), keys[order], counts[order], segments), vocabulary
 
 
-def _levels(blocks_: DataFrame, parts: DataFrame, known) -> DataFrame:
-    """``block, gram, level`` of the n-grams of stored blocks that the filter's table holds. An n-gram goes to its part once for each block,
-    so a frequent one is no more rows than there are blocks; a task holds one part at a time."""
+def _levels(packed_: DataFrame, parts: DataFrame, known) -> DataFrame:
+    """``block, part, levels`` of the n-grams of stored blocks: a block asks each group of segments once, with all its n-grams there, and gets
+    one level for each of them in the same order. A task holds one group at a time."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
         for batch in batches:
-            for block, h, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                gram = model.probed(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(at.as_buffer(), np.int64))
-                for k in range(0, len(gram), 1 << 16):
-                    some = gram[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(segment_of(some, model.segments).astype(np.int32)), pa.array(np.full(len(some), block)), pa.array(some.view(np.int64))], ["segment", "block", "gram"])
+            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                gram = model.probed(*tokens(_whole(texts.values)))
+                group, at = sliced(gram, model.segments)
+                data = [packed(gram[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(np.full(len(group), block)), pa.array(data, pa.binary())], ["part", "block", "grams"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, part = -1, None
+        now, held, bits = -1, np.zeros((GROUPED, (1 << SEGMENT_BITS) // 8), np.uint8), None
         for batch in batches:
-            segment, block, gram = (batch.column(k).fill_null(0).to_numpy() for k in range(3))
-            isbits, level = np.asarray(batch.column(3).is_valid()), np.zeros(len(segment), np.int64)
-            first = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | isbits[1:]])[: len(segment)])
-            for a, b in zip(first, np.append(first[1:], len(segment)), strict=True):
-                if isbits[a]:
-                    bits = np.frombuffer(batch.column(3)[int(a)].as_buffer(), np.uint8).reshape(1, -1)
-                    if have == segment[a]:
-                        bits = bits | part.bits
-                    have, part, a = segment[a], Filter(bits.copy()), a + 1
-                if have == segment[min(a, b - 1)]:
-                    level[a:b] = part.level(gram[a:b].view(np.uint64))
-            some = np.flatnonzero(level)
-            yield pa.RecordBatch.from_arrays([pa.array(block[some]), pa.array(gram[some]), pa.array(level[some].astype(np.int32))], ["block", "gram", "level"])
-
-    asked = blocks_.select("block", "h", "at").mapInArrow(ask, "segment int, block bigint, gram bigint").select("*", F.lit(None).cast("binary").alias("bits"))
-    held = parts.select("segment", F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("gram"), "bits")
-    met = asked.unionByName(held).repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull())
-    return met.mapInArrow(probe, "block bigint, gram bigint, level int")
+            out: tuple[list, list, list] = ([], [], [])
+            for part, segment, block, data in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if part != now:
+                    now, bits = part, None
+                    held[:] = 0
+                if segment is not None:
+                    held[segment % GROUPED], bits = np.frombuffer(data.as_buffer(), np.uint8), None
+                    continue
+                bits = bits or Filter(held)
+                gram, _ = unpacked(data.as_py())
+                level = bits.level(gram, known.value.segments).astype(np.uint8)
+                for column, value in zip(out, (block, part, zlib.compress(level.tobytes(), 1)), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["block", "part", "levels"])
+
+    asked = packed_.select("block", "texts").mapInArrow(ask, "part int, block bigint, grams binary").select("part", F.lit(None).cast("int").alias("segment"), "block", "grams")
+    held = parts.select(F.floor(F.col("segment") / GROUPED).cast("int").alias("part"), "segment", F.lit(None).cast("bigint").alias("block"), F.col("bits").alias("grams"))
+    met = asked.unionByName(held).repartition("part").sortWithinPartitions("part", F.col("segment").isNull())
+    return met.mapInArrow(probe, "block bigint, part int, levels binary")
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,32 +376,25 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
 
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for block in blocks(batch.column(1)):
-                h, at = tokens(block)
-                ids = pa.ListArray.from_arrays(pa.array([0, len(block)], pa.int32()), batch.column(0)[block.rows])
-                yield pa.RecordBatch.from_arrays([pa.array([row]), ids, pa.array([h.tobytes()], pa.binary()), pa.array([at.astype(np.int64).tobytes()], pa.binary())], ["block", "ids", "h", "at"])
+            for block in blocks(batch.column(1), COUNTED):
+                ids, texts = (pa.ListArray.from_arrays(pa.array([0, len(block)], pa.int32()), batch.column(k)[block.rows]) for k in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array([row]), ids, texts], ["block", "ids", "texts"])
                 row += len(block)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        gram, found = left["gram"].to_numpy().view(np.uint64), left["level"].to_numpy()
-        order = np.argsort(gram)
-        gram, found = gram[order], found[order]
-
-        def level(wanted: np.ndarray) -> np.ndarray:
-            if not len(gram):
-                return np.zeros(len(wanted), np.int64)
-            k = np.minimum(np.searchsorted(gram, wanted), len(gram) - 1)
-            return np.where(gram[k] == wanted, found[k], 0)
-
-        h, at = (np.frombuffer(right[k][0].as_buffer(), kind) for k, kind in (("h", np.uint64), ("at", np.int64)))
-        return pa.Table.from_batches([judge(right["ids"].combine_chunks().flatten(), right["block"][0].as_py(), h, at, level)])
+        order = np.argsort(left["part"].to_numpy())
+        found = left["levels"].combine_chunks()
+        found = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(zlib.decompress(found[k].as_py()), np.uint8) for k in order.tolist())]).astype(np.int64)
+        h, at = tokens(_whole(right["texts"].combine_chunks().flatten()))
+        gram = known.value.probed(h, at)
+        return pa.Table.from_batches([judge(right["ids"].combine_chunks().flatten(), right["block"][0].as_py(), h, at, lambda wanted: found[np.minimum(np.searchsorted(gram, known_by(wanted)), len(found) - 1)])])
 
     schema = f"id {kind}, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<int>"
     if model.parts is None:
         told = settle(rows.mapInArrow(run, schema))
     else:
-        packed = settle(rows.mapInArrow(pack, f"block bigint, ids array<{kind}>, h binary, at binary"))
-        told = settle(_levels(packed, model.parts, known).groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(meet, schema))
+        held = settle(rows.mapInArrow(pack, f"block bigint, ids array<{kind}>, texts array<string>"))
+        told = settle(_levels(held, model.parts, known).groupBy("block").cogroup(held.groupBy("block")).applyInArrow(meet, schema))
     rare = told.select("row", F.explode(F.arrays_zip("rare", "times")).alias("_r")).select("row", F.col("_r.rare").alias("h"), F.col("_r.times").alias("times"))
     met = rare.join(vocabulary, "h", "left")
     c = F.coalesce("c", F.lit(0))

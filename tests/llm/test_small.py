@@ -519,7 +519,7 @@ def test_scores(docs, empty):
     pair = collections.Counter((a, b) for r in training for a, b in zip(["", *tokens(r.text)], tokens(r.text), strict=False))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(-1))
     model, vocabulary = lm.fit(docs.where(held != 0), head=40)
-    assert (model.words, model.distinct, model.texts, model.one.floor, model.two.floor) == (n, v, len(training), 1, 1)
+    assert (model.words, model.distinct, model.texts) == (n, v, len(training))
     assert sum(r.c for r in vocabulary.collect()) == n
     got = collections.defaultdict(list)
     for r in lm.score(clash(docs), model, vocabulary).collect():
@@ -535,7 +535,7 @@ def test_scores(docs, empty):
         h, at = lm.tokens(block)
         gram, t = lm.pairs(h, at), tokens(r.text)
         level = model.filter.level(gram)
-        true = model.two.level(np.array([pair[a, b] for a, b in zip(["", *t], t, strict=False)]))
+        true = lm.Quantiser.level(np.array([pair[a, b] for a, b in zip(["", *t], t, strict=False)]))
         assert (level >= true).all() and (level == true).mean() > 0.9
     assert lm.score(empty, model, vocabulary).count() == 0
     blank, none = lm.fit(empty)
@@ -543,25 +543,34 @@ def test_scores(docs, empty):
 
 
 def test_scores_with_a_filter_in_parts(docs, empty, monkeypatch):
-    """A filter too large to broadcast scores as a broadcast one does: no pair is too rare to be stored."""
-    key = lambda rows: sorted((str(r.id), r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in rows)
+    """A filter that is not broadcast gives the same scores."""
+    key = lambda rows: sorted((str(r.id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows)
     model, vocabulary = lm.fit(docs, head=40)
-    want = key(lm.score(clash(docs), model, vocabulary).collect())
-    monkeypatch.setattr(lm, "SEGMENTS", 1)
+    want, segments = key(lm.score(clash(docs), model, vocabulary).collect()), model.segments
+    assert model.filter is not None
+    monkeypatch.setattr(lm, "BROADCAST", 1)
+    monkeypatch.setattr(lm, "COUNTED", 20_000)
+    monkeypatch.setattr(lm, "SUMMED", 100)
     model, vocabulary = lm.fit(docs, head=40)
-    assert (model.one.floor, model.two.floor) == (1, 1) and model.filter is None and model.segments > 1
-    got = key(lm.score(clash(docs), model, vocabulary).collect())
-    assert [r[:4] for r in got] == [r[:4] for r in want]
-    assert np.mean([abs(a[4] - b[4]) <= 0.03 * abs(b[4]) for a, b in zip(got, want, strict=True)]) > 0.95
+    assert model.filter is None and model.segments == segments
+    assert key(lm.score(clash(docs), model, vocabulary).collect()) == want
     assert lm.score(empty, model, vocabulary).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_packed_grams(n):
+    r = np.random.default_rng(n)
+    gram, count = np.unique(lm.known_by(r.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False))), r.integers(1, 1 << 40, n)
+    got = lm.unpacked(lm.packed(gram, count))
+    assert got[0].tolist() == gram.tolist() and got[1].tolist() == count.tolist()
+    assert lm.unpacked(lm.packed(gram))[0].tolist() == gram.tolist()
+    group, at = lm.sliced(gram, 256)
+    assert sum(np.diff(at)) == n and all((lm.segment_of(gram[a:b], 256) // lm.GROUPED == g).all() for g, a, b in zip(group, at[:-1], at[1:], strict=True))
+
+
 def test_quantiser():
-    for floor in (1, 4):
-        q = lm.Quantiser(floor)
-        assert q.level(np.array([0, floor - 1, floor, 2 * floor - 1, 2 * floor, 8 * floor])).tolist() == [0, 0 if floor > 1 else 0, 1, 1, 2, 4]
-        assert q.value[0] == 0 and all(a < b for a, b in zip(q.value[:-1], q.value[1:], strict=True))
-    assert lm.floor_for([(1, 100), (2, 10), (5, 1)], 125) == 1 and lm.floor_for([(1, 100), (2, 10), (5, 1)], 20) == 2
+    assert lm.Quantiser.level(np.array([0, 1, 2, 3, 4, 8])).tolist() == [0, 1, 2, 2, 3, 4]
+    assert lm.Quantiser.value[0] == 0 and all(a < b for a, b in zip(lm.Quantiser.value[:-1], lm.Quantiser.value[1:], strict=True))
 
 
 # --- passages
