@@ -16,8 +16,8 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from pressmill.llm import audit, periods, sanitise
-from pressmill.llm.blocks import blocks, mix, tune
+from pressmill.llm import audit, passages, periods, sanitise
+from pressmill.llm.blocks import blocks, hashes, mix, tune
 from tests.oracle import compare, engine
 
 SF = "/root/testdata/sf0.001"
@@ -296,3 +296,97 @@ def test_chunked_sums(spark):
     rows = [[], [5], list(range(255)), list(range(256)), list(range(257)), list(range(1000))]
     got = spark.createDataFrame([(r,) for r in rows], "a array<bigint>").select(sanitise.sums_before(F.col("a")).alias("s"), "a").collect()
     assert all(r.s == [sum(r.a[:k]) for k in range(len(r.a))] for r in got) and len(got) == len(rows)
+
+
+# --- sentence spans
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_sentences(text):
+    """(start, end, words) of every sentence, end exclusive at the next one's start."""
+    found = [(m.start(), m.end(), m[0].translate(LOW)) for m in re.finditer(sanitise._WORD, text)]
+    stop = []
+    for k, (_, b, _) in enumerate(found):
+        after = text[b : found[k + 1][0]] if k + 1 < len(found) else None
+        stop.append(after is None or "\n" in after or (after[:1] in {".", "!", "?"} and after[1:2] != after[:1]))
+    h = []
+    for _, _, w in found:
+        block = next(blocks(pa.array([w])))
+        h.append(int(hashes(block, np.array([0]), np.array([len(block.buf)]))[0]))
+    cut = list(stop)
+    for k in range(len(found) - passages.CUT + 1):
+        if not any(stop[k : k + passages.CUT - 1]):
+            cut[min(range(k, k + passages.CUT), key=lambda j: h[j])] = True
+    out, first = [], 0
+    for k in range(len(found)):
+        if cut[k]:
+            out.append((found[first][0], found[k + 1][0] if k + 1 < len(found) else len(text), [w for _, _, w in found[first : k + 1]]))
+            first = k + 1
+    return out
+
+
+def plain_removed(rows):
+    """id, text and number of words that go, for each document that loses text: every run of sentences by its words, the first one stays."""
+    parts = [plain_sentences(t) for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda d: (rows[d][0] is not None, rows[d][0] or 0))
+    runs = []
+    for d in order:
+        n = len(parts[d])
+        ends = {}
+        for a in range(n):
+            k, size = a, 0
+            while k < n and (size < passages.WORDS or k - a < passages.SENTENCES):
+                size, k = size + len(parts[d][k][2]), k + 1
+            if size >= passages.WORDS and k - a >= passages.SENTENCES:
+                ends[a] = k
+        taken = {(a, k) for a, k in ends.items()}
+        for k in range(1, n + 1):
+            before = [a for a, e in ends.items() if e < k]
+            if k not in ends.values() and before:
+                taken.add((max(before), k))
+        runs += [(d, a, k) for a, k in sorted(taken)]
+    first, gone = {}, collections.defaultdict(set)
+    for d, a, k in runs:
+        name = tuple(w for x in parts[d][a:k] for w in x[2])
+        if first.setdefault(name, (d, a, k)) != (d, a, k):
+            gone[d] |= {*range(a, k)}
+    out = []
+    for d, some in gone.items():
+        text, n = "", 0
+        for k, (a, b, w) in enumerate(parts[d]):
+            lo = hi = k
+            while lo - 1 in some:
+                lo -= 1
+            while hi + 1 in some:
+                hi += 1
+            off = k in some and sum(len(x[2]) for x in parts[d][lo : hi + 1]) >= passages.LEAST
+            n += off and len(w)
+            text += "" if off else rows[d][1][a:b]
+        if n:
+            out.append((rows[d][0], rows[d][1][: parts[d][0][0]] + text, n))
+    return sorted(out, key=str)
+
+
+def test_sentence_spans_of_one_id(spark):
+    """One id with several texts, null ids and repeated rows, against the plain version."""
+    r = random.Random(2)
+    prose = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(500)) + r.choice(["", "", "", ".", ",", "!!", " -"]) for _ in range(n))
+    passage, short = prose(90), prose(30)
+    rows = [(5, prose(60) + ". " + passage + ". " + prose(20)), (5, "short text here."), (1, passage), (5, passage), (None, prose(3) + "\n" + passage), (None, passage.upper() + " end"),
+            (None, None), (7, ""), (8, prose(40) + "\n" + short), (9, short + "\n" + prose(40)), (9, passage + " " + passage), (9, re.sub(" ", " | ", passage))]
+    docs = spark.createDataFrame([*rows, rows[0], rows[2]], "doc_id bigint, text string").repartition(3)
+    got = sorted(((x.id, x.text, x.n_words) for x in passages.remove_repeats(clash(docs)).collect()), key=str)
+    plain = plain_removed([(i, t or "") for i, t in rows])
+    assert len(plain) >= 5
+    # Among texts of one id the one with the smallest hash is first: which of them keeps a passage is not told by the plain version.
+    assert {(x[0], x[2] > 60) for x in got} >= {(9, True)} and all(x[0] != 8 for x in got) and (1, passage, 90) not in got
+    assert sum("short text here" in x[1] for x in got) == 0
+    ids = [(k, t or "") for k, (_, t) in enumerate(rows)]
+    apart = spark.createDataFrame(ids, "doc_id bigint, text string").repartition(3)
+    assert sorted(((x.id, x.text, x.n_words) for x in passages.remove_repeats(apart).collect()), key=str) == plain_removed(ids)
+
+
+def test_sentence_spans_query(spark, given):
+    got = sorted(((r.doc_id, r.text, r.n_words) for r in entry.queries()["op9_sentence_spans"](spark, SF).collect()), key=str)
+    assert got == plain_removed([(i, r["text"] or "") for i, r in sorted(given.items())]) and got
