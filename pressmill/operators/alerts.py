@@ -11,7 +11,7 @@ from pressmill.functions.text import blank, normalize_title, strip, tokens
 from pressmill.functions.times import as_time, before, effective_from, span
 from pressmill.operators.fence import fence
 from pressmill.operators.ordered import top_k
-from pressmill.operators.search import article_tokens, cover_rank, match_clause
+from pressmill.operators.search import article_tokens, places, total_sql
 from pressmill.operators.tables import substring_pairs
 from pressmill.operators.writes import pref_defaults
 from pressmill.session import settle
@@ -97,8 +97,8 @@ def query_hits(requests: DataFrame, articles: DataFrame) -> DataFrame:
     words = articles.select("id", F.explode(F.array_append(F.array_distinct(article_tokens()), F.lit(NONE))).alias("token"))
     pairs = words.join(asked, "token", "left_semi").join(clauses, "token").select("id", "query", "pos", "neg")
     held = fence(articles, tk=article_tokens()).select("id", "tk")
-    rows = pairs.join(held, "id").where(match_clause(F.col("tk"), F.col("pos"), F.col("neg")))
-    ranked = cover_rank(rows, "tk", "pos", "r")
+    rows = fence(pairs.join(held, "id"), e=places(F.col("tk"), F.flatten(F.concat("pos", "neg"))))
+    ranked = fence(rows.withColumn("c", F.array(F.struct("pos", "neg"))), r=F.expr(total_sql("e", "c"))).where(F.col("r").isNotNull())
     return ranked.groupBy("query", "id").agg(F.round(F.sum("r"), 6).alias("rank"))
 
 

@@ -5,9 +5,12 @@ Texts are compared as "simple" tokens: lower-cased letter and digit runs, no ste
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressmill.functions import rules, summaries as sm
@@ -24,26 +27,30 @@ def article_tokens() -> Column:
     return tokens(F.concat_ws(" ", *[blank(F.col(c)) for c in SEARCH_COLS]))
 
 
-def build_token_index(articles: DataFrame) -> DataFrame:
-    """(token, id, tf, positions). Made inside each article's row: its (token, position) pairs are sorted and cut
-    where the token changes, so nothing is shuffled and a frequent token is never one group."""
-    placed = F.array_sort(F.transform(article_tokens(), lambda x, i: F.struct(x.alias("w"), i.alias("at"))))
-    rows = fence(articles, s=placed).select("id", "s")
-    change = F.transform("s", lambda e, j: F.when((j == 0) | (F.get(F.col("s"), j - 1)["w"] != e["w"]), j))
-    rows = fence(rows, cut=F.filter(change, lambda j: j.isNotNull())).where(F.size("cut") > 0)
-    runs = F.transform("cut", lambda j, k: F.struct(
-        j.alias("a"), (F.coalesce(F.get(F.col("cut"), k + 1), F.size("s")) - j).alias("n")))
-    parts = F.transform(runs, lambda r: F.struct(
-        F.get(F.col("s"), r["a"])["w"].alias("token"), r["n"].cast("long").alias("tf"),
-        F.transform(F.slice(F.col("s"), r["a"] + 1, r["n"]), lambda e: e["at"]).alias("positions")))
-    return rows.select("id", F.explode(parts).alias("p")).select("p.token", "id", "p.tf", "p.positions")
-
-
-def write_token_index(index: DataFrame, path: str, buckets: int = 256, slices: int = 8) -> None:
-    """Stored by token bucket; each bucket is written by several tasks, so frequent tokens spread."""
-    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets))
-    spread = F.pmod(F.xxhash64("id"), F.lit(slices))
-    index.withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
+def build_token_index(articles: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(token, id, tf, positions) and the columns to ``keep``. Made inside each article's row, so nothing is shuffled and a frequent token
+    is never one group: batches of token lists are numbered, sorted and cut where the article or the token changes."""
+    rows = articles.select("id", *keep, article_tokens().alias("tokens"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ["id", *keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            word, row = np.asarray(coded.indices).astype(np.int64), np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+            order = np.argsort(row * (len(coded.dictionary) + 1) + word, kind="stable")
+            word, row = word[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])])[: len(word)])
+            cut = np.append(first, len(word))
+            owner = pa.array(row[first])
+            places = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(place[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(word[first])), *(batch.column(k).take(owner) for k in range(batch.num_columns - 1)), pa.array(np.diff(cut)), places],
+                ["token", "id", *keep, "tf", "positions"])
+
+    return rows.mapInArrow(run, f"token string, {kinds}, tf bigint, positions array<int>")
 
 
 # ---- query grammar and rank ------------------------------------------------------------------
@@ -61,76 +68,87 @@ def web_query(q: str) -> list[dict]:
     return [c for c in out if c["pos"] or c["neg"]]
 
 
-def _starts(tk: Column, phrase: Column) -> Column:
-    """Positions at which the words stand one after the other."""
-    n = F.size(phrase)
-    hit = lambda x, i: F.when((x == F.get(phrase, 0)) & ((n == 1) | (F.slice(tk, i + 1, n) == phrase)), i)
-    return F.filter(F.transform(tk, hit), lambda p: p.isNotNull())
+#: Rank and match as SQL text, so that DataFrames and SQL functions share them. ``{e}``: the places of all asked words of a text in order,
+#: ``array<struct<i: int, x: string>>``; ``{p}``: one phrase, an array of words.
+_ENDS = ("k + 1 >= size({p}) AND transform(slice({e}, k - size({p}) + 2, size({p})), y -> y.x) = {p} "
+         "AND get({e}, k).i - get({e}, k - size({p}) + 1).i = size({p}) - 1")
+_OCCURS = "exists(if(size({e}) = 0, array(), sequence(0, size({e}) - 1)), k -> " + _ENDS + ")"
 
 
-def match_clause(tk: Column, pos: Column, neg: Column) -> Column:
-    return F.forall(pos, lambda p: F.size(_starts(tk, p)) > 0) & ~F.exists(neg, lambda p: F.size(_starts(tk, p)) > 0)
+def occurs_sql(entries: str, phrase: str) -> str:
+    """Whether the words of a phrase stand one after the other."""
+    return _OCCURS.format(e=entries, p=phrase)
 
 
-def cover_rank(df: DataFrame, tk: str, pos: str, out: str) -> DataFrame:
-    """Cover density: each shortest stretch that holds all items adds 0.1 / (1 + words in it that are no items)."""
-    starts = F.transform(pos, lambda p: F.struct(_starts(F.col(tk), p).alias("at"), F.size(p).alias("n")))
-    held = fence(df, _x=starts)
-    ends = F.array_sort(F.array_distinct(F.flatten(F.transform("_x", lambda x: F.transform(x["at"], lambda a: a + x["n"] - 1)))))
-    held = fence(held, _e=ends)
+def density_sql(entries: str, pos: str, weight: float = WEIGHT) -> str:
+    """``struct<ok, rank>``: whether all items of ``pos`` occur, and the cover density: each shortest stretch that holds all of them adds
+    ``weight`` / (1 + words in it that nobody asked for). One sweep over the places keeps for each item the latest start of an occurrence that has
+    ended; the smallest of them begins a stretch. Every asked word counts as asked for, those of a phrase also outside it."""
+    ends = _ENDS.format(e="en", p="p")
+    step = f"""transform(array(zip_with({pos}, s.last, (p, l) -> if({ends}, k - size(p) + 1, l))), n ->
+        transform(array(if(exists(n, l -> l IS NULL), -1, array_min(n))), b -> named_struct('last', n, 'prev', greatest(s.prev, b), 'rank', s.rank
+        + if(b > s.prev, {weight}D / (1 + (get(en, k).i - get(en, b).i) - (k - b)), 0D)))[0])[0]"""
+    own = f"filter({entries}, y -> array_contains(flatten({pos}), y.x))"
+    start = f"named_struct('last', transform({pos}, p -> CAST(NULL AS INT)), 'prev', -1, 'rank', 0D)"
+    sweep = f"aggregate(if(size(en) = 0, array(), sequence(0, size(en) - 1)), {start}, (s, k) -> {step}, s -> named_struct('ok', NOT exists(s.last, l -> l IS NULL), 'rank', s.rank))"
+    return f"transform(array({own}), en -> {sweep})[0]"
 
-    def stretch(e: Column) -> Column:
-        lasts = F.transform("_x", lambda x: F.array_max(F.filter(x["at"], lambda a: a + x["n"] - 1 <= e)))
-        return F.struct(e.alias("e"), F.when(~F.exists(lasts, lambda v: v.isNull()), F.array_min(lasts)).alias("b"))
 
-    held = fence(held, _c=F.transform("_e", stretch))
-    prev = lambda i: F.get(F.col("_c"), i - 1)["b"]
-    shortest = F.filter("_c", lambda c, i: c["b"].isNotNull() & ((i == 0) | prev(i).isNull() | (c["b"] > prev(i))))
+def clauses_sql(q: str) -> str:
+    """``array<struct<pos, neg>>`` of a search text: the form of ``web_query`` as an expression."""
+    items = f"regexp_extract_all({q}, '-?(?:\"[^\"]*\"|[^\\\\s\"]+)', 0)"
+    none = "CAST(array() AS array<array<string>>)"
+    words = "filter(split(lower(x), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')"
+    more = f"transform(array({words}), w -> if(size(w) = 0, c, named_struct('pos', if(startswith(x, '-'), c.pos, array_append(c.pos, w)), 'neg', if(startswith(x, '-'), array_append(c.neg, w), c.neg))))[0]"
+    last = f"transform(array(element_at(a, -1)), c -> {more})[0]"
+    blank_ = f"named_struct('pos', {none}, 'neg', {none})"
+    read = f"aggregate({items}, array({blank_}), (a, x) -> if(lower(x) = 'or', array_append(a, {blank_}), array_append(slice(a, 1, size(a) - 1), {last})))"
+    return f"filter({read}, c -> size(c.pos) + size(c.neg) > 0)"
 
-    def weight(c: Column) -> Column:
-        inside = F.aggregate("_x", F.lit(0), lambda acc, x: acc + x["n"] * F.size(
-            F.filter(x["at"], lambda a: (a >= c["b"]) & (a + x["n"] - 1 <= c["e"]))))
-        return F.lit(WEIGHT) / (1 + F.greatest(F.lit(0), c["e"] - c["b"] + 1 - inside))
 
-    total = F.aggregate(F.transform(shortest, weight), F.lit(0.0), lambda a, x: a + x)
-    one = F.lit(WEIGHT) * F.size(F.get(F.col("_x"), 0)["at"])
-    rank = F.when(F.size("_x") == 1, one).when(F.size("_x") == 0, 0.0).otherwise(total)
-    return held.withColumn(out, rank).drop("_x", "_e", "_c")
+def total_sql(entries: str, clauses: str) -> str:
+    """Rank of a text over all clauses it satisfies; NULL where it satisfies none."""
+    hit = f"transform(array({density_sql(entries, 'c.pos')}), d -> if(d.ok AND NOT exists(c.neg, q -> {occurs_sql(entries, 'q')}), d.rank, NULL))[0]"
+    return f"transform(array(filter(transform({clauses}, c -> {hit}), r -> r IS NOT NULL)), r -> if(size(r) = 0, NULL, round(aggregate(r, 0D, (a, x) -> a + x), 6)))[0]"
 
 
-def _phrases(items: list[list[str]]) -> Column:
-    if not items:
-        return F.array().cast("array<array<string>>")
-    return F.array(*[F.array(*map(F.lit, p)) for p in items])
+def places(tk: Column, asked: Column) -> Column:
+    """The places of the asked words in an array of words, as ``entries``."""
+    found = F.transform(tk, lambda x, i: F.when(F.array_contains(asked, x), F.struct(i.alias("i"), x.alias("x"))))
+    return F.filter(found, lambda e: e.isNotNull())
 
 
-def search_articles(articles: DataFrame, q: str | None, as_of, days: int = 7, category: str | None = None, source: str | None = None, n: int = 50) -> DataFrame:
-    """Best ``n``: filters first, then the token test, rank, and one top-n merge."""
+def clause_column(clauses: list[dict]) -> Column:
+    """``array<struct<pos, neg>>`` of parsed clauses, as a literal."""
+    return F.from_json(F.lit(json.dumps(clauses)), "array<struct<pos: array<array<string>>, neg: array<array<string>>>>")
+
+
+def asked_words(clauses: list[dict]) -> list[str]:
+    return sorted({w for c in clauses for side in ("pos", "neg") for phrase in c[side] for w in phrase})
+
+
+def within(articles: DataFrame, as_of, days: int = 7, category: str | None = None, source: str | None = None) -> DataFrame:
+    """The rows a search looks at."""
     rows = articles.where(effective_from(before(as_of, days=max(days, 1))))
     if category is not None:
         rows = rows.where(F.col("category") == category)
     if source is not None:
         rows = rows.where(ilike_any([F.col("source"), F.col("source_name")], F.lit(source)))
-    rows = rows.withColumn("ts", effective())
+    return rows
+
+
+def search_articles(articles: DataFrame, q: str | None, as_of, days: int = 7, category: str | None = None, source: str | None = None, n: int = 50) -> DataFrame:
+    """Best ``n``: filters first, then the token test, rank, and one top-n merge."""
+    rows = within(articles, as_of, days, category, source).withColumn("ts", effective())
     if not (q or "").strip():
         return rows.withColumn("rank", F.lit(None).cast("double")).orderBy(F.desc("ts"), F.desc("id")).limit(n)
     clauses = web_query(q)
     if not clauses:
         return rows.withColumn("rank", F.lit(0.0)).limit(0)
-    held = fence(rows, _tk=article_tokens())
-    hit = F.lit(False)
-    for c in clauses:
-        hit = hit | match_clause(F.col("_tk"), _phrases(c["pos"]), _phrases(c["neg"]))
-    held = held.where(hit)
-    for i, c in enumerate(clauses):
-        held = held.withColumn("_ok", match_clause(F.col("_tk"), _phrases(c["pos"]), _phrases(c["neg"]))).withColumn("_p", _phrases(c["pos"]))
-        held = cover_rank(held, "_tk", "_p", "_r").withColumn(f"_r{i}", F.when(F.col("_ok"), F.col("_r")).otherwise(0.0)).drop("_ok", "_p", "_r")
-    parts = [F.col(f"_r{i}") for i in range(len(clauses))]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return held.withColumn("rank", F.round(total, 6)).drop("_tk", *[f"_r{i}" for i in range(len(clauses))]).orderBy(
-        F.desc("rank"), F.desc("ts"), F.desc("id")).limit(n)
+    asked = F.array(*map(F.lit, asked_words(clauses)))
+    held = fence(rows, _e=places(article_tokens(), asked)).withColumn("_c", clause_column(clauses))
+    held = fence(held, rank=F.expr(total_sql("_e", "_c"))).where(F.col("rank").isNotNull()).drop("_e", "_c")
+    return held.orderBy(F.desc("rank"), F.desc("ts"), F.desc("id")).limit(n)
 
 
 def with_category(items: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressmill.functions import rules
-from pressmill.operators import search as se
+from pressmill.operators import index as ix, search as se
 from pressmill.plans import sqlbits as q
 from pressmill.plans.pages import _GOOD, SENT
 from pressmill.plans.registry import query
@@ -29,11 +29,15 @@ def _(t):
     return se.build_token_index(t.articles).select("token", "id", "tf", F.get("positions", 0).cast("long").alias("first_pos"), F.element_at("positions", -1).cast("long").alias("last_pos"))
 
 
+def _index(t) -> str:
+    path = scratch_path(t.spark, "index")
+    ix.write_search_index(t.articles, path, buckets=16, slices=2)
+    return path
+
+
 @query("job_search_index", f"""WITH {TOK}, e AS (SELECT id, unnest(tk) AS token FROM tok) SELECT token, count(DISTINCT id) AS articles, count(*) AS uses FROM e GROUP BY 1""")
 def _(t):
-    path = scratch_path(t.spark, "tokens")
-    se.write_token_index(se.build_token_index(t.articles), path, buckets=16, slices=2)
-    stored = t.spark.read.parquet(path)
+    stored = t.spark.read.parquet(f"{_index(t)}/postings")
     return stored.groupBy("token").agg(F.count(F.lit(1)).alias("articles"), F.sum("tf").alias("uses"))
 
 
@@ -49,6 +53,22 @@ def _(t):
     return se.search_articles(t.articles, 'central bank or pipeline or "tender and procurement" -vote', AS_OF, days=30, source="%src1%", n=100).select("id", "ts", "rank")
 
 
+_TERMS = f"""WITH {TOK} SELECT id, ts, round(CASE WHEN list_contains(tk, 'central') AND list_contains(tk, 'bank') THEN 0.1 ELSE 0 END + 0.1 * {count('pipeline')}, 6)::DOUBLE AS rank
+    FROM tok WHERE ts >= {T} - INTERVAL 30 DAY AND category = 'Energy' AND ((list_contains(tk, 'central') AND list_contains(tk, 'bank')) OR list_contains(tk, 'pipeline')) ORDER BY rank DESC, ts DESC, id DESC LIMIT 40"""
+
+
+@query("search_articles_stored", f"""WITH {TOK}, hit AS (SELECT id, ts, round(0.1 * {count('the')}, 6)::DOUBLE AS rank FROM tok WHERE ts >= {T} - INTERVAL 20 DAY AND list_contains(tk, 'the') AND NOT list_contains(tk, 'vote'))
+    SELECT id, ts, rank, a.title, a.url FROM hit JOIN fx_articles a USING (id) ORDER BY rank DESC, ts DESC, id DESC LIMIT 50""")
+def _(t):
+    return ix.search_articles_stored(t.articles, _index(t), "The -vote", AS_OF, days=20, n=50, buckets=16).select("id", "ts", "rank", "title", "url")
+
+
+@query("search_articles_sql", _TERMS)
+def _(t):
+    ix.register_search(t.articles, _index(t), AS_OF, buckets=16)
+    return t.spark.sql("SELECT id, ts, rank FROM search_articles('central bank OR pipeline', 30, 'Energy', NULL, 40)")
+
+
 @query("search_like", f"""SELECT id, coalesce(published_at, created_at) AS ts, coalesce(category, {CAT}) AS category_guess FROM fx_articles WHERE coalesce(published_at, created_at) >= {T} - INTERVAL 14 DAY
     AND (title ILIKE '%port%' OR summary ILIKE '%port%' OR content ILIKE '%port%') AND (contains(lower(source), 'src') OR contains(lower(source_name), 'src')) AND lower(coalesce(category, {CAT})) = 'trade' ORDER BY ts DESC, id DESC LIMIT 50""")
 def _(t):
