@@ -63,7 +63,9 @@ def words(col: Column) -> Column:
 
 
 def lead_words(col: Column, n: int) -> Column:
-    return F.array_join(F.slice(words(col), 1, n), " ")
+    """The first ``n`` words. The text is split no further: after them (and an empty piece before the first) comes the rest in one piece."""
+    first = F.slice(F.split(col, WS, n + 2), 1, n + 1)
+    return F.array_join(F.slice(F.filter(first, lambda w: w != ""), 1, n), " ")
 
 
 def clamp(col: Column, n: int = 280) -> Column:

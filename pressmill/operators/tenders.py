@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressmill.functions import html as h, rules
-from pressmill.functions.text import arabic_digits_to_ascii, blank, contains_any, lead_words, strip
+from pressmill.functions.text import arabic_digits_to_ascii, blank, contains_any, lead_words, let, strip
 from pressmill.functions.times import before
 from pressmill.operators.fence import fence
 from pressmill.operators.ordered import first_per_key, top_k
@@ -29,14 +29,29 @@ def parse_date(text: Column) -> Column:
     return F.coalesce(*[F.when(F.rlike(tidy, F.lit(p)), F.try_to_date(tidy, fmt)) for p, fmt in DATE_FORMS])
 
 
+def before_dates(text: Column, reach: int = 100) -> Column:
+    """The dates of a text, each with up to ``reach`` characters before it: all that a phrase with a date can match, so that the costly
+    pattern does not walk through whole texts. Digits may be Arabic."""
+    digit = "[0-9٠-٩]"
+    date = rf"{digit}{{1,2}}[/\-]{digit}{{1,2}}[/\-]{digit}{{2,4}}"
+
+    def near(found: Column) -> Column:
+        gaps = F.slice(F.split(text, date, -1), F.lit(1), F.size(found))
+        return F.array_join(F.zip_with(gaps, found, lambda g, d: F.concat(F.right(g, F.lit(reach)), d)), " ")
+
+    return let(F.regexp_extract_all(text, F.lit(date), 0), lambda found: F.when(F.size(found) > 0, near(found)).otherwise(""))
+
+
 def extract_deadline(text: Column) -> Column:
     """Date after the first phrase list that is followed by one; an impossible date gives NULL."""
-    ascii_text = arabic_digits_to_ascii(text)
-    found = None
-    for phrases in DEADLINE_PHRASES:
-        raw = F.regexp_extract(ascii_text, rf"(?iu)(?:{phrases})[^\d]{{0,20}}(\d{{1,2}}[/\-]\d{{1,2}}[/\-]\d{{2,4}})", 1)
-        found = F.when(raw != "", raw) if found is None else found.when(raw != "", raw)
-    return parse_date(found)
+    def after_phrase(near: Column) -> Column:
+        found = None
+        for phrases in DEADLINE_PHRASES:
+            raw = F.regexp_extract(near, rf"(?iu)(?:{phrases})[^\d]{{0,20}}(\d{{1,2}}[/\-]\d{{1,2}}[/\-]\d{{2,4}})", 1)
+            found = F.when(raw != "", raw) if found is None else found.when(raw != "", raw)
+        return F.when(near != "", found)
+
+    return let(let(arabic_digits_to_ascii(before_dates(text)), after_phrase), parse_date)
 
 
 def is_tender_text(text: Column) -> Column:

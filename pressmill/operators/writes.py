@@ -143,10 +143,11 @@ def enqueue_fetch(queue: DataFrame, incoming: DataFrame, as_of) -> DataFrame:
         "status": F.lit("queued"), "attempts": F.lit(0), "next_run_at": as_time(as_of), "created_at": as_time(as_of)})
 
 
-def apply_assignments(requests: DataFrame, assignments: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """Requests with their partner, and one lead row per assignment."""
-    new = assignments.select(F.col("request_id").alias("id"), F.col("partner_id").alias("n_partner"))
-    last = new.groupBy("id").agg(F.max("n_partner").alias("n_partner"))
+def apply_assignments(requests: DataFrame, assignments: DataFrame, as_of, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Requests with their partner, and one lead row per assignment. Of several assignments of a request the last by ``seq`` stays (the
+    larger partner of equal ones)."""
+    new = assignments.where("partner_id IS NOT NULL").select(F.col("request_id").alias("id"), F.col("partner_id").alias("n_partner"), F.col(seq).alias("n_seq"))
+    last = new.groupBy("id").agg(F.max_by("n_partner", F.struct("n_seq", "n_partner")).alias("n_partner"))
     rows = requests.join(last, "id", "left")
     hit = F.col("n_partner").isNotNull()
     updated = rows.withColumns({

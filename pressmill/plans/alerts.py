@@ -135,8 +135,8 @@ def _(t):
 
 _READY = f"status IN ('PENDING','FAILED') AND next_attempt_at <= {T} AND attempt_count < 5"
 DUE = f"""rdy AS (SELECT d.*, a.target FROM fx_deliveries d JOIN fx_alerts a ON a.id = d.alert_id AND a.channel = d.channel AND a.active WHERE {_READY}),
-    c1 AS (SELECT *, row_number() OVER (PARTITION BY alert_id, channel ORDER BY next_attempt_at, id) AS alert_no FROM rdy), c2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY alert_id, alert_no, id) AS user_no FROM c1 WHERE alert_no <= 4),
-    capped AS (SELECT * FROM c2 WHERE user_no <= 4)"""
+    c1 AS (SELECT *, row_number() OVER (PARTITION BY alert_id, channel ORDER BY next_attempt_at, id) AS alert_no FROM rdy), c2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY alert_id, alert_no, id) AS user_no FROM c1 WHERE alert_no <= 25),
+    capped AS (SELECT * FROM c2 WHERE user_no <= 25)"""
 
 
 @query("join_due_alert", f"WITH {DUE} SELECT id, alert_id, target FROM rdy")
@@ -149,7 +149,7 @@ def _(t):
 def _(t):
     ready = t.deliveries.where(F.col("status").isin("PENDING", "FAILED") & (F.col("next_attempt_at") <= al.as_time(AS_OF)) & (F.col("attempt_count") < 5))
     active = t.alerts.where("active").select(F.col("id").alias("alert_id"), "channel")
-    return al.cap_due(ready.join(active, ["alert_id", "channel"]), 4).select("id", "alert_no", "user_no")
+    return al.cap_due(ready.join(active, ["alert_id", "channel"]), 25).select("id", "alert_no", "user_no")
 
 
 _WANT = """pw AS (SELECT user_id, list_concat(coalesce(CASE WHEN len(immediate_priorities) > 0 THEN immediate_priorities END, ['P0']), coalesce(CASE WHEN len(digest_priorities) > 0 THEN digest_priorities END, ['P1','P2'])) AS w FROM (SELECT DISTINCT user_id FROM fx_deliveries) LEFT JOIN fx_prefs USING (user_id)),
@@ -158,23 +158,23 @@ _WANT = """pw AS (SELECT user_id, list_concat(coalesce(CASE WHEN len(immediate_p
 
 @query("alert_due", f"WITH {DUE}, {_WANT} SELECT id, alert_id, priority, target FROM due")
 def _(t):
-    return al.alert_due(t.deliveries, t.alerts, t.prefs, AS_OF, n=4).select("id", "alert_id", "priority", "target")
+    return al.alert_due(t.deliveries, t.alerts, t.prefs, AS_OF).select("id", "alert_id", "priority", "target")
 
 
 @query("join_article_by_id", f"WITH {DUE}, {_WANT} SELECT due.id, a.title, s.name AS source_name, a.id IS NULL AS missing FROM due LEFT JOIN fx_articles a ON a.id = due.article_id LEFT JOIN fx_sources s ON s.id = a.source_id")
 def _(t):
-    due = al.alert_due(t.deliveries, t.alerts, t.prefs, AS_OF, n=4)
+    due = al.alert_due(t.deliveries, t.alerts, t.prefs, AS_OF)
     return al.due_articles(due, t.articles, t.sources).select("id", "title", "source_name", "missing")
 
 
-@query("alert_digest", f"""WITH {DUE}, {_WANT}, it AS (SELECT due.*, a.title, a.url, a.summary, s.name AS sn, (due.alert_no - 1) // 2 AS batch_no FROM due JOIN fx_articles a ON a.id = due.article_id LEFT JOIN fx_sources s ON s.id = a.source_id),
+@query("alert_digest", f"""WITH {DUE}, {_WANT}, it AS (SELECT due.*, a.title, a.url, a.summary, s.name AS sn, (due.alert_no - 1) // 50 AS batch_no FROM due JOIN fx_articles a ON a.id = due.article_id LEFT JOIN fx_sources s ON s.id = a.source_id),
     g AS (SELECT alert_id, batch_no, dedupe_key, min(alert_no) AS pos0, count(*) AS n, arg_min(title, alert_no) AS title, arg_min(url, alert_no) AS url, arg_min(summary, alert_no) AS summary,
         (SELECT string_agg(sn, ', ' ORDER BY m) FROM (SELECT i2.sn, min(i2.alert_no) AS m FROM it i2 WHERE i2.alert_id = it.alert_id AND i2.batch_no = it.batch_no AND i2.dedupe_key = it.dedupe_key AND sn IS NOT NULL GROUP BY 1)) AS srcs FROM it GROUP BY 1, 2, 3),
     b AS (SELECT *, {q.strip("title || CASE WHEN srcs IS NOT NULL THEN chr(10) || 'Sources: ' || srcs ELSE '' END || CASE WHEN " + q.strip('summary') + " <> '' THEN chr(10) || chr(10) || left(" + q.strip('summary') + ", 600) ELSE '' END || chr(10) || chr(10) || url")} AS block FROM g)
     SELECT alert_id, batch_no, count(*) AS groups, CAST(sum(n) AS BIGINT) AS items, CAST(sum(n) AS BIGINT) || ' new items from your searches' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos0) AS message FROM b GROUP BY 1, 2""")
 def _(t):
-    due = al.alert_due(t.deliveries, t.alerts, t.prefs, AS_OF, n=4)
-    return al.alert_digest(al.due_articles(due, t.articles, t.sources), batch=2)
+    due = al.alert_due(t.deliveries, t.alerts, t.prefs, AS_OF)
+    return al.alert_digest(al.due_articles(due, t.articles, t.sources), batch=50)
 
 
 # ---- outcomes and health ---------------------------------------------------------------------

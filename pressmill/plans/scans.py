@@ -150,12 +150,14 @@ def _(t):
         CASE WHEN s_suppkey % 4 = 0 THEN 'https://s' || s_suppkey || '.example.org/rss' ELSE 'https://s' || s_suppkey || '.example.org' || CASE WHEN s_suppkey % 10 = 0 THEN '/f.xml' ELSE '' END END AS url,
         s_suppkey % 3 <> 0 AS is_active FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 <> 0),
       s AS (SELECT 's' || s_suppkey AS key, 'Page ' || s_suppkey AS name, 1 AS r, 'social_inbox' AS source_type, 'https://social.example.org/' || s_suppkey AS url, s_suppkey % 2 = 0 AS is_active FROM supplier WHERE s_acctbal > 5000)
-    SELECT key, coalesce(p.name, s.name) AS name, coalesce(p.source_type, s.source_type) AS source_type, coalesce(p.url, s.url) AS url, coalesce(p.is_active, s.is_active) AS is_active FROM p FULL JOIN s USING (key)""")
+    , o AS (SELECT 's' || s_suppkey + 20 AS key, 'Old ' || s_suppkey AS name, 'old' AS source_type, 'https://old.example.org' AS url, false AS is_active FROM supplier)
+    SELECT key, coalesce(p.name, s.name, o.name) AS name, coalesce(p.source_type, s.source_type, o.source_type) AS source_type, coalesce(p.url, s.url, o.url) AS url, coalesce(p.is_active, s.is_active, o.is_active) AS is_active
+    FROM p FULL JOIN s USING (key) FULL JOIN o USING (key)""")
 def _(t):
     social = cf.seed_rows(_page_config(t).limit(0), _social_config(t)).withColumn("rank", F.lit(0))
     page = cf.seed_rows(_page_config(t), _social_config(t).limit(0)).withColumn("rank", F.lit(1))
-    empty = t.sources.limit(0).select("key", "name", "source_type", "url", "is_active")
-    return w.upsert(empty, social.unionByName(page), ["key"], "rank")
+    stored = t.raw("supplier").selectExpr("concat('s', s_suppkey + 20) AS key", "concat('Old ', s_suppkey) AS name", "'old' AS source_type", "'https://old.example.org' AS url", "false AS is_active")
+    return w.upsert(stored, social.unionByName(page), ["key"], "rank")
 
 
 @query("expand_seeds", """SELECT 's' || s_suppkey AS source_key, p AS page, 'https://s' || s_suppkey || '.example.org/' || sec || '?page=' || p AS url FROM supplier, range(3) r(p), (VALUES ('news'), ('inbrief')) v(sec)""")

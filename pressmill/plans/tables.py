@@ -244,11 +244,15 @@ def _(t):
     return out
 
 
-@query("upsert_entities", f"""WITH {ENT} SELECT normalized_name, arg_max(name, (article_id, rank, pos)) AS name, arg_max(type, (article_id, rank, pos)) AS type, count(DISTINCT article_id) AS links FROM m GROUP BY 1""")
-def _(t):
-    schema_only = t.articles.limit(0)
-    ents = schema_only.select(F.col("title").alias("normalized_name"), F.col("title").alias("name"), F.col("title").alias("type"))
-    links = schema_only.select(F.col("id").alias("article_id"), F.col("title").alias("normalized_name"))
+@query("upsert_entities", f"""WITH {ENT}, old AS (SELECT DISTINCT normalized_name FROM m WHERE article_id % 2 = 0 UNION ALL SELECT 'kept ' || r FROM range(5) x(r)), lk AS (SELECT DISTINCT article_id, normalized_name FROM m WHERE article_id % 4 = 0),
+    new AS (SELECT normalized_name, arg_max(name, (article_id, rank, pos)) AS name, arg_max(type, (article_id, rank, pos)) AS type FROM m GROUP BY 1),
+    p AS (SELECT normalized_name, count(*) AS links FROM (SELECT DISTINCT article_id, normalized_name FROM m ANTI JOIN lk USING (article_id, normalized_name)) GROUP BY 1)
+    SELECT normalized_name, coalesce(new.name, 'old name') AS name, coalesce(new.type, 'OLD') AS type, links FROM old FULL JOIN new USING (normalized_name) LEFT JOIN p USING (normalized_name)""")
+def _(t):
+    mentions = w.entity_mentions(_items(t), "id")
+    half = mentions.where("article_id % 2 = 0").select("normalized_name").distinct().unionByName(t.spark.range(5).select(F.concat(F.lit("kept "), "id").alias("normalized_name")))
+    ents = half.select("normalized_name", F.lit("old name").alias("name"), F.lit("OLD").alias("type"))
+    links = mentions.where("article_id % 4 = 0").select("article_id", "normalized_name").distinct()
     merged, pairs = w.upsert_entities(_items(t), ents, links)
     return merged.join(pairs.groupBy("normalized_name").agg(F.count(F.lit(1)).alias("links")), "normalized_name", "left")
 
@@ -261,13 +265,16 @@ def _(t):
     return w.enqueue_fetch(queue, new, AS_OF).drop("created_at")
 
 
-@query("apply_assignments", f"""WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 'p0' END AS p FROM orders), a AS (SELECT o_orderkey AS id, 'p' || max(o_custkey) AS np FROM orders WHERE o_totalprice > 300000 GROUP BY 1)
+@query("apply_assignments", f"""WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 'p0' END AS p FROM orders),
+    s AS (SELECT l_orderkey AS id, 'p' || l_suppkey AS np, l_shipdate AS d, l_linenumber AS k FROM lineitem WHERE l_quantity > 40), a AS (SELECT id, arg_max(np, (d, k, np)) AS np FROM s GROUP BY 1)
     SELECT r.id, coalesce(np, p) AS assigned_partner_id, CASE WHEN np IS NOT NULL THEN 'assigned' ELSE status END AS status, CASE WHEN np IS NOT NULL THEN {T} END AS updated_at FROM r LEFT JOIN a USING (id)""")
 def _(t):
     o = t.raw("orders")
     requests = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderstatus") == "F", "p0").alias("assigned_partner_id"),
                         F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    updated, _ = w.apply_assignments(requests, o.where("o_totalprice > 300000").select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("p"), "o_custkey").alias("partner_id")), AS_OF)
+    given = t.raw("lineitem").where("l_quantity > 40").select(
+        F.col("l_orderkey").alias("request_id"), F.concat(F.lit("p"), "l_suppkey").alias("partner_id"), F.struct("l_shipdate", "l_linenumber").alias("seq"))
+    updated, _ = w.apply_assignments(requests, given, AS_OF)
     return updated.select("id", "assigned_partner_id", "status", "updated_at")
 
 

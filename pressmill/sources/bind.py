@@ -34,13 +34,23 @@ _COUNTERS = [
 ]
 
 
+#: Tables of whole texts, and the session setting that deals them out.
+TEXTS, SPLITS = ("documents", "pages"), "spark.pressmill.splits"
+
+
 class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """``splits``: number of parts into which the tables of texts are dealt after the scan; by default the session's SPLITS, else as they are read.
+    A file of one row group is otherwise one task, however costly its texts. The rows are the same either way."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, splits: int | None = None):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        asked = spark.conf.get(SPLITS, None)
+        self.splits = splits if splits is not None else asked and int(asked)
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return rows.repartition(self.splits) if self.splits and name in TEXTS else rows
 
     @cached_property
     def articles(self) -> DataFrame:
