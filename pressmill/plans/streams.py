@@ -33,21 +33,16 @@ def _run(t: Tables, name: str, start) -> str:
     return f"{root}/out"
 
 
-def _snapshot(t: Tables, root: str, schema: str) -> DataFrame:
-    return jb.latest_snapshot(t.spark, root, schema)
-
-
 def _table(t: Tables, name: str, result: DataFrame, keys: list[str]) -> DataFrame:
     root = _run(t, name, lambda out: jb.table_job(result, out, keys))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema)
-    return _snapshot(t, root, schema)
+    return jb.table_store(root, result, keys).read(t.spark)
 
 
 @query("stream_inbox", f"""SELECT source_id, post_url AS external_id, rtrim(left({q.squash('captured_text')}, 80)) AS title, captured_at AS published_at FROM fx_inbox
     WHERE CAST(substr(source_id, 4) AS INT) < 13 AND CAST(substr(source_id, 4) AS INT) % 3 <> 0""")
 def _(t):
     root = _run(t, "inbox", lambda out: jb.inbox_job(_streams(t).inbox, t.social_sources, out, AS_OF))
-    return _snapshot(t, root, jb.FEED_SNAPSHOT).select("source_id", "external_id", "title", "published_at")
+    return jb.inbox_store(root).read(t.spark).select("source_id", "external_id", "title", "published_at")
 
 
 _NO_LOG = ENQ.replace("FROM fx_deliveries d LEFT JOIN fx_articles a ON a.id = d.article_id)", "FROM fx_deliveries d LEFT JOIN fx_articles a ON a.id = d.article_id WHERE false)").replace("coalesce(c.last_ts - INTERVAL 86400 SECOND, ", "coalesce(NULL, ")
@@ -56,7 +51,7 @@ _NO_LOG = ENQ.replace("FROM fx_deliveries d LEFT JOIN fx_articles a ON a.id = d.
 @query("stream_alerts", f"WITH {_NO_LOG} SELECT alert_id, user_id, article_id, channel, dedupe_key, priority FROM new")
 def _(t):
     root = _run(t, "alerts", lambda out: jb.alert_job(_streams(t).articles, t.alerts, t.searches, t.sources, t.prefs, out, AS_OF))
-    return _snapshot(t, f"{root}/deliveries", jb.DELIVERIES).select("alert_id", "user_id", "article_id", "channel", "dedupe_key", "priority")
+    return jb.delivery_store(root).read(t.spark).select("alert_id", "user_id", "article_id", "channel", "dedupe_key", "priority")
 
 
 @query("stream_dedupe", """WITH RECURSIVE ev AS (SELECT DISTINCT user_id, channel, dedupe_key, created_at AS ts FROM fx_deliveries),
@@ -76,7 +71,7 @@ _FLAG = {k: q.has_any("lower(coalesce(title,'') || ' ' || coalesce(summary,''))"
 @query("stream_activity", f"""WITH x AS (SELECT *, date_trunc('hour', coalesce(published_at, created_at)) AS h FROM fx_articles), w AS (SELECT x.*, h + to_hours(k + 1) AS window_end FROM x, range(24) r(k))
     SELECT window_end, count(*) AS total, {', '.join(f'count(*) FILTER (WHERE {c}) AS {k}' for k, c in _FLAG.items())} FROM w GROUP BY 1""")
 def _(t):
-    return _table(t, "activity", jb.activity_stream(_streams(t).articles), ["window_end"])
+    return jb.activity_windows(_table(t, "activity", jb.activity_stream(_streams(t).articles), ["pane_end"]))
 
 
 @query("stream_daily", f"""SELECT date_trunc('day', started_at)::TIMESTAMP AS day, source_key, CAST(sum(saved) AS BIGINT) AS saved, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(blocked) AS BIGINT) AS blocked, CAST(sum({ATT}) AS BIGINT) AS attempted
@@ -87,7 +82,8 @@ def _(t):
 
 @query("stream_late", "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY 1")
 def _(t):
-    return _table(t, "late", jb.late_counts(_streams(t).raw("events").select("ts"), "ts"), ["start"])
+    root = _run(t, "late", lambda out: jb.late_job(_streams(t).raw("events").select("ts"), "ts", out))
+    return jb.late_store(root).read(t.spark)
 
 
 @query("stream_cooldown", """WITH RECURSIVE ev AS (SELECT DISTINCT job_name || ':' || source_key AS key, started_at AS ts FROM fx_runs WHERE NOT ok),
@@ -103,4 +99,4 @@ def _(t):
 def _(t):
     rows = _streams(t).quotes.select("instrument", "rate_type", "quote_currency", "value", "as_of", F.expr("l_orderkey * 10 + l_linenumber + value / 1000000").alias("seq"))
     root = _run(t, "quotes", lambda out: jb.quotes_job(rows, out, AS_OF))
-    return _snapshot(t, root, jb.QUOTES)
+    return jb.quote_store(root).read(t.spark)

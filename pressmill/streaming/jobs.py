@@ -1,23 +1,20 @@
 """The polling loops as Structured Streaming jobs.
 
-Every job reads with a file or table source, keeps its progress in a checkpoint in the shared folder, and writes
-to a folder. Snapshots go to a new folder per batch, named by the batch number, so a batch that is repeated after
-a failure writes the same folder again.
+Every job reads with a file or table source, keeps its progress in a checkpoint in the shared folder, and writes to a folder or
+to a ``store.Store``, whose deltas are named by the batch number: a batch that is repeated after a failure writes the same rows again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from pressmill.functions import rules
 from pressmill.functions.times import effective
 from pressmill.operators import alerts as al, metrics as m
-from pressmill.operators.writes import advance_cursors, upsert, upsert_feed_items, upsert_quotes
+from pressmill.operators.writes import advance_cursors, keyed_items, upsert_feed_items, upsert_quotes
 from pressmill.sources.feeds import social_items
+from pressmill.streaming.store import Store
 
 
 def read_stream(spark: SparkSession, folder: str, names: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
@@ -45,50 +42,22 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-# ---- snapshots -------------------------------------------------------------------------------
-
-def snapshot_path(root: str, batch_id: int) -> str:
-    return f"{root}/v={batch_id:012d}"
-
-
-def latest_snapshot(spark: SparkSession, root: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest snapshot older than batch ``before``; empty when there is none. Only folder names are listed."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
-    done = [n for n in names if n.startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    if before is not None:
-        done = [n for n in done if int(n[2:]) < before]
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{done[-1]}")
-
-
-def into_snapshots(root: str, schema: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: previous snapshot and batch to the next snapshot."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        old = latest_snapshot(batch.sparkSession, root, schema, before=batch_id)
-        merge(old, batch).write.mode("overwrite").parquet(snapshot_path(root, batch_id))
-
-    return write
-
-
 # ---- jobs ------------------------------------------------------------------------------------
 
 FEED_SNAPSHOT = ("item_key STRING, source_id STRING, source_type STRING, external_id STRING, url STRING, title STRING, summary STRING, content STRING,"
                  "language STRING, published_at TIMESTAMP_NTZ, region STRING, page_url STRING, page_handle STRING, hash STRING")
 
 
-def inbox_job(posts: DataFrame, accounts: DataFrame, root: str, as_of) -> DataStreamWriter:
-    """Social posts into the feed snapshot; of one post the latest text stays."""
+def inbox_store(root: str) -> Store:
+    return Store(root, FEED_SNAPSHOT, ["item_key"])
 
-    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
-        items = social_items(batch, accounts).withColumn("seq", F.col("published_at"))
-        names = [f.split()[0] for f in FEED_SNAPSHOT.split(",")]
-        return upsert_feed_items(old, items, as_of, "seq").select(*names)
 
-    return posts.writeStream.foreachBatch(into_snapshots(root, FEED_SNAPSHOT, merge))
+def inbox_job(posts: DataFrame, accounts: DataFrame, root: str, as_of) -> DataStreamWriter:
+    """Social posts into the store of feed items; of one post the latest text stays."""
+    names = [f.split()[0] for f in FEED_SNAPSHOT.split(",")]
+    return posts.writeStream.foreachBatch(inbox_store(root).writer(
+        lambda old, rows: upsert_feed_items(old, rows, as_of, "seq").select(*names),
+        lambda batch: keyed_items(social_items(batch, accounts).withColumn("seq", F.col("published_at")), as_of)))
 
 
 DELIVERIES = ("alert_id BIGINT, user_id BIGINT, article_id BIGINT, channel STRING, status STRING, attempt_count INT, next_attempt_at TIMESTAMP_NTZ,"
@@ -96,37 +65,47 @@ DELIVERIES = ("alert_id BIGINT, user_id BIGINT, article_id BIGINT, channel STRIN
 CURSORS = "alert_id BIGINT, last_ts TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"
 
 
+def delivery_store(root: str) -> Store:
+    return Store(f"{root}/deliveries", DELIVERIES, ["alert_id", "article_id", "channel"])
+
+
 def alert_job(articles: DataFrame, alerts: DataFrame, searches: DataFrame, sources: DataFrame, prefs: DataFrame, root: str, as_of) -> DataStreamWriter:
-    """Each batch of new articles through the alert cycle. Deliveries are written before the cursors."""
-    deliveries_root, cursors_root = f"{root}/deliveries", f"{root}/cursors"
+    """Each batch of new articles through the alert cycle. Deliveries are written before the cursors; only new deliveries and moved cursors
+    are written."""
+    deliveries, cursors = delivery_store(root), Store(f"{root}/cursors", CURSORS, ["alert_id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        queued = latest_snapshot(spark, deliveries_root, DELIVERIES, before=batch_id)
-        cursors = latest_snapshot(spark, cursors_root, CURSORS, before=batch_id)
-        new, matches = al.run_cycle(alerts, searches, cursors.select("alert_id", "last_ts"), batch, sources, queued, prefs, as_of)
-        names = [f.split()[0] for f in DELIVERIES.split(",")]
-        queued.unionByName(new.select(*names)).write.mode("overwrite").parquet(snapshot_path(deliveries_root, batch_id))
-        advance_cursors(cursors, matches, as_of).write.mode("overwrite").parquet(snapshot_path(cursors_root, batch_id))
+        queued, known = deliveries.create(spark).read(spark, batch_id), cursors.create(spark).read(spark, batch_id)
+        new, matches = al.run_cycle(alerts, searches, known.select("alert_id", "last_ts"), batch, sources, queued, prefs, as_of)
+        deliveries.put(new, batch_id)
+        cursors.merge(matches, batch_id, lambda old, rows: advance_cursors(old, rows, as_of))
 
     return articles.writeStream.foreachBatch(write)
 
 
-def dedupe_stream(events: DataFrame, keys: list[str], ts: str, window_sec: int) -> DataFrame:
+def dedupe_stream(events: DataFrame, keys: list[str], ts: str, window_sec: int, delay: str = "0 seconds") -> DataFrame:
     """First event of a key, and then the first that is at least the window after the last one emitted: ``key`` (JSON of the
-    keys), ``emitted_at``. However the events are cut into batches, as long as a key's events come in order of time."""
-    return cooldown_stream(events.withColumn("_key", F.to_json(F.struct(*keys))), "_key", ts, window_sec)
+    keys), ``emitted_at``. As ``cooldown_stream``."""
+    return cooldown_stream(events.withColumn("_key", F.to_json(F.struct(*keys))), "_key", ts, window_sec, delay)
 
 
-def activity_stream(articles: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str = "1 day") -> DataFrame:
-    """Counts of all, and of each flagged kind of article, over sliding windows."""
+def activity_stream(articles: DataFrame, step: str = "1 hour", delay: str = "1 day") -> DataFrame:
+    """Counts of all, and of each flagged kind of article, in panes of one step. ``activity_windows`` sums panes into sliding windows, so
+    that an article is counted once and not in each window it lies in."""
     flags = rules.keyword_flags(F.col("title"), F.col("summary"))
-    # The flags are tested once a row, before it is counted in its windows.
     rows = articles.select(effective().alias("ts"), *[flag.alias(name) for name, flag in flags.items()])
     rows = event_time(rows, "ts").withWatermark("ts", delay)
-    return rows.groupBy(F.window("ts", length, step)).agg(
+    return rows.groupBy(F.window("ts", step)).agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(name).alias(name) for name in flags],
-    ).select(wall(F.col("window.end")).alias("window_end"), "total", *flags)
+    ).select(wall(F.col("window.end")).alias("pane_end"), "total", *flags)
+
+
+def activity_windows(panes: DataFrame, panes_each: int = 24, step_hours: int = 1) -> DataFrame:
+    """Sliding windows of ``panes_each`` stored panes, by the end of the window."""
+    ends = F.transform(F.sequence(F.lit(0), F.lit(panes_each - 1)), lambda k: F.col("pane_end") + F.make_dt_interval(F.lit(0), k * step_hours))
+    wide = panes.select(F.explode(ends).alias("window_end"), *[c for c in panes.columns if c != "pane_end"])
+    return wide.groupBy("window_end").agg(*[F.sum(c).alias(c) for c in panes.columns if c != "pane_end"])
 
 
 def daily_stream(runs: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -140,56 +119,122 @@ def daily_stream(runs: DataFrame, delay: str = "1 day") -> DataFrame:
     ).select(wall(F.col("window.start")).alias("day"), "source_key", "saved", "failed", "blocked", "attempted")
 
 
-def late_counts(events: DataFrame, ts: str, delay: str = "1 day", step: str = "1 hour") -> DataFrame:
-    """Counts per step; a row counts when it is at most ``delay`` behind the newest one."""
-    return event_time(events, ts).withWatermark(ts, delay).groupBy(F.window(ts, step)).agg(F.count(F.lit(1)).alias("n")).select(wall(F.col("window.start")).alias("start"), "n")
+LATE, MARK = "start TIMESTAMP_NTZ, n BIGINT", "name STRING, newest TIMESTAMP_NTZ"
+
 
+def late_store(root: str, step: str = "hour") -> Store:
+    return Store(f"{root}/counts", LATE, ["start"])
 
-def cooldown_stream(events: DataFrame, key: str, ts: str, cooldown_sec: int) -> DataFrame:
-    """Emit an event when the last emitted one of its key is at least the cooldown old; the key's state is that one time."""
-    wait = cooldown_sec * 1_000_000
 
-    def walk(group, batches, state):
+def late_job(events: DataFrame, ts: str, root: str, delay_sec: int = 86400, step: str = "hour") -> DataStreamWriter:
+    """Counts per step of the rows that are in time, and a side table ``late/batch=N`` of those that are not: more than the delay behind
+    the newest row of all earlier batches. Each row is in exactly one of the two. The newest time is stored with the batch."""
+    counts, marks = late_store(root), Store(f"{root}/mark", MARK, ["name"])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        counts.create(spark), marks.create(spark)
+        mark = marks.read(spark, batch_id).where("name = 'newest'").agg(F.max("newest")).first()[0]
+        rows = batch.withColumn("_t", F.col(ts).cast("timestamp_ntz"))
+        late = F.lit(False) if mark is None else F.coalesce(F.col("_t") < F.lit(mark) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(delay_sec)), F.lit(False))
+        rows.where(late).drop("_t").write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+        new = rows.where(~late).groupBy(F.date_trunc(step, "_t").cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+        counts.merge(new, batch_id, lambda old, add: old.unionByName(add).groupBy("start").agg(F.sum("n").alias("n")))
+        newest = rows.agg(F.max("_t").alias("newest")).where("newest IS NOT NULL").select(F.lit("newest").alias("name"), "newest")
+        marks.merge(newest, batch_id, lambda old, add: old.unionByName(add).groupBy("name").agg(F.max("newest").alias("newest")))
+
+    return events.writeStream.foreachBatch(write)
+
+
+class Cooldown(StatefulProcessor):
+    """Times of a key wait until the watermark has passed them, and are then judged in order. State: the waiting times, and the last one
+    emitted until nothing can depend on it any more."""
+
+    def __init__(self, wait: int):
+        self.wait = wait
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting, self.last = handle.getListState("waiting", "t long"), handle.getValueState("last", "t long")
+
+    def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        last = state.get[0] if state.exists else None
-        # Only the times of one key in one batch.
-        times = sorted({t for b in batches for t in b["t"]})
+        for batch in rows:
+            for t in batch["t"].drop_duplicates().tolist():
+                self.waiting.appendValue((t,))
+                self.handle.registerTimer(t // 1000)
+        yield pd.DataFrame({"key": pd.Series([], dtype=str), "t": pd.Series([], dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        now = timerValues.getCurrentWatermarkInMs()
+        times = sorted({t for (t,) in self.waiting.get()}) if self.waiting.exists() else []
+        ready, rest = [t for t in times if t // 1000 <= now], [t for t in times if t // 1000 > now]
+        last = self.last.get()[0] if self.last.exists() else None
         sent = []
-        for t in times:
-            if last is None or t - last >= wait:
+        for t in ready:
+            if last is None or t - last >= self.wait:
                 last = t
                 sent.append(t)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"key": [group[0]] * len(sent), "t": pd.Series(sent, dtype="int64")})
-
-    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.to_timestamp(ts)).alias("t"))
-    out = rows.groupBy("key").applyInPandasWithState(walk, "key string, t long", "last long", "append", GroupStateTimeout.NoTimeout)
+        if rest:
+            self.waiting.put([(t,) for t in rest])
+        elif times:
+            self.waiting.clear()
+        if sent:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.wait) // 1000 + 1)
+        elif last is not None and (last + self.wait) // 1000 < now:
+            self.last.clear()  # whatever comes now is late enough
+        yield pd.DataFrame({"key": pd.Series([key[0]] * len(sent), dtype=str), "t": pd.Series(sent, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def cooldown_stream(events: DataFrame, key: str, ts: str, cooldown_sec: int, delay: str = "0 seconds") -> DataFrame:
+    """Emit an event when the last emitted one of its key is at least the cooldown old: ``key, emitted_at``.
+
+    An event is judged once the watermark, ``delay`` behind the newest event, has passed it; so events that are at most that late give
+    what they would give in order, and later ones are dropped. A key's state goes when the cooldown is over.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = F.to_timestamp(ts)
+    rows = events.select(F.col(key).cast("string").alias("key"), at.cast("timestamp").alias("at"), F.unix_micros(at).alias("t")).where("t IS NOT NULL AND key IS NOT NULL")
+    out = rows.withWatermark("at", delay).groupBy("key").transformWithStateInPandas(Cooldown(cooldown_sec * 1_000_000), "key string, t long", "Append", "EventTime")
     return out.select("key", F.timestamp_micros("t").cast("timestamp_ntz").alias("emitted_at"))
 
 
 QUOTES = "instrument STRING, rate_type STRING, quote_currency STRING, value DOUBLE, as_of TIMESTAMP_NTZ, fetched_at TIMESTAMP_NTZ"
 
 
+def quote_store(root: str) -> Store:
+    return Store(root, QUOTES, ["instrument", "rate_type", "quote_currency"])
+
+
 def quotes_job(quotes: DataFrame, root: str, as_of, seq: str = "seq") -> DataStreamWriter:
     """Latest quote per key; within a batch the newest ``as_of`` wins, and a batch replaces what was stored."""
 
-    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
-        newest = batch.withColumn("_order", F.struct("as_of", seq)).drop(seq)
+    def into(old: DataFrame, rows: DataFrame) -> DataFrame:
+        newest = rows.withColumn("_order", F.struct("as_of", seq)).drop(seq)
         return upsert_quotes(old, newest, as_of, "_order").select("instrument", "rate_type", "quote_currency", "value", "as_of", "fetched_at")
 
-    return quotes.writeStream.foreachBatch(into_snapshots(root, QUOTES, merge))
+    return quotes.writeStream.foreachBatch(quote_store(root).writer(into))
+
+
+def table_store(root: str, result: DataFrame, keys: list[str]) -> Store:
+    return Store(root, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema), keys)
 
 
 def table_job(result: DataFrame, root: str, keys: list[str]) -> DataStreamWriter:
-    """Changed rows of an aggregate merged into its snapshot."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema)
+    """Changed rows of an aggregate put into its store."""
+    store = table_store(root, result, keys)
 
-    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
-        return upsert(old, batch, keys)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.create(batch.sparkSession).put(batch, batch_id)
 
-    return result.writeStream.outputMode("update").foreachBatch(into_snapshots(root, schema, merge))
+    return result.writeStream.outputMode("update").foreachBatch(write)
 
 
 def append_job(result: DataFrame, path: str) -> DataStreamWriter:

@@ -57,9 +57,8 @@ def test_stream_in_batches_equals_one_batch(spark, tmp_path):
     _files(spark, t.runs, "id", str(tmp_path / "in"))
     stream = jb.read_stream(spark, str(tmp_path / "in"), files_per_batch=1)
     result = jb.daily_stream(stream, delay="40 days")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema)
     jb.run_available(jb.table_job(result, str(tmp_path / "out"), ["day", "source_key"]), str(tmp_path / "cp"))
-    got = {(r.day, r.source_key): r.saved for r in jb.latest_snapshot(spark, str(tmp_path / "out"), schema).collect()}
+    got = {(r.day, r.source_key): r.saved for r in jb.table_store(str(tmp_path / "out"), result, ["day", "source_key"]).read(spark).collect()}
     rows = m.exploded_runs(t.runs).where(~((m.attempted() > 0) & (m.zero("m.saved") > m.attempted())))
     want = {(r.day, r.source_key): r.saved for r in rows.groupBy(F.date_trunc("day", "started_at").cast("timestamp_ntz").alias("day"), "source_key").agg(F.sum(m.zero("m.saved")).alias("saved")).collect()}
     assert got == want
