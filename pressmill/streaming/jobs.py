@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from pressmill.functions import rules
 from pressmill.functions.times import effective
 from pressmill.operators import alerts as al, metrics as m
+from pressmill.operators.ordered import first_per_key
 from pressmill.operators.writes import advance_cursors, keyed_items, upsert_feed_items, upsert_quotes
 from pressmill.sources.feeds import social_items
 from pressmill.streaming.store import Store
@@ -76,7 +77,7 @@ def alert_job(articles: DataFrame, alerts: DataFrame, searches: DataFrame, sourc
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        queued, known = deliveries.create(spark).read(spark, batch_id), cursors.create(spark).read(spark, batch_id)
+        queued, known = deliveries.read(spark, batch_id), cursors.read(spark, batch_id)
         new, matches = al.run_cycle(alerts, searches, known.select("alert_id", "last_ts"), batch, sources, queued, prefs, as_of)
         deliveries.put(new, batch_id)
         cursors.merge(matches, batch_id, lambda old, rows: advance_cursors(old, rows, as_of))
@@ -133,7 +134,6 @@ def late_job(events: DataFrame, ts: str, root: str, delay_sec: int = 86400, step
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        counts.create(spark), marks.create(spark)
         mark = marks.read(spark, batch_id).where("name = 'newest'").agg(F.max("newest")).first()[0]
         rows = batch.withColumn("_t", F.col(ts).cast("timestamp_ntz"))
         late = F.lit(False) if mark is None else F.coalesce(F.col("_t") < F.lit(mark) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(delay_sec)), F.lit(False))
@@ -216,11 +216,16 @@ def quote_store(root: str) -> Store:
 def quotes_job(quotes: DataFrame, root: str, as_of, seq: str = "seq") -> DataStreamWriter:
     """Latest quote per key; within a batch the newest ``as_of`` wins, and a batch replaces what was stored."""
 
+    store = quote_store(root)
+
+    def newest(batch: DataFrame) -> DataFrame:
+        # One row of each key is left before anything is kept for the merge.
+        return first_per_key(batch.withColumn("_order", F.struct("as_of", seq)).drop(seq), store.keys, [F.col("_order")], last=True)
+
     def into(old: DataFrame, rows: DataFrame) -> DataFrame:
-        newest = rows.withColumn("_order", F.struct("as_of", seq)).drop(seq)
-        return upsert_quotes(old, newest, as_of, "_order").select("instrument", "rate_type", "quote_currency", "value", "as_of", "fetched_at")
+        return upsert_quotes(old, rows, as_of, "_order").select("instrument", "rate_type", "quote_currency", "value", "as_of", "fetched_at")
 
-    return quotes.writeStream.foreachBatch(quote_store(root).writer(into))
+    return quotes.writeStream.foreachBatch(store.writer(into, newest))
 
 
 def table_store(root: str, result: DataFrame, keys: list[str]) -> Store:
@@ -232,7 +237,7 @@ def table_job(result: DataFrame, root: str, keys: list[str]) -> DataStreamWriter
     store = table_store(root, result, keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.create(batch.sparkSession).put(batch, batch_id)
+        store.put(batch, batch_id)
 
     return result.writeStream.outputMode("update").foreachBatch(write)
 

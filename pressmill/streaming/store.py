@@ -9,37 +9,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 class Store:
     """``schema``: DDL of the rows; ``keys``: columns that name a row. Every ``compact_after`` batches the deltas are merged into a new base."""
 
-    def __init__(self, root: str, schema: str, keys: list[str], buckets: int = 32, compact_after: int = 16):
+    def __init__(self, root: str, schema: str, keys: list[str], buckets: int = 16, compact_after: int = 16):
         self.root, self.schema, self.keys, self.buckets, self.compact_after = root, schema, keys, buckets, compact_after
 
-    def create(self, spark: SparkSession) -> Store:
-        """Makes an empty store where there is none."""
-        spark.createDataFrame([(-1,)], "base long").coalesce(1).write.mode("ignore").parquet(f"{self.root}/commits/batch=-1")
-        empty = spark.createDataFrame([], f"{self.schema}, bucket int")
-        for path in (f"{self.root}/delta/batch=-1", f"{self.root}/base/v=-1"):
-            empty.write.mode("ignore").partitionBy("bucket").parquet(path)
-        return self
+    def _stored(self, spark: SparkSession, folder: str, schema: str) -> DataFrame:
+        """Rows below a folder; none where nothing has been written yet."""
+        try:
+            return spark.read.schema(schema).parquet(f"{self.root}/{folder}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def base(self, spark: SparkSession, before: int | None = None) -> int:
         """Number of the newest whole base of an earlier batch; -1: none. There is one row for each compaction."""
-        commits = spark.read.schema("base long, batch long").parquet(f"{self.root}/commits")
-        return (commits if before is None else commits.where(F.col("batch") < before)).agg(F.max("base").alias("v")).first().v
+        commits = self._stored(spark, "commits", "base long, batch long")
+        return (commits if before is None else commits.where(F.col("batch") < before)).agg(F.coalesce(F.max("base"), F.lit(-1)).alias("v")).first().v
 
     def read(self, spark: SparkSession, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """The rows as of all batches (or those ``before`` one): of each key the row of its last batch. ``buckets``: only these."""
         v = self.base(spark, before)
-        rows = spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.root}/base/v={v}").withColumn("batch", F.lit(v).cast("long"))
-        delta = spark.read.schema(f"{self.schema}, bucket int, batch long").parquet(f"{self.root}/delta").where(F.col("batch") > v)
-        rows = rows.unionByName(delta if before is None else delta.where(F.col("batch") < before))
+        rows = self._stored(spark, "delta", f"{self.schema}, bucket int, batch long").where(F.col("batch") > v)
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        if v >= 0:
+            rows = rows.unionByName(self._stored(spark, f"base/v={v}", f"{self.schema}, bucket int").withColumn("batch", F.lit(v).cast("long")))
         if buckets is not None:
             rows = rows.where(F.col("bucket").isin(buckets))
         names = [c for c in rows.columns if c not in ("bucket", "batch")]
@@ -49,8 +52,8 @@ class Store:
 
     def put(self, rows: DataFrame, batch_id: int) -> None:
         """Writes the changed rows of a batch, one for each key, and compacts when it is time."""
-        names = [f.name for f in rows.sparkSession.createDataFrame([], self.schema).schema]
-        rows.select(*names).withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/delta/batch={batch_id}")
+        names = rows.sparkSession.createDataFrame([], self.schema).columns
+        rows.select(*names).withColumn("bucket", self.bucket()).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/delta/batch={batch_id}")
         if batch_id - self.base(rows.sparkSession, batch_id) >= self.compact_after:
             self.compact(rows.sparkSession, batch_id)
 
@@ -70,7 +73,6 @@ class Store:
         """A foreachBatch function. ``prepare``: the batch to rows with the store's keys."""
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            self.create(batch.sparkSession)
             rows = prepare(batch).persist()
             try:
                 self.merge(rows, batch_id, into)

@@ -37,7 +37,7 @@ def folders(path) -> set[str]:
 def test_store(spark, tmp_path):
     """Random batches against a dictionary: upserts, compactions, repeated batches, and how little a batch writes."""
     r = random.Random(1)
-    store = Store(str(tmp_path / "s"), "k BIGINT, v STRING, w INT", ["k"], buckets=8, compact_after=3).create(spark)
+    store = Store(str(tmp_path / "s"), "k BIGINT, v STRING, w INT", ["k"], buckets=8, compact_after=3)
     want: dict = {}
 
     def into(old, rows):
@@ -59,7 +59,7 @@ def test_store(spark, tmp_path):
 
 
 def test_store_of_keys_alone(spark, tmp_path):
-    store = Store(str(tmp_path / "s"), "k STRING", ["k"]).create(spark)
+    store = Store(str(tmp_path / "s"), "k STRING", ["k"])
     store.put(spark.createDataFrame([("a",), (None,)], "k string"), 0)
     store.put(spark.createDataFrame([("a",), ("b",)], "k string"), 1)
     assert {x.k for x in store.read(spark).collect()} == {None, "a", "b"} and store.read(spark).count() == 3
