@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressmill.functions import urls
 from pressmill.functions.times import as_time, before, span
+from pressmill.operators.jumps import spaced
 from pressmill.operators.ordered import running, top_k, with_index
 
 
@@ -124,26 +124,7 @@ def errors_in_window(log: DataFrame, keys: Sequence[str], ts: str, is_error: str
 def notify_cooldown(events: DataFrame, key: str, ts: str, cooldown_sec: int) -> DataFrame:
     """Emit an event only when the last emitted one of its key is at least the cooldown old.
 
-    Equal times of a key collapse first. The rest is one sorted pass per key with constant memory:
-    a sort inside the partition, then batches that only carry the last emitted time of the current key.
+    Equal times of a key collapse first. The rest are jump functions of time slices, so no key is one task (``jumps.spaced``).
     """
-    times = events.groupBy(F.col(key).cast("string").alias("key"), F.unix_micros(F.to_timestamp(ts)).alias("t")).agg(
-        F.count(F.lit(1)).alias("merged"))
-    ordered = times.repartition("key").sortWithinPartitions("key", "t")
-    wait = cooldown_sec * 1_000_000
-
-    def walk(batches):
-        current, last = None, None
-        for batch in batches:
-            keep = []
-            for k, t in zip(batch["key"], batch["t"]):
-                if k != current:
-                    current, last = k, None
-                due = last is None or t - last >= wait
-                if due:
-                    last = t
-                keep.append(due)
-            yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
-
-    sent = ordered.mapInPandas(walk, "key string, t long, merged long")
-    return sent.select("key", F.timestamp_micros("t").cast("timestamp_ntz").alias("emitted_at"))
+    times = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.to_timestamp(ts)).alias("t"))
+    return spaced(times, cooldown_sec * 1_000_000).select("key", F.timestamp_micros("t").cast("timestamp_ntz").alias("emitted_at"))
