@@ -11,13 +11,17 @@ from pressmill.functions.text import blank, normalize_title, strip, tokens
 from pressmill.functions.times import as_time, before, effective_from, span
 from pressmill.operators.fence import fence
 from pressmill.operators.ordered import top_k
-from pressmill.operators.search import article_tokens, places, total_sql
+from pressmill.operators.search import build_token_index, total_sql
 from pressmill.operators.tables import substring_pairs
 from pressmill.operators.writes import pref_defaults
 from pressmill.session import settle
 
 NONE = "\u0002"
 MATCH_LIMIT = 50
+#: Articles of a lookup word in one slice, and slices of the mark that every article has.
+HOT, MARK_PARTS = 100_000, 64
+#: Widths of the time slices of which the best rows are stored, in microseconds: equal times, minutes, hours, days, 32 days.
+LADDER = [1, 60_000_000, 3_600_000_000, 86_400_000_000, 32 * 86_400_000_000]
 OVERLAP_SEC = 86_400
 MAX_ATTEMPTS = 5
 
@@ -71,9 +75,7 @@ def dedupe_key(url: Column, source_name: Column, title: Column, ts: Column, item
 # ---- matching --------------------------------------------------------------------------------
 
 def query_clauses(requests: DataFrame) -> DataFrame:
-    """Distinct query texts as clauses of (wanted, excluded) word lists, each with the word it is looked up by: its
-    longest. The grammar is that of ``search.web_query``. A clause of exclusions only is looked up by the mark
-    every article has."""
+    """Distinct query texts as clauses of (wanted, excluded) word lists. The grammar is that of ``search.web_query``."""
     queries = requests.where("query <> ''").select("query").distinct()
     items = F.regexp_extract_all("query", F.lit(r'-?(?:"[^"]*"|[^\s"]+)'), F.lit(0))
     is_or = lambda x: F.lower(x) == "or"
@@ -85,19 +87,49 @@ def query_clauses(requests: DataFrame) -> DataFrame:
     side = lambda minus: F.transform(F.filter(
         "read", lambda r: (r["clause"] == F.col("clause")) & (r["minus"] == F.lit(minus)) & (F.size(r["words"]) > 0)), lambda r: r["words"])
     rows = fence(rows, pos=side(False), neg=side(True)).where((F.size("pos") > 0) | (F.size("neg") > 0))
-    words = F.array_sort(F.flatten("pos"), lambda a, b: F.length(b) - F.length(a))
-    return rows.select("query", "clause", "pos", "neg", F.coalesce(F.get(words, 0), F.lit(NONE)).alias("token"))
+    return rows.select("query", "clause", "pos", "neg")
+
+
+def clause_lookups(clauses: DataFrame, counts: DataFrame) -> DataFrame:
+    """Clauses with the word they are looked up by: of the wanted words the one in the fewest articles (``counts``: token, n). A clause with
+    a wanted word that no article has is left out. A clause of exclusions only is looked up by the mark every article has. Adds ``parts``, the
+    number of slices that the lookup word's articles are dealt into."""
+    wanted = clauses.select("query", "clause", F.explode_outer(F.array_distinct(F.flatten("pos"))).alias("token"))
+    rarest = wanted.join(counts, "token", "left").groupBy("query", "clause").agg(
+        F.min_by(F.struct("token", "n"), F.struct("n", "token")).alias("r"), F.count_if(F.col("token").isNotNull() & F.col("n").isNull()).alias("lost"))
+    found = clauses.join(rarest.where("lost = 0"), ["query", "clause"])
+    none = F.col("r.token").isNull()
+    return found.select("query", "clause", "pos", "neg", F.when(none, NONE).otherwise(F.col("r.token")).alias("token"),
+                        F.when(none, MARK_PARTS).otherwise(F.ceil(F.col("r.n") / HOT)).cast("int").alias("parts"))
 
 
 def query_hits(requests: DataFrame, articles: DataFrame) -> DataFrame:
-    """(query, id, rank) of every distinct query text. Equi join on one word of the clause, exact check after it."""
-    clauses = query_clauses(requests)
-    # Only the words some clause asks for leave the scan.
-    asked = clauses.select("token").distinct()
-    words = articles.select("id", F.explode(F.array_append(F.array_distinct(article_tokens()), F.lit(NONE))).alias("token"))
-    pairs = words.join(asked, "token", "left_semi").join(clauses, "token").select("id", "query", "pos", "neg")
-    held = fence(articles, tk=article_tokens()).select("id", "tk")
-    rows = fence(pairs.join(held, "id"), e=places(F.col("tk"), F.flatten(F.concat("pos", "neg"))))
+    """(query, id, rank) of every distinct query text: a reverse index of the clauses, keyed by their rarest word.
+
+    Of the articles' words only those that some clause asks for leave the pass over the texts, with their places, and are stored once; a
+    text's words are never shuffled. A lookup word of more than ``HOT`` articles is dealt into slices by article. Clauses of one word
+    are ranked by the places that come with the lookup; the others meet the stored places of their articles.
+    """
+    clauses = settle(query_clauses(requests).withColumn("words", F.array_distinct(F.flatten(F.flatten(F.array("pos", "neg"))))))
+    asked = clauses.select(F.explode("words").alias("token")).distinct()
+    posted = settle(build_token_index(articles).select("token", "id", "positions").join(asked, "token", "left_semi"))
+    lookups = clause_lookups(clauses, posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"))).join(clauses.select("query", "clause", "words"), ["query", "clause"])
+    lookups = settle(lookups)
+    hot = lookups.where("parts > 1").select("token", "parts").distinct()
+    # Only where some clause has exclusions alone do all articles come in, by their ids.
+    everywhere = articles.where(lookups.agg(F.count_if(F.col("token") == NONE) > 0).scalar())
+    marked = everywhere.select(F.lit(NONE).alias("token"), "id", F.array().cast("array<int>").alias("positions"))
+    dealt = posted.unionByName(marked).join(hot, "token", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    spread = lookups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
+    pairs = dealt.join(spread, ["token", "part"]).select("id", "query", "pos", "neg", "words", "token", "positions")
+
+    alone = (F.size("words") == 1) & (F.col("token") != NONE)
+    own = pairs.where(alone).withColumn("held", F.array(F.struct("token", "positions")))
+    held = posted.groupBy("id").agg(F.collect_list(F.struct("token", "positions")).alias("held"))
+    met = pairs.where(~alone).join(held, "id", "left")
+    cols = ["id", "query", "pos", "neg", "words", "held"]
+    placed = F.transform(F.filter("held", lambda h: F.array_contains("words", h["token"])), lambda h: F.transform(h["positions"], lambda i: F.struct(i.alias("i"), h["token"].alias("x"))))
+    rows = fence(own.select(cols).unionByName(met.select(cols)), e=F.coalesce(F.array_sort(F.flatten(placed)), F.array().cast("array<struct<i: int, x: string>>")))
     ranked = fence(rows.withColumn("c", F.array(F.struct("pos", "neg"))), r=F.expr(total_sql("e", "c"))).where(F.col("r").isNotNull())
     return ranked.groupBy("query", "id").agg(F.round(F.sum("r"), 6).alias("rank"))
 
@@ -132,12 +164,35 @@ def scoped(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     return wide.withColumn("scope", scope(F.col("query"), F.col("k"), F.col("o"))).select("scope", "id", "ts", "rank")
 
 
+def rungs(ts: str, name: str, later: bool) -> Column:
+    """One row for each width of ``LADDER``: ``level``, the slice of a time as ``name`` (or the one after it; of equal times always its own), and
+    ``parent``, the slice of the next width that it is part of (0 at the top)."""
+    at = F.unix_micros(F.to_timestamp(ts))
+    wider = [F.floor(at / F.lit(w)) for w in LADDER[1:]] + [F.lit(0).cast("long")]
+    return F.inline(F.array(*[
+        F.struct(F.lit(k).alias("level"), (F.floor(at / F.lit(w)) + F.lit(int(later and k > 0))).alias(name), wider[k].alias("parent")) for k, w in enumerate(LADDER)]))
+
+
+def from_ladder(found: DataFrame, asking: DataFrame, limit: int) -> DataFrame:
+    """(scope, start_ts, id, ts, rank): rows among which are the best ``limit`` of each asked scope from ``start_ts`` on.
+
+    Each scope has a ladder of time slices with the best ``limit`` rows of each. Of each width a start reads the later parts of the wider
+    slice in which it lies: an equi join, with at most ``limit`` rows for each part. Parts that no start reads are not ranked: all
+    32 days after the first start, but hours only of the days with a start, and so on.
+    """
+    wanted = asking.select("scope", "start_ts", rungs("start_ts", "first", True))
+    read = wanted.groupBy("scope", "level", "parent").agg(F.min("first").alias("low"))
+    parts = found.select("scope", "id", "ts", "rank", rungs("ts", "node", False)).join(read, ["scope", "level", "parent"]).where("node >= low").drop("low")
+    slices = top_k(parts, ["scope", "level", "node", "parent"], [F.desc("rank"), F.desc("ts"), F.desc("id")], limit, F.col("id"))
+    return wanted.join(slices, ["scope", "level", "parent"]).where("node >= first").select("scope", "start_ts", "id", "ts", "rank")
+
+
 def alert_matches(requests: DataFrame, articles: DataFrame, sources: DataFrame, as_of, limit: int = MATCH_LIMIT) -> DataFrame:
     """Best ``limit`` articles of every alert: by rank, then newest.
 
     Alerts that ask for the same thing share one scope, worked out once. Of a scope an alert only needs the
-    newest rows when there is no query text, and otherwise the best rows of each later day plus its first,
-    partly covered day. So a popular query is never multiplied with all its alerts.
+    newest rows when there is no query text, and otherwise the best rows of the time slices that make up its
+    look-back (``from_ladder``). So a popular query is never multiplied with all its alerts.
     """
     ts = F.coalesce("published_at", "created_at")
     # No alert looks back further than this, so older rows are not read.
@@ -150,23 +205,17 @@ def alert_matches(requests: DataFrame, articles: DataFrame, sources: DataFrame,
     plain = scoped(base.withColumn("query", F.lit("")).withColumn("rank", F.lit(0.0)), patterns)
     plain = plain.join(scopes.where("NOT text").select("scope"), "scope", "left_semi")
     newest = top_k(plain, ["scope"], [F.desc("ts"), F.desc("id")], limit, F.col("id"))
-    quick = reqs.where("query = ''").select("alert_id", "scope", "start_ts").join(newest, "scope").where("ts >= start_ts")
+    # Alerts of one scope and one time have the same matches: these are picked once and then given to each of them.
+    starts = reqs.select("scope", "start_ts", (F.col("query") != "").alias("text")).distinct()
+    quick = starts.where("NOT text").join(newest, "scope").where("ts >= start_ts")
 
     found = scoped(query_hits(requests, articles).join(base, "id"), patterns)
-    # Read three times below, so the text work is done and stored once.
-    found = settle(found.join(scopes.where("text").select("scope"), "scope", "left_semi").withColumn("day", F.to_date("ts")))
-    best = top_k(found, ["scope", "day"], [F.desc("rank"), F.desc("ts"), F.desc("id")], limit, F.col("id"))
-    asking = reqs.where("query <> ''").select("alert_id", "scope", "start_ts", F.to_date("start_ts").alias("day"))
-    first_day = asking.join(found, ["scope", "day"]).where("ts >= start_ts")
-    days = best.groupBy("scope").agg(F.collect_set("day").alias("days"))
-    later = (
-        asking.withColumnRenamed("day", "first").join(days, "scope")
-        .withColumn("day", F.explode(F.filter("days", lambda d: d > F.col("first")))).join(best, ["scope", "day"])
-    )
-    cols = ["alert_id", "id", "ts", "rank"]
-    rows = quick.select(cols).unionByName(first_day.select(cols)).unionByName(later.select(cols))
-    # An alert has at most ``limit`` rows a day here, besides its first day.
-    return top_k(rows, ["alert_id"], [F.desc("rank"), F.desc("ts"), F.desc("id")], limit, F.col("id"), "match_no", salts=1)
+    found = settle(found.join(scopes.where("text").select("scope"), "scope", "left_semi"))
+    ranked = from_ladder(found, starts.where("text"), limit)
+    cols = ["scope", "start_ts", "id", "ts", "rank"]
+    # A start has at most ``limit`` rows of each slice here.
+    best = top_k(quick.select(cols).unionByName(ranked.select(cols)), ["scope", "start_ts"], [F.desc("rank"), F.desc("ts"), F.desc("id")], limit, F.col("id"), "match_no", salts=1)
+    return reqs.select("alert_id", "scope", "start_ts").join(best, ["scope", "start_ts"]).select("alert_id", "id", "ts", "rank", "match_no")
 
 
 # ---- queueing --------------------------------------------------------------------------------
