@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pressmill.functions import rules
 from pressmill.functions.text import ilike_any, normalize_name
 from pressmill.functions.times import as_time, before, effective, effective_from
+from pressmill.operators.fence import fence
 
 
 # ---- predicates ------------------------------------------------------------------------------
@@ -65,19 +66,32 @@ def reconcile_source_ids(articles: DataFrame, names: DataFrame) -> DataFrame:
 
 # ---- joins -----------------------------------------------------------------------------------
 
+def _runs(text: str | Column, lengths: Column) -> Column:
+    """Distinct character runs of the given lengths."""
+    col = F.col(text) if isinstance(text, str) else text
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.when(F.length(col) >= n, F.transform(
+        F.sequence(F.lit(1), F.length(col) - n + 1), lambda at: F.substring(col, at, n))).otherwise(F.array().cast("array<string>")))))
+
+
+def substring_candidates(texts: DataFrame, text: str, needles: DataFrame, needle: str, wildcards: bool = False) -> DataFrame:
+    """(text, needle) that share the needle's signature: of the three-character runs of its longest plain part the one in the fewest texts
+    (the whole part if it is shorter, nothing if there is none). A needle with a run that no text has meets no text."""
+    part = F.array_sort(F.split(needle, "[%_]"), lambda a, b: F.length(b) - F.length(a))[0] if wildcards else F.col(needle)
+    wanted = fence(needles.select(needle).distinct().where(F.length(needle) > 0), _part=part)
+    wanted = wanted.select(needle, F.explode(F.when(F.length("_part") < 3, F.array("_part")).otherwise(_runs("_part", F.array(F.lit(3))))).alias("_run"))
+    hay = texts.select(text).distinct().where(F.length(text) > 0)
+    hay = hay.select(text, F.explode(F.array_append(_runs(text, F.sequence(F.lit(1), F.lit(3))), F.lit(""))).alias("_run"))
+    hay = hay.join(wanted.select("_run").distinct(), "_run", "left_semi")
+    counted = wanted.join(hay.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")), "_run", "left")
+    rarest = counted.groupBy(needle).agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"), F.count_if(F.col("_n").isNull()).alias("_lost"))
+    return hay.join(rarest.where("_lost = 0").select(needle, "_run"), "_run").select(text, needle)
+
+
 def substring_pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str, wildcards: bool = False) -> DataFrame:
-    """All (text, needle) with the needle inside the text, without comparing everything with everything.
-
-    A needle is looked up by the first three characters (or all, if shorter) of its longest plain run among the
-    character runs of the text, then the whole needle is checked. With ``wildcards`` % and _ match as in LIKE.
-    """
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.when(F.length(text) >= n, F.transform(
-        F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(F.col(text), at, n))).otherwise(F.array().cast("array<string>"))))
-    plain = F.array_sort(F.split(needle, "[%_]"), lambda a, b: F.length(b) - F.length(a))[0] if wildcards else F.col(needle)
+    """All (text, needle) with the needle inside the text, without comparing everything with everything: candidates by the needle's rarest
+    run, then the whole needle. With ``wildcards`` % and _ match as in LIKE."""
     hit = F.like(F.col(text), F.concat(F.lit("%"), needle, F.lit("%"))) if wildcards else F.contains(text, F.col(needle))
-    hay = texts.select(text).distinct().where(F.length(text) > 0).select(text, F.explode(F.array_distinct(F.array_append(runs, F.lit("")))).alias("_run"))
-    keys = needles.select(needle).distinct().where(F.length(needle) > 0).select(needle, F.left(plain, F.lit(3)).alias("_run"))
-    return hay.join(keys, "_run").where(hit).select(text, needle)
+    return substring_candidates(texts, text, needles, needle, wildcards).where(hit)
 
 
 def map_source_name(raw: DataFrame, name: str, sources: DataFrame) -> DataFrame:
@@ -86,9 +100,11 @@ def map_source_name(raw: DataFrame, name: str, sources: DataFrame) -> DataFrame:
     asked = raw.select(F.col(name).alias("raw")).where("raw IS NOT NULL AND raw <> ''").distinct().withColumn("raw_norm", normalize_name(F.col("raw")))
     exact_key = asked.join(sources.select(F.col("key").alias("raw")).distinct(), "raw").select("raw", F.lit(1).alias("tier"), F.col("raw").alias("key"))
     exact_name = asked.join(dim, asked.raw_norm == dim.norm).select("raw", F.lit(2).alias("tier"), "key")
-    inside = substring_pairs(asked, "raw_norm", dim, "norm")
-    around = substring_pairs(dim, "norm", asked, "raw_norm").select("raw_norm", "norm")
-    partial = inside.unionByName(around).distinct().join(dim, "norm").join(asked, "raw_norm").select("raw", F.lit(3).alias("tier"), "key")
+    # Exact hits leave before names are compared by containment.
+    left = asked.join(exact_key.unionByName(exact_name).select("raw"), "raw", "left_anti")
+    inside = substring_pairs(left, "raw_norm", dim, "norm")
+    around = substring_pairs(dim, "norm", left, "raw_norm").select("raw_norm", "norm")
+    partial = inside.unionByName(around).distinct().join(dim, "norm").join(left, "raw_norm").select("raw", F.lit(3).alias("tier"), "key")
     best = exact_key.unionByName(exact_name).unionByName(partial).groupBy("raw").agg(F.min(F.struct("tier", "key")).alias("b"))
     return best.select(F.col("raw").alias(name), F.col("b.key").alias("source_key"), F.col("b.tier").alias("tier"))
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from pressmill.operators import alerts as al, search as se
+from pressmill.operators import alerts as al, search as se, tables as tb
 
 QUERIES = ["common", "common rare", '"common word" rare', "absent common", "common absent or rare", "-common", '-"common word" or rare',
            "word -rare", '"rare common"', "common common", "-absent", "or", "word or word"]
@@ -59,3 +60,22 @@ def test_ladder_gives_the_best_rows_from_any_time(spark):
         mine = [(scope, x.id, x.ts, x["rank"]) for x in got if (x.scope, x.start_ts) == (scope, start)]
         assert len(mine) == len({x[1] for x in mine}) and all(x[2] >= start for x in mine)
         assert sorted(mine, key=order)[:4] == sorted([x for x in rows if x[0] == scope and x[2] >= start], key=order)[:4]
+
+
+def test_names_with_one_prefix_do_not_meet(spark):
+    """100 names share their first characters: candidates are those of the rarest run, about one text a needle."""
+    names = spark.createDataFrame([(f"sourceoflibyanews{i:03d}",) for i in range(100)], "t string")
+    pairs = tb.substring_candidates(names, "t", names.withColumnRenamed("t", "n"), "n")
+    assert pairs.count() < 400 and tb.substring_pairs(names, "t", names.withColumnRenamed("t", "n"), "n").where("t = n").count() == 100
+
+
+@pytest.mark.parametrize("wildcards", [False, True])
+def test_substring_pairs_equal_all_pairs(spark, wildcards):
+    r = random.Random(7)
+    texts = ["".join(r.choices("abcd", k=r.randrange(1, 9))) for _ in range(120)] + ["", None]
+    needles = ["".join(r.choices("abcd" + "%_" * wildcards, k=r.randrange(1, 6))) for _ in range(80)] + ["", None, "zzz", "abz"]
+    hay, asked = (spark.createDataFrame([(x,) for x in rows], f"{c} string") for rows, c in ((texts, "t"), (needles, "n")))
+    pattern = lambda n: re.compile("".join({"%": ".*", "_": "."}.get(c, c) for c in n))
+    want = {(t, n) for t in texts if t for n in needles if n and (pattern(n).search(t) if wildcards else n in t)}
+    got = [tuple(x) for x in tb.substring_pairs(hay, "t", asked, "n", wildcards).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
