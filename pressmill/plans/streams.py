@@ -20,7 +20,7 @@ class Streams(Tables):
     """The same bindings over streaming reads of the test tables."""
 
     def raw(self, name: str) -> DataFrame:
-        return jb.read_stream(self.spark, self.dir, f"{name}.parquet")
+        return jb.read_table_stream(self.spark, self.dir, name)
 
 
 def _streams(t: Tables) -> Streams:

@@ -24,6 +24,13 @@ def read_stream(spark: SparkSession, folder: str, names: str = "*.parquet", file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stored table, one file or a folder of files, as a stream of one batch: its files are in no order of time, so whatever a first
+    batch would move (watermarks, cursors) says nothing about the rest."""
+    # A pattern stands for a file as well as for a folder; a plain path must be a folder in a stream.
+    return spark.readStream.schema(spark.read.parquet(f"{folder}/{name}.parquet").schema).parquet(f"{folder}/{{{name}}}.parquet")
+
+
 def event_time(df: DataFrame, ts: str) -> DataFrame:
     """Watermarks need an instant; times without zone mean UTC, the session's zone."""
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
