@@ -6,6 +6,7 @@ to a ``store.Store``, whose deltas are named by the batch number: a batch that i
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
@@ -127,6 +128,8 @@ def daily_stream(runs: DataFrame, delay: str = "1 day") -> DataFrame:
     ).select(wall(F.col("window.start")).alias("day"), "source_key", "saved", "failed", "blocked", "attempted")
 
 
+#: Times in one element of a list state.
+CHUNK = 10_000
 LATE, MARK = "start TIMESTAMP_NTZ, n BIGINT", "name STRING, newest TIMESTAMP_NTZ"
 
 
@@ -154,47 +157,51 @@ def late_job(events: DataFrame, ts: str, root: str, delay_sec: int = 86400, step
 
 
 class Cooldown(StatefulProcessor):
-    """Times of a key wait until the watermark has passed them, and are then judged in order. State: the waiting times, and the last one
-    emitted until nothing can depend on it any more."""
+    """Times of a key wait until the watermark has passed them, and are then judged in order. State: the waiting times, in lists of a
+    whole Arrow batch each, and the last one emitted until nothing can depend on it any more. A list has one timer, for its first time."""
 
     def __init__(self, wait: int):
         self.wait = wait
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting, self.last = handle.getListState("waiting", "t long"), handle.getValueState("last", "t long")
+        self.waiting, self.last = handle.getListState("waiting", "t array<long>"), handle.getValueState("last", "t long")
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
         for batch in rows:
-            for t in batch["t"].drop_duplicates().tolist():
-                self.waiting.appendValue((t,))
-                self.handle.registerTimer(t // 1000)
-        yield pd.DataFrame({"key": pd.Series([], dtype=str), "t": pd.Series([], dtype="int64")})
+            times = np.unique(batch["t"].to_numpy())
+            self.waiting.appendValue((times.tolist(),))
+            self.handle.registerTimer(int(times[0]) // 1000)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
         now = timerValues.getCurrentWatermarkInMs()
-        times = sorted({t for (t,) in self.waiting.get()}) if self.waiting.exists() else []
-        ready, rest = [t for t in times if t // 1000 <= now], [t for t in times if t // 1000 > now]
+        held = [np.asarray(ts, np.int64) for (ts,) in self.waiting.get()] if self.waiting.exists() else []
+        times = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        ready, rest = np.split(times, [np.searchsorted(times, (now + 1) * 1000)])
         last = self.last.get()[0] if self.last.exists() else None
         sent = []
-        for t in ready:
-            if last is None or t - last >= self.wait:
-                last = t
-                sent.append(t)
-        if rest:
-            self.waiting.put([(t,) for t in rest])
-        elif times:
+        # From one that is sent to the first that is far enough from it.
+        at = 0 if last is None else int(np.searchsorted(ready, last + self.wait))
+        while at < len(ready):
+            last = int(ready[at])
+            sent.append(last)
+            at = max(at + 1, int(np.searchsorted(ready, last + self.wait)))
+        if len(rest) and len(ready):
+            self.waiting.put([(rest[k : k + CHUNK].tolist(),) for k in range(0, len(rest), CHUNK)])
+            self.handle.registerTimer(int(rest[0]) // 1000)
+        elif len(ready):
             self.waiting.clear()
         if sent:
             self.last.update((last,))
             self.handle.registerTimer((last + self.wait) // 1000 + 1)
         elif last is not None and (last + self.wait) // 1000 < now:
             self.last.clear()  # whatever comes now is late enough
-        yield pd.DataFrame({"key": pd.Series([key[0]] * len(sent), dtype=str), "t": pd.Series(sent, dtype="int64")})
+        if not sent:
+            return iter(())
+        return iter([pd.DataFrame({"key": pd.Series([key[0]] * len(sent), dtype=str), "t": pd.Series(sent, dtype="int64")})])
 
     def close(self) -> None:
         pass
