@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,9 +118,23 @@ def _nullable(rows: np.ndarray, empty: np.ndarray) -> pa.Array:
 
 
 def _apart(x: str, y: str):
-    """Set bits of the XOR of two odd sketches."""
-    parts = [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)]
-    return reduce(lambda a, b: a + b, parts)
+    """Set bits of the XOR of two odd sketches. Written over arrays: spelled out for each element, it makes a method that the JVM only interprets."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, bits: total + bits)
+
+
+def _first_common(x: str, y: str):
+    """The first band key that two lists have at the same place."""
+    same = F.zip_with(x, y, lambda a, b: a == b)
+    return F.get(F.col(x), F.array_position(same, True).cast("int") - 1)
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    sets: list[np.ndarray] = []
+    for block in blocks(texts):
+        g, doc = shingles(block)
+        sets.extend(np.split(g, bounds(doc, len(block))[1:-1]))
+    return sets
 
 
 def confirmed(pairs: DataFrame, cards: DataFrame, share: int = SHARE) -> DataFrame:
@@ -131,17 +144,13 @@ def confirmed(pairs: DataFrame, cards: DataFrame, share: int = SHARE) -> DataFra
     likely = first.join(side("u", "_x", "_tu"), (F.col("_u") == F.col("u")) & (_apart("_x", "_y") <= most_bits(share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-
-        def of(text: str) -> np.ndarray:
-            return shingles(next(blocks(pa.array([text], pa.string()))))[0]
-
         for batch in batches:
+            # Each distinct text of the batch is cut once, whatever the number of its pairs.
+            left, right = (batch.column(k).fill_null("").dictionary_encode() for k in (2, 3))
+            xs, ys = shingle_sets(left.dictionary), shingle_sets(right.dictionary)
             linked = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if held[0] != a:
-                    held = (a, of(a))
-                x, y = held[1], of(b)
+            for i, (a, b) in enumerate(zip(left.indices.to_pylist(), right.indices.to_pylist(), strict=True)):
+                x, y = xs[a], ys[b]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked[i] = 100 * common >= share * (len(x) + len(y) - common)
             yield batch.filter(pa.array(linked)).select(["u", "v"])
@@ -202,10 +211,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while left.select("bucket").limit(1).count():
         first = left.where((F.col("pos") >= done) & (F.col("pos") < done + count)).select("bucket", *(
             F.col(c).alias("_" + c) for c in ("id", "n", "common", "pos", "root", "bands", "odd")))
-        same = [(F.get("bands", F.lit(i)), F.get("_bands", F.lit(i))) for i in range(BANDS)]
-        band = F.coalesce(*(F.when(a == b, a) for a, b in same))
         new = (F.col("pos") > F.col("_pos")) & (F.col("root") != F.col("_root")) & _enough(share)
-        new = new & (_apart("odd", "_odd") <= most_bits(share)) & (band == F.col("_bucket"))  # only in their first common bucket
+        new = new & (_apart("odd", "_odd") <= most_bits(share)) & (_first_common("bands", "_bands") == F.col("_bucket"))  # only in their first common bucket
         pairs = left.join(first.withColumnRenamed("bucket", "_bucket"), (F.col("bucket") == F.col("_bucket")) & new)
         pairs = pairs.select(F.col("_id").alias("u"), F.col("id").alias("v")).distinct()
         more = settle(confirmed(pairs, cards, share))
