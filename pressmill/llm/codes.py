@@ -116,7 +116,7 @@ def write_codes(docs: DataFrame, vocabulary: str, path: str, end_id: int | None
         from pyspark import TaskContext
 
         part, seq, first = TaskContext.get().partitionId(), 0, 0
-        encoder = cached(f"word{key}", lambda: Encoder(spec.value, fold=FOLD))
+        encoder = cached(f"word{key}", lambda: Encoder(spec.value, fold=FOLD, spaced=True))
         tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
         held: list[np.ndarray] = []
         names: list[int | None] = []

@@ -14,6 +14,7 @@ import os
 import zlib
 from collections.abc import Callable
 from itertools import chain, repeat
+from operator import contains
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pressmill.llm.blocks import LOWER, SPACE, Block, gather
 REMEMBERED, LONGEST, COST = 32 << 20, 64, 160
 #: The library keeps some hundred bytes for each piece that it encodes at once.
 AT_ONCE = 4096
+#: Pieces that are joined to one text where a vocabulary drops white space, and the character between them.
+JOINED, MARK = 64, "\x01"
 #: Bytes of a block: the larger, the fewer pieces are encoded again. Offsets and decoded bytes take more memory beside the ids.
 BLOCK, BLOCK_IDS = 2 << 20, 4 << 20
 #: Ids that are decoded at once.
@@ -107,15 +110,18 @@ def pieces(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes blocks. ``fold`` maps bytes that the tokenizer treats alike, so that fewer pieces are distinct."""
+    """Encodes blocks. ``fold`` maps bytes that the tokenizer treats alike, so that fewer pieces are distinct. ``spaced``: the vocabulary drops
+    white space, so pieces are handed over joined by a mark between spaces, which is a word and one token of its own."""
 
-    def __init__(self, spec: str, fold: np.ndarray | None = None):
+    def __init__(self, spec: str, fold: np.ndarray | None = None, spaced: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.fold = fold
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids if spaced else []
+        self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, int] = {}
         self.held = 0
         self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -124,9 +130,17 @@ class Encoder:
         """Ids of all the pieces and the number of each piece's ids."""
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for k in range(0, len(texts), AT_ONCE):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+            some = texts[k : k + AT_ONCE]
+            # A piece that holds the mark itself sends its company alone.
+            if joined := self.mark is not None and not any(map(contains, some, repeat(MARK))):
+                some = [f" {MARK} ".join([*some[i : i + JOINED], ""]) for i in range(0, len(some), JOINED)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+            if joined:
+                at = np.flatnonzero(flat == self.mark)
+                flat, size = np.delete(flat, at), np.diff(at, prepend=-1) - 1
+            ids.append(flat)
             sizes.append(size)
         return np.concatenate(ids), np.concatenate(sizes)
 
