@@ -110,14 +110,19 @@ def mark_blocked(health: DataFrame, blocked: DataFrame, as_of, hours: int = 24)
 
 
 def errors_in_window(log: DataFrame, keys: Sequence[str], ts: str, is_error: str, seconds: int = 300, trip: int = 3) -> DataFrame:
-    """Errors of the trailing window at each row. Time is cut into slices of the window's length; a slice also
-    gets the errors of the slice before it, so no task sees more than two slices."""
+    """Errors of the trailing window at each row. Time is cut into slices of the window's length; a slice starts with all errors of the slice
+    before it and drops each when it leaves the window, so no task sees more than two slices and each row costs one step, however many a window
+    holds. Rows without a time are a window of their own."""
     micros = F.unix_micros(F.to_timestamp(ts))
     width = seconds * 1_000_000
-    rows = log.withColumn("_t", micros).withColumn("_slice", F.floor(F.col("_t") / width)).withColumn("_own", F.lit(True))
-    spill = rows.where(F.col(is_error)).withColumn("_slice", F.col("_slice") + 1).withColumn("_own", F.lit(False))
-    trailing = Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(-width, 0)
-    counted = rows.unionByName(spill).withColumn("errors", F.count_if(F.col(is_error)).over(trailing)).where("_own")
+    bad = F.col(is_error)
+    rows = log.withColumn("_t", micros).withColumn("_slice", F.floor(F.col("_t") / width)).withColumn("_step", F.when(bad, 1).otherwise(0))
+    # The window holds its start, so an error leaves one microsecond later.
+    left = rows.where(bad & F.col("_t").isNotNull()).select(*keys, (F.col("_slice") + 1).alias("_slice"), (F.col("_t") + width + 1).alias("_t"), F.lit(-1).alias("_step"), F.lit(True).alias("_left"))
+    whole = Window.partitionBy(*keys, "_slice")
+    upto = whole.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    both = rows.withColumn("_left", F.lit(False)).unionByName(left, allowMissingColumns=True)
+    counted = both.withColumn("errors", F.sum("_step").over(upto) + F.count_if("_left").over(whole)).where("NOT _left")
     return counted.select(*log.columns, "errors", (F.col("errors") >= trip).alias("tripped"))
 
 

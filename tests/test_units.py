@@ -207,6 +207,22 @@ def test_errors_in_window(spark):
     assert got == [sum(1 for o in offsets if s - 300 <= o <= s) for s in offsets]
 
 
+def test_errors_in_window_without_time_and_at_any_density(spark):
+    base = datetime(2024, 1, 1)
+    offsets = [None, None, *[(37 * i) % 1500 for i in range(200)], 0, 300, 600]
+    rows = [(i, "j" if i % 3 else None, None if s is None else base + timedelta(seconds=s), None if i % 7 == 6 else i % 5 != 4) for i, s in enumerate(offsets)]
+    counted = sel.errors_in_window(spark.createDataFrame(rows, "i int, j string, ts timestamp_ntz, bad boolean"), ["j"], "ts", "bad")
+    # The rows before a row that a window holds must not be gone through again for each row.
+    assert "RangeFrame, -" not in counted._jdf.queryExecution().toString()
+
+    def inside(k, s):
+        return k is None if s is None else k is not None and s - 300 <= k <= s
+
+    want = [sum(1 for (_, j, _, bad), k in zip(rows, offsets, strict=True) if bad and j == key and inside(k, s)) for (_, key, _, _), s in zip(rows, offsets, strict=True)]
+    got = [(r.errors, r.tripped) for r in counted.orderBy("i").collect()]
+    assert got == [(n, n >= 3) for n in want]
+
+
 # ---- search ----------------------------------------------------------------------------------
 
 def rank_of(spark, text, query):
