@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pressmill.llm.blocks import Block, blocks, bounds, hashes, mix, sums, words
-from pressmill.session import settle
+from pressmill.session import LONG_ROWS, settle
 
 #: The filter has segments of 2**SEGMENT_BITS bits, SEGMENTS of them or twice as many until all memberships fit: the data alone decide. An
 #: n-gram's bits lie in one segment. GROUPED neighbouring segments are built and asked together.
@@ -243,12 +243,14 @@ def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[
         """Rows come group by group, the words of the vocabulary and the pairs apart; counts are summed from time to time."""
         now, bits = -1, None
         held: dict[int, list] = {0: [], 1: []}
+        waiting = {0: 0, 1: 0}
 
         def summed(kind: int) -> tuple[np.ndarray, np.ndarray]:
             gram, count = (np.concatenate(x) for x in zip(*held[kind], strict=True))
             order = np.argsort(gram, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(gram[order]) > 0])[: len(gram)])
             held[kind] = [(gram[order][first], np.add.reduceat(count[order], first))] if len(gram) else []
+            waiting[kind] = 0
             return held[kind][0] if held[kind] else (gram, count)
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -266,7 +268,7 @@ def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[
                         some = np.flatnonzero(level >= q)
                         for probe in range(PROBES):
                             flat[base[some] + places(gram[some], q, probe)] = True
-                held[kind] = []
+                held[kind], waiting[kind] = [], 0
             data = [np.packbits(row, bitorder="little").tobytes() for row in bits]
             yield pa.RecordBatch.from_arrays([pa.array(low + np.arange(len(data), dtype=np.int32)), pa.array(data, pa.binary())], ["segment", "bits"])
 
@@ -276,8 +278,9 @@ def fit(training: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[
                     yield from done()
                     now = part
                 gram, count = unpacked(data.as_py())
+                waiting[kind] += len(gram) if held[kind] else 0
                 held[kind].append((gram, count))
-                if sum(len(g) for g, _ in held[kind][1:]) > max(SUMMED, len(held[kind][0][0])):
+                if waiting[kind] > max(SUMMED, len(held[kind][0][0])):
                     summed(kind)
         yield from done()
 
@@ -309,21 +312,32 @@ def _levels(packed_: DataFrame, parts: DataFrame, known) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(np.full(len(group), block)), pa.array(data, pa.binary())], ["part", "block", "grams"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a group that are in one batch are asked together, so that many small ones cost no more than a large one."""
         now, held, bits = -1, np.zeros((GROUPED, (1 << SEGMENT_BITS) // 8), np.uint8), None
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
+            asking: list[tuple[int, np.ndarray]] = []
+
+            def answer() -> None:
+                nonlocal bits
+                if asking:
+                    bits = bits or Filter(held)
+                    level = bits.level(np.concatenate([gram for _, gram in asking]), known.value.segments).astype(np.uint8)
+                    for (block, _), own in zip(asking, np.split(level, np.cumsum([len(gram) for _, gram in asking])[:-1]), strict=True):
+                        for column, value in zip(out, (block, now, zlib.compress(own.tobytes(), 1)), strict=True):
+                            column.append(value)
+                asking.clear()
+
             for part, segment, block, data in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
                 if part != now:
+                    answer()
                     now, bits = part, None
                     held[:] = 0
                 if segment is not None:
                     held[segment % GROUPED], bits = np.frombuffer(data.as_buffer(), np.uint8), None
                     continue
-                bits = bits or Filter(held)
-                gram, _ = unpacked(data.as_py())
-                level = bits.level(gram, known.value.segments).astype(np.uint8)
-                for column, value in zip(out, (block, part, zlib.compress(level.tobytes(), 1)), strict=True):
-                    column.append(value)
+                asking.append((block, unpacked(data.as_py())[0]))
+            answer()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["block", "part", "levels"])
 
     asked = packed_.select("block", "texts").mapInArrow(ask, "part int, block bigint, grams binary").select("part", F.lit(None).cast("int").alias("segment"), "block", "grams")
@@ -393,7 +407,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
     if model.parts is None:
         told = settle(rows.mapInArrow(run, schema))
     else:
-        held = settle(rows.mapInArrow(pack, f"block bigint, ids array<{kind}>, texts array<string>"))
+        held = settle(rows.mapInArrow(pack, f"block bigint, ids array<{kind}>, texts array<string>"), **LONG_ROWS)
         told = settle(_levels(held, model.parts, known).groupBy("block").cogroup(held.groupBy("block")).applyInArrow(meet, schema))
     rare = told.select("row", F.explode(F.arrays_zip("rare", "times")).alias("_r")).select("row", F.col("_r.rare").alias("h"), F.col("_r.times").alias("times"))
     met = rare.join(vocabulary, "h", "left")

@@ -17,6 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from pressmill import session
 from pressmill.llm import bpe, codes, exact, langid, leaks, licences, lm, near, passages, quality
 from pressmill.llm.blocks import blocks, grams, hashes, tune, words
 from pressmill.llm.graph import components
@@ -557,6 +558,25 @@ def test_scores_with_a_filter_in_parts(docs, empty, monkeypatch):
     assert lm.score(empty, model, vocabulary).count() == 0
 
 
+def test_stored_blocks_are_written_in_small_row_groups(spark, monkeypatch):
+    """Blocks of texts are long rows: a page of a hundred of them, as by default, is held whole by its writer and its reader."""
+    import pyarrow.parquet as pq
+
+    kept = []
+    monkeypatch.setattr(lm, "settle", lambda df, **options: kept.append(session.settle(df, **options)) or kept[-1])
+    monkeypatch.setattr(lm, "BROADCAST", 1)
+    monkeypatch.setattr(lm, "COUNTED", 1 << 16)
+    monkeypatch.setattr(lm, "LONG_ROWS", lm.LONG_ROWS | {"parquet.block.size": str(1 << 19)})
+    r = np.random.default_rng(5)
+    words = ["".join(map(chr, w)) for w in r.integers(97, 123, (5000, 6))]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(words, 9000))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    model, vocabulary = lm.fit(docs)
+    assert lm.score(docs, model, vocabulary).count() == 60
+    files = [f.removeprefix("file:") for df in kept if "texts" in df.columns for f in df.inputFiles()]
+    groups = [g.row_group(k) for g in (pq.ParquetFile(f).metadata for f in files) for k in range(g.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 60 and max(g.total_byte_size for g in groups) <= 1 << 20
+
+
 @pytest.mark.parametrize("n", [0, 1, 1000])
 def test_packed_grams(n):
     r = np.random.default_rng(n)
