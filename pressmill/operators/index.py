@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pressmill.functions.text import any_of, ilike_any
 from pressmill.functions.times import as_time, before, effective
+from pressmill.operators.fence import fence
 from pressmill.operators.search import WEIGHT, asked_words, build_token_index, clause_column, clauses_sql, search_articles, total_sql, web_query
 from pressmill.session import settle
 
@@ -43,12 +44,17 @@ def _of(rows: DataFrame, words: list[str], buckets: int) -> DataFrame:
     return rows.where(F.col("bucket").isin(*(_bucket(F.lit(w), buckets) for w in words)) & F.col("token").isin(words))
 
 
+def _entries_sql(postings: str) -> str:
+    """The places of all asked words of an article in order, as ``search.places`` gives them, from its postings."""
+    return f"sort_array(flatten(transform({postings}, p -> transform(p.positions, i -> named_struct('i', i, 'x', p.token)))))"
+
+
 def _ranked(postings: DataFrame, clauses: Column) -> DataFrame:
-    """``id, ts, rank`` of the articles that match. An article has at most one posting for each asked word."""
-    entries = F.array_sort(F.flatten(F.transform("p", lambda p: F.transform(p["positions"], lambda i: F.struct(i.alias("i"), p["token"].alias("x"))))))
+    """``id, ts, rank`` of the articles that match. An article has at most one posting for each asked word. Its places are put in order once
+    and its rank is computed once, not again for each place and each filter."""
     rows = postings.groupBy("id", "ts").agg(F.collect_list(F.struct("token", "positions")).alias("p"))
-    rows = rows.select("id", "ts", entries.alias("_e"), clauses.alias("_c"))
-    return rows.select("id", "ts", F.expr(total_sql("_e", "_c")).alias("rank")).where(F.col("rank").isNotNull())
+    rows = fence(rows, _e=F.expr(_entries_sql("p"))).withColumn("_c", clauses)
+    return fence(rows, rank=F.expr(total_sql("_e", "_c"))).where(F.col("rank").isNotNull()).select("id", "ts", "rank")
 
 
 def _filtered(rows: DataFrame, as_of, days: int, category: str | None, source: str | None) -> DataFrame:
@@ -158,8 +164,9 @@ def register_search(articles: DataFrame, path: str, as_of=None, name: str = "sea
               AND array_contains(transform({asked}, w -> CAST(pmod(xxhash64(w), {buckets}) AS INT)), bucket) AND array_contains({asked}, token)
               AND {since.format(ts='ts')} AND {filters}),
         hit AS (
-            SELECT id, ts, {total_sql('e', clauses_sql(q))} AS rank FROM (
-                SELECT id, ts, array_sort(flatten(collect_list(transform(positions, i -> named_struct('i', i, 'x', token))))) AS e FROM posting GROUP BY id, ts)),
+            SELECT id, ts, rank FROM (SELECT id, ts, collect_list(named_struct('token', token, 'positions', positions)) AS p FROM posting GROUP BY id, ts)
+            LATERAL VIEW explode(array({_entries_sql('p')})) AS e
+            LATERAL VIEW explode(array({total_sql('e', clauses_sql(q))})) AS rank),
         every AS (
             SELECT id, ts, rank FROM hit WHERE rank IS NOT NULL
             UNION ALL

@@ -111,3 +111,12 @@ def test_stored_search_reads_little(spark, articles, stored):
 def saved(articles, stored) -> str:
     articles.write.mode("ignore").parquet(f"{stored}-articles")
     return f"{stored}-articles"
+
+
+def test_places_are_ordered_once_and_ranked_once(spark, articles, stored):
+    """A filter on the rank must not carry the rank along, nor the rank the ordering of the places, which it reads for each place."""
+    ix.register_search(articles, stored, NOW, buckets=8)
+    told = [ix.search_stored(spark, stored, "the oil -vote", NOW, days=365, n=3, buckets=8), spark.sql("SELECT id, ts, rank FROM search_articles('the oil -vote', 365, NULL, NULL, 3)")]
+    for df in told:
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("sort_array(") == 1 and text.count("zip_with(") == 1 and "array_sort(" not in text
